@@ -95,19 +95,21 @@ def top_people(people: DataFrame, n: int = 3) -> DataFrame:
     return top_per(people, ["prospect_id"], [F.desc("buyer_role_score"), "ord"], n, rank="person_rank")
 
 
-def pattern_candidates(people: DataFrame, patterns: DataFrame, n: int = 6, blind: bool = True) -> DataFrame:
-    """Candidate mailboxes per person from the learned patterns of the domain, else two blind guesses.
+def pattern_candidates(
+    people: DataFrame, patterns: DataFrame, n: int = 6, blind: bool = True, key: str = "domain"
+) -> DataFrame:
+    """Candidate mailboxes per person from the patterns learned under ``key``, else two blind guesses.
 
-    A domain has at most eight patterns, so the join fans out by eight at most.
+    A key has at most eight patterns, so the join fans out by eight at most.
     """
     learned = patterns.select(
-        F.col("domain").alias("_domain"), "pattern", "observations", "strength", "pattern_order"
+        F.col(key).alias("_domain"), "pattern", "observations", "strength", "pattern_order"
     )
-    known = patterns.select(F.col("domain").alias("_known")).distinct()
+    known = patterns.select(F.col(key).alias("_known")).distinct()
     tokens = people.withColumn("_tokens", name_tokens(F.col("full_name"))).filter(
         (F.col("_tokens.first") != "") & is_filled(F.col("domain"))
     )
-    out = tokens.join(learned, F.col("domain") == F.col("_domain")).drop("_domain")
+    out = tokens.join(learned, F.col(key) == F.col("_domain")).drop("_domain")
     if blind:
         guesses = F.array(
             *[
@@ -116,7 +118,7 @@ def pattern_candidates(people: DataFrame, patterns: DataFrame, n: int = 6, blind
                 for i, name in enumerate(BLIND_PATTERNS)
             ]
         )
-        unknown = tokens.join(known, F.col("domain") == F.col("_known"), "left_anti")
+        unknown = tokens.join(known, F.col(key) == F.col("_known"), "left_anti")
         unknown = unknown.withColumn("_guess", F.explode(guesses)).select(*tokens.columns, "_guess.*")
         out = out.unionByName(unknown)
     local = render_pattern(F.col("pattern"), F.col("_tokens.first"), F.col("_tokens.last"))

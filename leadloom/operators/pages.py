@@ -51,84 +51,78 @@ def contact_facts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> Da
     """Contact points per page: mailboxes on the page's own host, phones, forms, profiles, structured data.
 
     A value found several ways on one page keeps its latest find in the order
-    text mailboxes, structured data, text phones, forms, profile links.
+    text mailboxes, structured data, text phones, forms, profile links.  The
+    points of a page are built as one array, so the pages are read once.
     """
     base = parsed.select(*keys, "url", "title", "content_hash", "links", "forms", "items", page_text(F.col("parts")).alias("text"))
     base = base.withColumn("host", bare_host(F.col("url")))
-    carried = [*keys, "url", "title", "content_hash"]
+    host, title, body = F.col("host"), F.col("title"), F.col("text")
     paths = lambda scheme: F.transform(
         F.filter("links", lambda l: F.lower(l["url"]).startswith(f"{scheme}:")),
         lambda l: F.regexp_extract(l["url"], r"^[^:]*:([^?#]*)", 1),
     )
-    with_mail = base.withColumn(
-        "email", F.explode(extract_emails(F.concat_ws(" ", F.col("text"), F.array_join(paths("mailto"), " "))))
-    )
-    own = F.regexp_replace(F.substring_index("email", "@", -1), r"^www\.", "") == F.col("host")
-    local = F.substring_index(F.substring_index("email", "@", 1), "+", 1)
-    generic = local.isin(*GENERIC_LOCALS)
-    mails = with_mail.filter(own).select(
-        *carried,
-        _point(
-            "email", F.col("email"), F.when(generic, "published_generic").otherwise("published_personal"),
+    own = lambda mail: F.regexp_replace(F.substring_index(mail, "@", -1), r"^www\.", "") == host
+
+    def text_mail(mail: Column) -> Column:
+        generic = F.substring_index(F.substring_index(mail, "@", 1), "+", 1).isin(*GENERIC_LOCALS)
+        return _point(
+            "email", mail, F.when(generic, "published_generic").otherwise("published_personal"),
             F.when(generic, "generic_company_mailbox").otherwise("strong_person_match"), "company_website", None,
             F.when(generic, 72).otherwise(82), None, 0,
-        ).alias("p"),
-    )
-    item = F.col("item")
-    items = base.withColumn("item", F.explode("items"))
-    items = items.withColumns({"_email": normalize_email(item["email"]), "_phone": normalize_phone(item["telephone"])})
-    person = item["is_person"]
-    owner = F.when(person, filled(item["name"]))
-    item_local = F.substring_index("_email", "@", 1)
-    item_generic = item_local.isin(*GENERIC_LOCALS) | ~person
-    item_own = F.regexp_replace(F.substring_index("_email", "@", -1), r"^www\.", "") == F.col("host")
-    profiles = F.transform(
-        F.filter(item["same_as"], lambda s: F.lower(s).contains("linkedin.com/")),
-        lambda s: _point(
-            "linkedin", s, F.when(person, "published_personal").otherwise("published_generic"),
-            F.when(person, "strong_person_match").otherwise("generic_company_mailbox"), "structured_data", owner, 82, None, 1,
+        )
+
+    def structured(item: Column) -> Column:
+        person = item["is_person"]
+        owner = F.when(person, filled(item["name"]))
+        mail, phone = normalize_email(item["email"]), normalize_phone(item["telephone"])
+
+        def item_mail(value: Column) -> Column:
+            generic = F.substring_index(value, "@", 1).isin(*GENERIC_LOCALS) | ~person
+            return _point(
+                "email", value, F.when(generic, "published_generic").otherwise("published_personal"),
+                F.when(generic, "generic_company_mailbox").otherwise("exact_person_published"), "structured_data", owner,
+                88, None, 1,
+            )
+
+        mails = F.transform(F.filter(compact([mail]), own), item_mail)
+        phones = F.transform(
+            compact([phone]),
+            lambda value: _point("phone", value, "published_generic", "generic_company_mailbox", "structured_data", None, 85,
+                                 F.when(person, "personal_direct").otherwise("switchboard"), 1),
+        )
+        profiles = F.transform(
+            F.filter(item["same_as"], lambda s: F.lower(s).contains("linkedin.com/")),
+            lambda s: _point("linkedin", s, F.when(person, "published_personal").otherwise("published_generic"),
+                             F.when(person, "strong_person_match").otherwise("generic_company_mailbox"), "structured_data",
+                             owner, 82, None, 1),
+        )
+        return F.concat(mails, phones, profiles)
+
+    def form_point(form: Column) -> Column:
+        detail = F.concat_ws("|", classify_form(form["action"], title, F.substring(body, 1, 1000)),
+                             form["captcha"].cast("string"), F.array_join(F.slice(form["inputs"], 1, 30), ","))
+        return _point("contact_form", form["action"], "published_generic", "generic_company_mailbox", "company_website",
+                      None, 70, detail, 3)
+
+    mail_text = F.concat_ws(" ", body, F.array_join(paths("mailto"), " "))
+    raw_phones = F.concat(F.regexp_extract_all(body, F.lit(PHONE_IN_TEXT), F.lit(1)), paths("tel"))
+    everything = F.concat(
+        F.transform(F.filter(extract_emails(mail_text), own), text_mail),
+        F.flatten(F.transform("items", structured)),
+        F.transform(
+            F.array_compact(F.transform(raw_phones, lambda raw: normalize_phone(raw))),
+            lambda value: _point("phone", value, "published_generic", "generic_company_mailbox", "company_website", None, 75,
+                                 "switchboard", 2),
+        ),
+        F.transform("forms", form_point),
+        F.transform(
+            F.filter("links", lambda l: F.lower(l["url"]).contains("linkedin.com/in/")),
+            lambda l: _point("linkedin", l["url"], "published_personal", "strong_person_match", "company_website", None, 75,
+                             None, 4),
         ),
     )
-    singles = compact(
-        [
-            F.when(
-                item_own,
-                _point(
-                    "email", F.col("_email"), F.when(item_generic, "published_generic").otherwise("published_personal"),
-                    F.when(item_generic, "generic_company_mailbox").otherwise("exact_person_published"),
-                    "structured_data", owner, 88, None, 1,
-                ),
-            ),
-            F.when(
-                F.col("_phone").isNotNull(),
-                _point(
-                    "phone", F.col("_phone"), "published_generic", "generic_company_mailbox", "structured_data", None, 85,
-                    F.when(person, "personal_direct").otherwise("switchboard"), 1,
-                ),
-            ),
-        ]
-    )
-    structured = items.select(*carried, F.explode(F.concat(singles, profiles)).alias("p"))
-    raw_phones = F.concat(F.regexp_extract_all("text", F.lit(PHONE_IN_TEXT), F.lit(1)), paths("tel"))
-    phones = base.withColumn("_phone", F.explode(F.array_compact(F.transform(raw_phones, lambda raw: normalize_phone(raw))))).select(
-        *carried,
-        _point("phone", F.col("_phone"), "published_generic", "generic_company_mailbox", "company_website", None, 75,
-               "switchboard", 2).alias("p"),
-    )
-    form = F.col("form")
-    forms = base.withColumn("form", F.explode("forms")).select(
-        *carried,
-        _point("contact_form", form["action"], "published_generic", "generic_company_mailbox", "company_website", None, 70,
-               F.concat_ws("|", classify_form(form["action"], F.col("title"), F.substring("text", 1, 1000)),
-                           form["captcha"].cast("string"), F.array_join(F.slice(form["inputs"], 1, 30), ",")), 3).alias("p"),
-    )
-    links = base.withColumn("link", F.explode("links")).filter(F.lower("link.url").contains("linkedin.com/in/")).select(
-        *carried,
-        _point("linkedin", F.col("link.url"), "published_personal", "strong_person_match", "company_website", None, 75,
-               None, 4).alias("p"),
-    )
-    everything = mails.unionByName(structured).unionByName(phones).unionByName(forms).unionByName(links)
-    rows = everything.select(*carried, "p.*")
+    rows = base.select(*keys, "url", "title", "content_hash", F.explode(everything).alias("p"))
+    rows = rows.select(*keys, "url", "title", "content_hash", "p.*")
     latest = F.max_by(F.struct(*POINT_FIELDS[2:], "title", "content_hash"), "order")
     folded = rows.groupBy(*keys, "url", "kind", "value").agg(latest.alias("f"))
     return folded.select(*keys, F.col("url").alias("source_url"), "kind", "value", "f.*").withColumn(
@@ -139,41 +133,41 @@ def contact_facts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> Da
 def people_facts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """People per page: structured persons, and names within two text blocks of a role.
 
-    The best scoring role of a name wins; structured persons come first.
+    The best scoring role of a name wins; structured persons come first.  Roles
+    and names are found inside the page's arrays, so pages are read once and
+    only people become rows.
     """
-    carried = [*keys, "url", "title", "content_hash"]
-    items = parsed.select(*carried, F.explode("items").alias("item")).filter(
-        F.col("item.is_person") & is_filled(F.col("item.name"))
-    )
-    items = items.withColumns(
-        {
-            "full_name": normalize_space(F.col("item.name")),
-            "job_title": filled(normalize_space(text(F.col("item.job_title")))),
-            "position": F.lit(-1),
-        }
-    ).withColumn("_role", normalize_role(F.col("job_title")))
-    profile = F.when(F.col("item.same_as_text").contains("linkedin.com/in/"), F.col("item.same_as_text"))
-    structured = items.select(
-        *carried, "full_name", "job_title", "position", "_role",
-        F.lit("strong").alias("company_match_state"), F.lit(90).alias("identity_confidence"),
-        profile.alias("linkedin_url"),
-    )
-    # Roles are found inside the array, so only the few blocks that name one become rows.
-    found = F.filter(
+
+    def person(name, title, position, role, state, confidence, profile) -> Column:
+        return F.struct(
+            name.alias("full_name"), title.alias("job_title"), position.cast("int").alias("position"), role.alias("role"),
+            F.lit(state).alias("company_match_state"), F.lit(confidence).alias("identity_confidence"),
+            profile.cast("string").alias("linkedin_url"),
+        )
+
+    def structured(item: Column) -> Column:
+        title = filled(normalize_space(text(item["job_title"])))
+        profile = F.when(item["same_as_text"].contains("linkedin.com/in/"), item["same_as_text"])
+        return person(normalize_space(item["name"]), title, F.lit(-1), normalize_role(item["job_title"]), "strong", 90, profile)
+
+    def spotted(block: Column) -> Column:
+        at = block["position"]
+        near = F.array_join(F.slice("parts", F.greatest(at - 1, F.lit(1)), F.when(at < 2, at + 3).otherwise(5)), " ")
+        return F.transform(
+            F.regexp_extract_all(near, F.lit(NAME_IN_TEXT), F.lit(1)),
+            lambda name: person(normalize_space(name), F.substring(block["part"], 1, 200), at, block["role"], "probable", 70,
+                                F.lit(None)),
+        )
+
+    roles = F.filter(
         F.transform("parts", lambda part, i: F.struct(i.alias("position"), part.alias("part"), normalize_role(part).alias("role"))),
-        lambda b: b["role"]["score"] >= 40,
-    )
-    blocks = parsed.select(*carried, "parts", F.explode(found).alias("b"))
-    at = F.col("b.position")
-    near = F.array_join(F.slice("parts", F.greatest(at - 1, F.lit(1)), F.when(at < 2, at + 3).otherwise(5)), " ")
-    named = blocks.withColumn("full_name", F.explode(F.regexp_extract_all(near, F.lit(NAME_IN_TEXT), F.lit(1))))
-    spotted = named.select(
-        *carried, normalize_space(F.col("full_name")).alias("full_name"),
-        F.substring("b.part", 1, 200).alias("job_title"), at.alias("position"), F.col("b.role").alias("_role"),
-        F.lit("probable").alias("company_match_state"), F.lit(70).alias("identity_confidence"),
-        F.lit(None).cast("string").alias("linkedin_url"),
+        lambda block: block["role"]["score"] >= 40,
     )
-    both = structured.unionByName(spotted).withColumn(
+    persons = F.filter("items", lambda item: item["is_person"] & is_filled(item["name"]))
+    everyone = F.concat(F.transform(persons, structured), F.flatten(F.transform(roles, spotted)))
+    carried = [*keys, "url", "title", "content_hash"]
+    both = parsed.select(*carried, F.explode(everyone).alias("e")).select(*carried, "e.*")
+    both = both.withColumn(
         "_named",
         once(
             normalize_person_name(F.col("full_name")),
@@ -181,18 +175,18 @@ def people_facts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> Dat
         ),
     )
     both = both.filter((F.col("_named.key") != "") & ((F.col("position") < 0) | F.col("_named.plausible")))
-    both = both.withColumn("name_key", F.col("_named.key"))
     scored = both.withColumns(
         {
-            "buyer_role_score": F.col("_role.score"),
-            "role_category": F.col("_role.category"),
-            "normalized_role": F.col("_role.role"),
+            "name_key": F.col("_named.key"),
+            "buyer_role_score": F.col("role.score"),
+            "role_category": F.col("role.category"),
+            "normalized_role": F.col("role.role"),
         }
     )
     # Structured persons replace each other in order; a text find needs a strictly higher score.
     order = [F.desc("buyer_role_score"), F.when(F.col("position") < 0, 0).otherwise(1), "position", "full_name"]
     best = first_per(scored, [*keys, "name_key"], order)
-    return best.withColumnRenamed("url", "source_url").drop("_role", "_named", "position")
+    return best.withColumnRenamed("url", "source_url").drop("role", "_named", "position")
 
 
 def evidence_facts(points: DataFrame, people: DataFrame, keys: tuple[str, ...] = ("page_id",),
