@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from leadloom import fixed
 from leadloom.catalog import query, sql_list
 from leadloom.operators import pages as page_ops
-from leadloom.operators.awards import top_holders
 from leadloom.operators.compliance import mark_suppressed
 from leadloom.operators.identity import upsert_outcomes
 from leadloom.plays import FIELD_SERVICE
@@ -267,7 +266,7 @@ def award_outcomes(t):
     from leadloom.operators.awards import aggregate_by_holder, filter_relevant
 
     holders = aggregate_by_holder(filter_relevant(t.s_awards, FIELD_SERVICE, AWARDS_AS_OF, 400))
-    incoming = top_holders(holders, 1000).withColumn("ord", F.col("holder_key"))
+    incoming = holders.withColumn("ord", F.col("holder_key"))
     blocked = t.s_suppression.filter(F.col("kind") == "siren")
     known = t.s_prospects.filter(F.col("id") % 4 != 1)
     return upsert_outcomes(incoming, known, blocked)
@@ -287,8 +286,7 @@ WHERE CAST(dateAttribution AS TIMESTAMP) >= TIMESTAMP '{AWARDS_AS_OF} 00:00:00'
 WITH relevant AS ({RELEVANT.replace("{days}", "400")}),
 holders AS (SELECT CASE WHEN length(holder_digits) = 9 THEN holder_digits ELSE substring(holder_digits, 1, 14) END AS holder_key, count(*) AS n
   FROM relevant WHERE length(holder_digits) = 9 OR length(holder_digits) >= 14 GROUP BY 1),
-ranked AS (SELECT *, substring(holder_key, 1, 9) AS siren, CASE WHEN length(holder_key) = 14 THEN holder_key END AS siret FROM holders
-  QUALIFY row_number() OVER (ORDER BY n DESC, (SELECT 0), holder_key) <= 100000),
+ranked AS (SELECT *, substring(holder_key, 1, 9) AS siren, CASE WHEN length(holder_key) = 14 THEN holder_key END AS siret FROM holders),
 known AS (SELECT * FROM s_prospects WHERE id % 4 <> 1),
 marked AS (SELECT r.*, r.siren IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren') AS blocked,
   coalesce((SELECT min(k.id) FROM known k WHERE k.siret = r.siret), (SELECT min(k.id) FROM known k WHERE k.siren = r.siren)) AS hit FROM ranked r),
