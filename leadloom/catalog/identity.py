@@ -157,7 +157,7 @@ def j13(t):
 WITH page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY length(url), url, page_id) AS rn FROM
     (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '') AS host FROM s_site_pages) a) b WHERE rn = 1),
 c AS (SELECT p.id, p.siren, page.host, page.html,
-    list_filter(list_distinct(regexp_extract_all(lower(strip_accents(p.company_name)), '[a-z0-9]{3,}')), w -> w NOT IN ('sas', 'sarl', 'sa', 'eurl', 'sasu', 'societe', 'groupe', 'france')) AS words,
+    list_filter(list_distinct(regexp_extract_all(lower(strip_accents(p.company_name)), '[a-z0-9]{3,}')), lambda w: w NOT IN ('sas', 'sarl', 'sa', 'eurl', 'sasu', 'societe', 'groupe', 'france')) AS words,
     regexp_extract_all(lower(strip_accents(substring(page.html, 1, 5000))), '[a-z0-9]{3,}') AS shown,
     regexp_extract_all(replace(replace(page.host, '.', ' '), '-', ' '), '[a-z0-9]{3,}') AS hostwords
   FROM s_prospects p JOIN page ON page.host = 'c' || CAST(p.id % 500 AS VARCHAR) || '.example.fr'),

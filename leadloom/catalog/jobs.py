@@ -1 +1,13 @@
-"""Queries."""
+"""Jobs."""
+
+from pyspark.sql import functions as F
+
+from leadloom.operators.awards import AWARD_FIELDS, merge_awards
+from leadloom.frames import bounded_list
+
+
+def award_lists(t):
+    """The newest fifty awards per prospect as an array, newest first."""
+    won = merge_awards(t.s_award_rows, t.s_award_rows.limit(0))
+    lists = bounded_list(won, ["prospect_id"], "position", F.struct(*AWARD_FIELDS), "award_history")
+    return lists.withColumnRenamed("prospect_id", "id")

@@ -12,14 +12,14 @@ from leadloom.frames import bounded_list, first_per, top_per, when_is
 from leadloom.functions.mailboxes import (
     BLIND_PATTERNS,
     PATTERNS,
-    matching_pattern,
+    identify_pattern,
     name_tokens,
     on_domain,
     ordered_candidates,
     render_pattern,
     rendered,
 )
-from leadloom.functions.rules import compact, filled, first_match, is_filled, text, yes
+from leadloom.functions.rules import compact, filled, first_match, is_filled, once, text, yes
 from leadloom.functions.text import normalize_email, normalize_person_name, normalize_role, split_name, url_host
 from leadloom.functions.utility import (
     derive_utility,
@@ -71,16 +71,9 @@ def associate(points: DataFrame, people: DataFrame) -> DataFrame:
 
 def learn_patterns(pairs: DataFrame, key: str = "domain") -> DataFrame:
     """Mailbox patterns per domain from published (email, person_name) pairs, most frequent first."""
-    plain = pairs.withColumns(
-        {
-            "_local": F.substring_index(normalize_email(F.col("email")), "@", 1),
-            "_raw_local": F.substring_index(F.lower("email"), "@", 1),
-            "_name": name_tokens(F.col("person_name")),
-        }
-    ).filter(~F.col("_raw_local").isin(*fixed.GENERIC_LOCALS))
-    named = plain.withColumn(
-        "pattern", matching_pattern(F.col("_local"), F.col("_name.first"), F.col("_name.last"))
-    ).filter(F.col("pattern").isNotNull())
+    personal = pairs.filter(~F.substring_index(F.lower("email"), "@", 1).isin(*fixed.GENERIC_LOCALS))
+    named = personal.withColumn("pattern", identify_pattern(F.col("email"), F.col("person_name")))
+    named = named.filter(F.col("pattern").isNotNull())
     counts = named.groupBy(key, "pattern").agg(F.count(F.lit(1)).alias("observations"))
     strength = first_match([(F.col("observations") >= 3, "strong"), (F.col("observations") >= 2, "moderate")], "weak")
     return counts.withColumns({"strength": strength, "pattern_order": pattern_order(F.col("pattern"))})
@@ -121,8 +114,9 @@ def pattern_candidates(
         unknown = tokens.join(known, F.col(key) == F.col("_known"), "left_anti")
         unknown = unknown.withColumn("_guess", F.explode(guesses)).select(*tokens.columns, "_guess.*")
         out = out.unionByName(unknown)
-    local = render_pattern(F.col("pattern"), F.col("_tokens.first"), F.col("_tokens.last"))
-    out = out.withColumn("email", on_domain(local, F.col("domain"))).filter(F.col("email").isNotNull())
+    facts = F.struct("pattern", "domain", F.col("_tokens.first").alias("first"), F.col("_tokens.last").alias("last"))
+    email = once(facts, lambda f: on_domain(render_pattern(f["pattern"], f["first"], f["last"]), f["domain"]))
+    out = out.withColumn("email", email).filter(F.col("email").isNotNull())
     order = [F.desc("observations"), "pattern_order"]
     keys = ["prospect_id", "full_name"]
     unique = first_per(out, [*keys, "email"], order)
@@ -195,11 +189,12 @@ def apply_mx(points: DataFrame, lookup: DataFrame) -> DataFrame:
     facts = lookup.select(F.col("domain").alias("_domain"), F.col("state").alias("_mx"), F.col("has_mx").alias("_has"))
     joined = points.join(facts, F.col("domain") == F.col("_domain"), "left")
     checked = (F.col("kind") == "email") & (F.col("deliverability_state") == "unchecked") & F.col("_domain").isNotNull()
+    joined = joined.withColumn("_checked", checked)
     state = F.when(
-        checked, mx_deliverability(F.col("_mx"), F.col("_has"), F.col("deliverability_state"))
+        F.col("_checked"), mx_deliverability(F.col("_mx"), F.col("_has"), F.col("deliverability_state"))
     ).otherwise(F.col("deliverability_state"))
     out = joined.withColumn("deliverability_state", state)
-    changed = checked & ~yes(F.col("_has"))
+    changed = F.col("_checked") & ~yes(F.col("_has"))
     utility = derive_utility(
         F.col("kind"), F.col("publication_state"), F.col("deliverability_state"), F.col("person_match_state")
     )
@@ -210,7 +205,7 @@ def apply_mx(points: DataFrame, lookup: DataFrame) -> DataFrame:
         }
     )
     out = out.withColumn("is_usable", F.when(changed, is_usable(F.col("utility_state"))).otherwise(F.col("is_usable")))
-    return out.drop("_domain", "_mx", "_has")
+    return out.drop("_domain", "_mx", "_has", "_checked")
 
 
 def contact_waterfall(
