@@ -18,6 +18,7 @@ from leadloom.operators.awards import (
     merge_awards,
     top_holders,
 )
+from leadloom.operators.contacts import row_id
 from leadloom.operators.evidence import upsert_evidence
 from leadloom.operators.identity import discover_registry, rank_registry, upsert_outcomes, upsert_prospects
 from leadloom.plays import Play
@@ -37,9 +38,9 @@ class Ingested:
 
 def _evidence_rows(outcomes: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """Evidence items addressed to the prospects their companies became."""
-    targets = outcomes.filter(F.col("target_id").isNotNull()).select(*keys, F.col("target_id").alias("prospect_id"), "ord")
+    targets = outcomes.filter(F.col("target_id").isNotNull()).select(*keys, F.col("target_id").alias("prospect_id"))
     return items.join(targets, keys).select(
-        (F.col("ord") * 100 + F.col("position")).alias("id"),
+        row_id("evidence", *keys, "position").alias("id"),
         "prospect_id", "category", "signal_type", "label", "evidence_text",
         F.lit(None).cast("string").alias("evidence_url"),
         "source_type", "confidence", "strength",
@@ -70,11 +71,11 @@ def ingest_awards(
         holders = top_holders(holders, max_companies)
     details = F.concat(F.col("signal_details"), F.lit(" — "), F.substring("objets_joined", 1, 400))
     # Arrival order: as the holders are ranked; the key breaks ties.
-    rank = F.xxhash64("holder_key").bitwiseAND(F.lit(2**31 - 1))
+    rank = F.struct(-F.col("award_count"), -F.col("total_cents"), F.col("holder_key"))
     incoming = holders.withColumns(
         {
             "signal_details": F.when(F.col("objets_joined") != "", details).otherwise(F.col("signal_details")),
-            "ord": F.lit(10**9) - F.col("award_count") + rank / F.lit(2.0**32),
+            "ord": rank,
         }
     )
     blocked = suppression.filter(F.col("kind") == "siren")
@@ -92,7 +93,7 @@ def ingest_awards(
         prospects=snapshot,
         outcomes=outcomes,
         awards=merged,
-        evidence=upsert_evidence(evidence, items),
+        evidence=upsert_evidence(evidence, items, per_call=None),
         ledger=ledger(outcomes.withColumn("source", F.lit("decp"))),
     )
 
@@ -121,7 +122,7 @@ def ingest_registry(
     found = discover_registry(companies, play)
     if max_companies:
         found = rank_registry(found, play, max_companies)
-    incoming = found.withColumns({"signal_details": registry_details(), "ord": F.col("siren").cast("long").cast("double")})
+    incoming = found.withColumns({"signal_details": registry_details(), "ord": F.col("siren")})
     blocked = suppression.filter(F.col("kind") == "siren")
     outcomes = upsert_outcomes(incoming, prospects, blocked)
     flat = outcomes.drop("evidence", "dirigeants")
@@ -134,6 +135,6 @@ def ingest_registry(
         prospects=snapshot,
         outcomes=outcomes,
         awards=None,
-        evidence=upsert_evidence(evidence, rows),
+        evidence=upsert_evidence(evidence, rows, per_call=None),
         ledger=ledger(flat.withColumn("source", F.lit("registry"))),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate tables, on the cluster's shared storage where that is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadloom-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the cluster's shared folder so later stages survive lost executors.
 

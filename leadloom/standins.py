@@ -473,6 +473,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     parts = ", ".join(f"{name} AS ({view_sql(name)})" for name in ordered)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {parts}, {body[5:]}"
     return f"WITH {parts} {body}"
