@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from leadloom.fixed import BLOCKED_HOSTS, BLOCKED_SUFFIXES
-from leadloom.functions.rules import any_of, first_match, yes
+from leadloom.functions.rules import any_of, first_match, once, yes
 from leadloom.functions.text import strip
 
 _IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
@@ -60,87 +60,80 @@ def is_public_number(number: Column) -> Column:
     return yes(number.isNotNull() & (~blocked | excepted))
 
 
-def with_safe_url(df: DataFrame, column: str, into: str = "safe", international: bool = True) -> DataFrame:
-    """Add struct(url, host, reason): the canonical url, or why it must not be fetched.
-
-    One step per column, so nothing is parsed twice.  ``international`` spells
-    non-ASCII hosts in punycode, which needs Python; without it they are refused.
-    """
-    step = "_url_{}".format
-    given, scheme, rest, netloc, host, port, name, number = (
-        F.col(step(part)) for part in ("given", "scheme", "rest", "netloc", "host", "port", "name", "number")
-    )
+def _split(given: Column) -> Column:
+    """struct of the parts of a trimmed address; https is assumed where no scheme is given."""
+    candidate = F.when(given.contains("://"), given).otherwise(F.concat(F.lit("https://"), given))
+    rest = F.regexp_replace(candidate, "^[^:]*://", "")
+    netloc = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     address = F.regexp_replace(netloc, "^.*@", "")
     bracketed = address.startswith("[")
-    out = df.withColumn(step("given"), strip(F.col(column)))
-    out = out.withColumn(
-        step("rest"), F.when(given.contains("://"), given).otherwise(F.concat(F.lit("https://"), given))
+    name = F.when(bracketed, F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(F.substring_index(address, ":", 1))
+    port = F.when(bracketed, F.regexp_extract(address, r"^\[[^\]]*\]:?(.*)$", 1)).otherwise(
+        F.regexp_extract(address, r"^[^:]*:(.*)$", 1)
     )
-    out = out.withColumn(step("scheme"), F.lower(F.substring_index(rest, "://", 1)))
-    out = out.withColumn(step("rest"), F.regexp_replace(rest, "^[^:]*://", ""))
-    out = out.withColumn(step("netloc"), F.regexp_extract(rest, r"^([^/?#]*)", 1))
-    out = out.withColumn(
-        step("name"),
-        F.rtrim(
-            F.lower(
-                F.when(bracketed, F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(
-                    F.substring_index(address, ":", 1)
-                )
-            ),
-            F.lit("."),
-        ),
+    return F.struct(
+        (F.coalesce(given, F.lit("")) == "").alias("empty"),
+        F.lower(F.substring_index(candidate, "://", 1)).alias("scheme"),
+        netloc.contains("@").alias("credentials"),
+        F.rtrim(F.lower(name), F.lit(".")).alias("name"),
+        port.alias("port"),
+        port.try_cast("long").alias("port_number"),
+        F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
+        F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"),
     )
-    out = out.withColumn(
-        step("port"),
-        F.when(bracketed, F.regexp_extract(address, r"^\[[^\]]*\]:?(.*)$", 1)).otherwise(
-            F.regexp_extract(address, r"^[^:]*:(.*)$", 1)
-        ),
-    )
-    foreign = name.rlike(r"[^\x00-\x7F]")
-    spelled = F.when(foreign, punycode(F.when(foreign, name))).otherwise(name) if international else F.when(~foreign, name)
-    out = out.withColumn(step("host"), spelled)
-    out = out.withColumn(step("number"), ipv4_number(host))
+
+
+def _judge(facts: Column) -> Column:
+    """struct(url, host, reason) from the parts and the ASCII host."""
+    p, host = facts["p"], facts["host"]
+    name, port, number = p["name"], p["port"], p["port_number"]
     blocked = (
         (name == "")
         | name.isin(*BLOCKED_HOSTS)
         | ~name.contains(".")
         | any_of([name.endswith(suffix) for suffix in BLOCKED_SUFFIXES])
     )
-    port_number = port.try_cast("long")
+    private = once(ipv4_number(host), lambda n: ~is_public_number(n))
     reason = first_match(
         [
-            (F.coalesce(given, F.lit("")) == "", "empty_url"),
-            (~scheme.isin("http", "https"), "unsupported_scheme"),
-            (netloc.contains("@"), "embedded_credentials"),
-            ((port != "") & yes(~port.rlike(r"^\d+$") | (F.coalesce(port_number, F.lit(65536)) > 65535)), "invalid_port"),
-            ((port != "") & ~port_number.isin(80, 443), "port_not_allowed"),
+            (p["empty"], "empty_url"),
+            (~p["scheme"].isin("http", "https"), "unsupported_scheme"),
+            (p["credentials"], "embedded_credentials"),
+            ((port != "") & yes(~port.rlike(r"^\d+$") | (F.coalesce(number, F.lit(65536)) > 65535)), "invalid_port"),
+            ((port != "") & ~number.isin(80, 443), "port_not_allowed"),
             (blocked, "blocked_hostname"),
             (host.isNull() | host.rlike(r"(^|\.)\.|[^.]{64}"), "invalid_idn"),
-            (name.contains(":") | (is_ipv4(host) & ~is_public_number(number)), "non_public_address"),
+            (name.contains(":") | (is_ipv4(host) & private), "non_public_address"),
         ]
     )
-    out = out.withColumn(step("reason"), reason)
-    default_port = F.when(scheme == "http", 80).otherwise(443)
-    location = F.when((port == "") | (port_number == default_port), host).otherwise(
-        F.concat_ws(":", host, port_number.cast("string"))
-    )
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    default_port = F.when(p["scheme"] == "http", 80).otherwise(443)
+    location = F.when((port == "") | (number == default_port), host).otherwise(F.concat_ws(":", host, number.cast("string")))
     url = F.concat(
-        scheme,
+        p["scheme"],
         F.lit("://"),
         location,
-        F.when(path == "", "/").otherwise(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        F.when(p["path"] == "", "/").otherwise(p["path"]),
+        F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""),
     )
-    safe = F.col(step("reason")).isNull()
-    out = out.withColumn(
-        into,
-        F.struct(
-            F.when(safe, url).alias("url"),
-            F.when(safe, host).alias("host"),
-            F.col(step("reason")).alias("reason"),
+    return once(
+        reason,
+        lambda r: F.struct(
+            F.when(r.isNull(), url).alias("url"), F.when(r.isNull(), host).alias("host"), r.alias("reason")
         ),
     )
-    parts = ("given", "scheme", "rest", "netloc", "name", "port", "host", "number", "reason")
-    return out.drop(*[step(part) for part in parts])
+
+
+def with_safe_url(df: DataFrame, column: str, into: str = "safe", international: bool = True) -> DataFrame:
+    """Add struct(url, host, reason): the canonical url, or why it must not be fetched.
+
+    ``international`` spells non-ASCII hosts in punycode, which needs Python;
+    without it they are refused.
+    """
+    parts, host = f"_{into}_parts", f"_{into}_host"
+    out = df.withColumn(parts, once(strip(F.col(column)), _split))
+    name = F.col(parts)["name"]
+    foreign = name.rlike(r"[^\x00-\x7F]")
+    spelled = F.when(foreign, punycode(F.when(foreign, name))).otherwise(name) if international else F.when(~foreign, name)
+    out = out.withColumn(host, spelled)
+    facts = F.struct(F.col(parts).alias("p"), F.col(host).alias("host"))
+    return out.withColumn(into, once(facts, _judge)).drop(parts, host)

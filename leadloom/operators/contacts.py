@@ -354,8 +354,9 @@ def row_id(label: str, *columns: str) -> Column:
 
 def people_by_name(people: DataFrame) -> DataFrame:
     """One person per prospect and name: the newest row, in order of first appearance."""
-    newest = F.max_by(F.struct("id", "full_name", "buyer_role_score"), F.struct("is_new", "first_ord", "id"))
-    order = F.min(F.struct("is_new", F.coalesce("first_ord", "id"), "id"))
+    arrival = F.struct("is_new", F.when(F.col("is_new"), F.col("first_ord")).alias("o"), "id")
+    newest = F.max_by(F.struct("id", "full_name", "buyer_role_score"), arrival)
+    order = F.min(arrival)
     return (
         people.groupBy("prospect_id", "normalized_name")
         .agg(newest.alias("p"), order.alias("ord"))

@@ -51,13 +51,16 @@ def discover_contacts(
     """One run over every eligible prospect.
 
     Pages are parsed and reduced per host before they meet the prospects, so a
-    host shared by many companies is read once.  ``stage`` cuts the plan after
-    parsing and after the point merge, where results are used several times.
+    host shared by many companies is read once.  ``stage`` cuts the plan wherever
+    a result is used several times, so nothing is computed twice and no plan
+    grows with the length of the job.
     """
     hits = suppressed_ids(prospects, suppression, suppression_keys(email=F.col("email"), siren=F.col("siren")))
     checked = eligibility(prospects, runs, hits, as_of, min_score)
-    chosen = checked.filter(F.col("ineligible_reason").isNull()).select(
-        "id", "company_name", "siren", extract_domain(F.col("website"), F.col("email")).alias("domain")
+    chosen = stage(
+        checked.filter(F.col("ineligible_reason").isNull()).select(
+            "id", "company_name", "siren", extract_domain(F.col("website"), F.col("email")).alias("domain")
+        )
     )
 
     visited = pages.select_pages(accept_pages(site_pages), max_pages).select("page_id", "url", "html", "host", "content_hash", "visit")
@@ -65,13 +68,15 @@ def discover_contacts(
     first = first_page_per_host(parsed).select("host", "title", pages.page_text(F.col("parts")).alias("text"))
     matched = domain_match(
         chosen.join(first, F.col("domain") == F.col("host"), "left").withColumn("host", F.coalesce("host", "domain"))
-    ).withColumn("_fetched", F.col("text").isNotNull())
+    )
+    matched = stage(matched.select("id", "domain", "domain_match_state", F.col("text").isNotNull().alias("_fetched")))
     sites = matched.filter(F.col("_fetched") & (F.col("domain_match_state") != "ambiguous")).select("id", "domain")
     ambiguous = matched.filter(F.col("_fetched") & (F.col("domain_match_state") == "ambiguous")).select("id")
 
     keys = ("host", "visit", "page_id")
     page_points = pages.contact_facts(parsed, keys)
     page_people = pages.people_facts(parsed, keys)
+    page_points, page_people = stage(page_points), stage(page_people)
     page_evidence = pages.evidence_facts(page_points, page_people, keys)
     host_points = pages.dedupe_points(page_points, "host", "visit")
     host_people = pages.dedupe_people(page_people, "host", "visit")
@@ -94,11 +99,11 @@ def discover_contacts(
     else:
         registry_evidence = None
         person_facts = site_people.select(*person_columns)
-    merged_people = contacts.merge_people(people, person_facts)
-    named = contacts.people_by_name(merged_people)
+    merged_people = stage(contacts.merge_people(people, person_facts))
+    named = stage(contacts.people_by_name(merged_people))
 
     point_facts = of_prospects(host_points).withColumn("ord", order(F.col("kind"), F.col("value")))
-    point_facts = contacts.associate(point_facts, named)
+    point_facts = stage(contacts.associate(point_facts, named))
     pairs = point_facts.filter((F.col("kind") == "email") & is_filled(F.col("person_name"))).select(
         "prospect_id", F.col("value").alias("email"), "person_name"
     )
@@ -122,7 +127,7 @@ def discover_contacts(
     facts = facts.withColumn("_who", normalize_person_name(text(F.col("person_name"))))
     ids = named.select(F.col("prospect_id").alias("_p"), F.col("normalized_name").alias("_n"), "person_id")
     facts = facts.join(ids, (F.col("prospect_id") == F.col("_p")) & (F.col("_who") == F.col("_n")), "left").drop("_p", "_n", "_who")
-    prepared = contacts.prepare_points(facts, prospects, suppression)
+    prepared = stage(contacts.prepare_points(facts, prospects, suppression))
     merged_points = stage(contacts.apply_mx(contacts.merge_points(points, prepared), mx))
 
     columns = ("prospect_id", "evidence_type", "source_adapter", "source_url", "excerpt", "page_title", "confidence",

@@ -67,6 +67,7 @@ def weekly_contacted_stream(
 ) -> DataFrame:
     """Approximate number of prospects contacted per sliding week."""
     contacted = events.filter(F.col("event_type").isin(*fixed.CONTACTED_EVENTS))
+    contacted = contacted.withColumn("event_date", F.col("event_date").cast("timestamp"))
     return (
         contacted.withWatermark("event_date", late)
         .groupBy(F.window("event_date", width, slide).alias("week"))
@@ -78,6 +79,7 @@ def weekly_contacted_stream(
 def dedupe_stream(evidence: DataFrame, late: str = "7 days") -> DataFrame:
     """Evidence without repeats of a fingerprint inside the watermark."""
     stamped = with_fingerprint(evidence.filter(F.coalesce(F.col("is_active"), F.lit(True))))
+    stamped = stamped.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     return stamped.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["prospect_id", "fingerprint"])
 
 
