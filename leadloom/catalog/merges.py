@@ -9,6 +9,7 @@ from leadloom.catalog.functions import UTILITY_SQL
 from leadloom.catalog.gates import fingerprint_sql
 from leadloom.operators import awards, compliance, contacts, evidence, identity
 from leadloom.plays import FIELD_SERVICE
+from leadloom.session import cut_lineage
 from leadloom.standins import EVENTS_AS_OF, NEW_SIDE, OLD_SIDE
 
 NEW = NEW_SIDE.replace("o_orderdate", "observed_at")
@@ -159,7 +160,7 @@ SELECT prospect_id, kind, value_normalized, source_class, publication_state, per
   CASE WHEN hit THEN {_utility("supp")} ELSE old_utility END AS utility_state, old_id IS NULL AS is_new FROM s
 """)
 def u7(t):
-    prepared = contacts.prepare_points(t.s_point_facts, t.s_prospects, t.s_suppression)
+    prepared = cut_lineage(contacts.prepare_points(t.s_point_facts, t.s_prospects, t.s_suppression))
     out = contacts.merge_points(t.s_points, prepared)
     return out.select("prospect_id", "kind", "value_normalized", "source_class", "publication_state", "person_match_state", "deliverability_state",
                       "confidence_score", "person_id", "is_suppressed", "utility_state", "is_new")

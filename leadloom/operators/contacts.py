@@ -32,7 +32,7 @@ from leadloom.functions.utility import (
     verdict_rank,
     waterfall_outcome,
 )
-from leadloom.operators.compliance import mark_suppressed, suppressed_ids, suppression_keys
+from leadloom.operators.compliance import mark_suppressed, suppression_keys
 
 AsOf = str | date | datetime
 
@@ -46,19 +46,22 @@ def associate(points: DataFrame, people: DataFrame) -> DataFrame:
     join on prospect and local part; ``people`` has ``ord`` for "first".
     """
     tokens = people.withColumn("_tokens", name_tokens(F.col("full_name")))
-    forms = tokens.filter((F.col("_tokens.first") != "") & (F.col("_tokens.last") != "")).select(
+    first, last = F.col("_tokens.first"), F.col("_tokens.last")
+    locals_ = F.array_distinct(F.transform(rendered(first, last), lambda r: r["local"]))
+    # An empty name renders to nothing: exploding NULL yields no row.
+    forms = tokens.select(
         F.col("prospect_id").alias("_prospect"),
         F.struct("ord", "full_name").alias("_person"),
-        F.explode(F.array_distinct(F.transform(rendered(F.col("_tokens.first"), F.col("_tokens.last")), lambda r: r["local"]))).alias("_local"),
+        F.explode(F.when((first != "") & (last != ""), locals_)).alias("_local"),
     )
     owners = forms.groupBy("_prospect", "_local").agg(F.min("_person").alias("_owner"))
-    out = points.withColumn("_mail_local", F.substring_index(normalize_email(F.col("value")), "@", 1))
     open_mailbox = (
         (F.col("kind") == "email")
         & (F.col("publication_state") == "published_personal")
         & ~is_filled(F.col("person_name"))
     )
-    out = out.withColumn("_key", F.when(open_mailbox, F.col("_mail_local")))
+    local = F.substring_index(normalize_email(F.col("value")), "@", 1)
+    out = points.withColumn("_key", F.when(open_mailbox, local))
     out = out.join(owners, (F.col("prospect_id") == F.col("_prospect")) & (F.col("_key") == F.col("_local")), "left")
     owned = F.col("_owner").isNotNull()
     return out.withColumns(
@@ -66,7 +69,7 @@ def associate(points: DataFrame, people: DataFrame) -> DataFrame:
             "person_name": F.when(owned, F.col("_owner.full_name")).otherwise(F.col("person_name")),
             "person_match_state": F.when(owned, "exact_person_published").otherwise(F.col("person_match_state")),
         }
-    ).drop("_mail_local", "_key", "_prospect", "_local", "_owner")
+    ).drop("_key", "_prospect", "_local", "_owner")
 
 
 def learn_patterns(pairs: DataFrame, key: str = "domain") -> DataFrame:
@@ -391,25 +394,22 @@ def point_value(kind: Column, value: Column) -> Column:
 def prepare_points(facts: DataFrame, prospects: DataFrame, suppression: DataFrame) -> DataFrame:
     """Point facts with stored value, domain, suppression, utility and source rank.
 
-    Suppression is looked up once per distinct (prospect, mailbox), not per fact.
+    One pass: the suppressed values are distinct, so the three lookups never
+    multiply rows, and Spark broadcasts them when their size allows.
     """
     out = facts.withColumn("value_normalized", point_value(F.col("kind"), F.col("value"))).filter(
         F.col("value_normalized").isNotNull()
     )
     mailbox = F.when(F.col("kind") == "email", F.col("value_normalized"))
-    out = out.withColumn("_mailbox", mailbox)
-    sirens = prospects.select(F.col("id").alias("_id"), "siren")
-    keyed = out.select("prospect_id", "_mailbox").distinct().join(sirens, F.col("prospect_id") == F.col("_id"), "left")
-    keyed = keyed.withColumn("_pair", F.struct("prospect_id", "_mailbox"))
-    hits = suppressed_ids(
-        keyed, suppression, suppression_keys(email=F.col("_mailbox"), siren=F.col("siren")), id_column="_pair"
-    ).select(F.col("_pair.prospect_id").alias("_hit"), F.col("_pair._mailbox").alias("_hit_mailbox"))
-    out = out.join(
-        hits, (F.col("prospect_id") == F.col("_hit")) & F.col("_mailbox").eqNullSafe(F.col("_hit_mailbox")), "left"
-    )
+    listed = lambda kind: suppression.filter(F.col("kind") == kind).select(F.col("value_normalized").alias(f"_{kind}")).distinct()
+    owners = prospects.select(F.col("id").alias("_owner"), F.regexp_replace("siren", "[^0-9]", "").alias("_digits"))
+    owners = owners.join(listed("siren"), F.col("_digits") == F.col("_siren"), "left_semi").select("_owner").distinct()
+    out = out.join(listed("email"), mailbox == F.col("_email"), "left")
+    out = out.join(listed("domain"), F.substring_index(mailbox, "@", -1) == F.col("_domain"), "left")
+    out = out.join(owners, F.col("prospect_id") == F.col("_owner"), "left")
     out = out.withColumns(
         {
-            "is_suppressed": F.col("_hit").isNotNull(),
+            "is_suppressed": F.col("_email").isNotNull() | F.col("_domain").isNotNull() | F.col("_owner").isNotNull(),
             "value_display": F.when(F.col("kind") == "email", F.col("value_normalized")).otherwise(F.trim("value")),
             "domain": F.when(F.col("kind") == "email", F.substring_index("value_normalized", "@", -1)).otherwise(
                 filled(url_host(F.trim("value")))
@@ -422,7 +422,7 @@ def prepare_points(facts: DataFrame, prospects: DataFrame, suppression: DataFram
         F.col("kind"), F.col("publication_state"), F.col("deliverability_state"), F.col("person_match_state"),
         F.col("is_suppressed"),
     )
-    return out.withColumn("utility_state", utility).drop("_mailbox", "_hit", "_hit_mailbox")
+    return out.withColumn("utility_state", utility).drop("_email", "_domain", "_owner")
 
 
 POINT_STATE = ("source_class", "publication_state", "person_match_state", "deliverability_state", "utility_state")

@@ -7,6 +7,7 @@ whole score is one narrow stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -90,9 +91,13 @@ def score_inputs(
     assets: DataFrame,
     awards: DataFrame,
     as_of: AsOf,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Prospects with evidence, award, review, suppression and offer facts."""
-    signals = normalize_signals(evidence)
+    """Prospects with evidence, award, review, suppression and offer facts.
+
+    The normalised evidence is read twice; ``stage`` may write it in between.
+    """
+    signals = stage(normalize_signals(evidence))
     facts = evidence_facts(signals).withColumnRenamed("prospect_id", "id")
     labels = trigger_labels(signals).withColumnRenamed("prospect_id", "id")
     won = award_facts(awards, as_of).withColumnRenamed("prospect_id", "id")

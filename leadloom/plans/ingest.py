@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -22,6 +23,7 @@ from leadloom.operators.contacts import row_id
 from leadloom.operators.evidence import upsert_evidence
 from leadloom.operators.identity import discover_registry, rank_registry, upsert_outcomes, upsert_prospects
 from leadloom.plays import Play
+from leadloom.session import cut_lineage
 from leadloom.sources.sinks import ledger
 
 
@@ -58,17 +60,22 @@ def ingest_awards(
     as_of: str | datetime,
     days: int = 90,
     max_companies: int | None = 200,
+    stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Ingested:
     """Award notices to prospects: filter, group by holder, cut, upsert, merge histories and evidence.
 
+    ``stage`` writes the filtered notices, the holders and the outcomes once, so
+    the notices are scanned once however many tables come out.
+
     ``history`` are the stored award rows per prospect.  The holders kept by the
     cut are few beside the notices, so everything after it is small; a holder
     with very many awards is only ever seen as map-side sums and its newest 50.
     """
-    relevant = filter_relevant(awards, play, as_of, days)
+    relevant = stage(filter_relevant(awards, play, as_of, days))
     holders = aggregate_by_holder(relevant)
     if max_companies:
         holders = top_holders(holders, max_companies)
+    holders = stage(holders)
     details = F.concat(F.col("signal_details"), F.lit(" — "), F.substring("objets_joined", 1, 400))
     # Arrival order: as the holders are ranked; the key breaks ties.
     rank = F.struct(-F.col("award_count"), -F.col("total_cents"), F.col("holder_key"))
@@ -79,7 +86,7 @@ def ingest_awards(
         }
     )
     blocked = suppression.filter(F.col("kind") == "siren")
-    outcomes = upsert_outcomes(incoming, prospects, blocked)
+    outcomes = stage(upsert_outcomes(incoming, prospects, blocked))
     snapshot = upsert_prospects(
         prospects, outcomes.drop("award_history"), "PUBLIC_AWARD", "DECP", fixed.DATA_SOURCE_AWARDS, play.code
     )
@@ -117,14 +124,16 @@ def ingest_registry(
     suppression: DataFrame,
     play: Play,
     max_companies: int | None = 80,
+    stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Ingested:
     """Registry sightings to prospects: one per siren, ranked, cut, upserted, with structural evidence."""
     found = discover_registry(companies, play)
     if max_companies:
         found = rank_registry(found, play, max_companies)
+    found = stage(found)
     incoming = found.withColumns({"signal_details": registry_details(), "ord": F.col("siren")})
     blocked = suppression.filter(F.col("kind") == "siren")
-    outcomes = upsert_outcomes(incoming, prospects, blocked)
+    outcomes = stage(upsert_outcomes(incoming, prospects, blocked))
     flat = outcomes.drop("evidence", "dirigeants")
     snapshot = upsert_prospects(
         prospects, flat, "REGISTRY_FIELD", "Annuaire", fixed.DATA_SOURCE_REGISTRY, play.code

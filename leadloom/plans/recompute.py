@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
@@ -26,9 +27,14 @@ def recompute(
     awards: DataFrame,
     play: Play,
     as_of: AsOf,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Score every prospect in one plan and project the result onto its columns."""
-    inputs = score_inputs(prospects, evidence, reviews, suppression, assets, awards, as_of)
+    """Score every prospect in one plan and project the result onto its columns.
+
+    On large evidence tables pass ``cut_lineage`` as ``stage``: the deduplicated
+    evidence is then shuffled once instead of twice.
+    """
+    inputs = score_inputs(prospects, evidence, reviews, suppression, assets, awards, as_of, stage)
     return project_scores(score(inputs, play), play)
 
 
