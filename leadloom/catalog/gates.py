@@ -212,7 +212,7 @@ def p14(t):
 
 @query("p15_stop_rules", f"""
 WITH f AS (SELECT prospect_id, bool_or(event_type IN ({sql_list(fixed.REPLY_EVENTS)})) AS replied, bool_or(event_type = 'OptOut') AS out
-  FROM s_events WHERE event_date < TIMESTAMP '2024-01-04' GROUP BY 1),
+  FROM s_events GROUP BY 1),
 x AS (SELECT t.touch_id, CASE WHEN f.replied THEN 'prospect_replied' WHEN t.bounced THEN 'email_bounced' WHEN f.out THEN 'opt_out_requested'
   WHEN t.prospect_id IN ({HITS}) THEN 'suppression_entry_matched' END AS stop_reason FROM s_touches t LEFT JOIN f USING (prospect_id))
 SELECT touch_id, stop_reason IS NOT NULL AS stopped, stop_reason FROM x
@@ -220,8 +220,7 @@ SELECT touch_id, stop_reason IS NOT NULL AS stopped, stop_reason FROM x
 def p15(t):
     keys = compliance.suppression_keys(email=F.col("email"), siren=F.col("siren"))
     hits = compliance.suppressed_ids(t.s_prospects, t.s_suppression, keys)
-    early = t.s_events.filter(F.col("event_date") < F.lit("2024-01-04").cast("timestamp_ntz"))
-    return compliance.stop_rules(t.s_touches, early, hits).select("touch_id", "stopped", "stop_reason")
+    return compliance.stop_rules(t.s_touches, t.s_events, hits).select("touch_id", "stopped", "stop_reason")
 
 
 @query("p16_url_safety")

@@ -11,13 +11,13 @@ from leadloom.standins import EVENTS_AS_OF
 
 
 @query("j1_company_lookup", """
-WITH p AS (SELECT id, siren, CASE WHEN siret IS NOT NULL THEN siren || '00077' END AS siret FROM s_prospects WHERE id % 3 <> 0)
+WITH p AS (SELECT id, siren, CASE WHEN siret IS NOT NULL THEN siren || '00077' END AS siret FROM s_prospects)
 SELECT r.sighting, coalesce((SELECT min(id) FROM p WHERE p.siret = r.siret), (SELECT min(id) FROM p WHERE p.siren = r.siren)) AS matched_id,
   CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.siret = r.siret) THEN 'siret' WHEN EXISTS (SELECT 1 FROM p WHERE p.siren = r.siren) THEN 'siren' END AS matched_by
 FROM s_registry r
 """)
 def j1(t):
-    known = t.s_prospects.filter(F.col("id") % 3 != 0).select(
+    known = t.s_prospects.select(
         "id", "siren", F.when(F.col("siret").isNotNull(), F.concat("siren", F.lit("00077"))).alias("siret")
     )
     return identity.match_prospects(t.s_registry, known).select("sighting", "matched_id", "matched_by")

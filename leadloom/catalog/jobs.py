@@ -261,15 +261,14 @@ def d13(t):
 
 
 def award_job(t) -> ingest.Ingested:
-    known = t.s_prospects.filter(F.col("id") % 4 != 1)
     return ingest.ingest_awards(
-        t.s_awards, known, t.s_award_rows, t.s_evidence, t.s_suppression, FIELD_SERVICE, AWARDS_AS_OF, days=400, max_companies=None
+        t.s_awards, t.s_prospects, t.s_award_rows, t.s_evidence, t.s_suppression, FIELD_SERVICE, AWARDS_AS_OF, days=400, max_companies=None
     )
 
 
 _INGEST = f"""
 {HOLDERS},
-known AS (SELECT * FROM s_prospects WHERE id % 4 <> 1),
+known AS (SELECT * FROM s_prospects),
 inc AS (SELECT *, signal_details || CASE WHEN objets_joined <> '' THEN ' — ' || substring(objets_joined, 1, 400) ELSE '' END AS details, (SELECT min(id) FROM known k WHERE k.siren = described.siren) AS hit FROM described
   WHERE siren NOT IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren')),
 late AS (SELECT *, row_number() OVER (PARTITION BY siren ORDER BY award_count, total_cents, holder_key DESC) AS from_last FROM inc),
@@ -304,13 +303,12 @@ def d15b(t):
 WITH {_DISCOVERED},
 cut AS (SELECT * FROM found ORDER BY CASE WHEN substring(coalesce(naf_code, ''), 1, 2) IN ('33', '43', '81', '71') THEN 0 ELSE 1 END, CASE WHEN company_size IN ('11-50', '51-200') THEN 0 ELSE 1 END,
   CASE WHEN decision_maker_name IS NOT NULL THEN 0 ELSE 1 END, siren LIMIT 80),
-known AS (SELECT * FROM s_prospects WHERE id % 3 <> 0)
+known AS (SELECT * FROM s_prospects)
 SELECT c.siren, c.company_name, CASE WHEN k.id IS NULL THEN 'REGISTRY_FIELD' ELSE k.signal_type END AS signal_type, coalesce(k.signal_details, 'Field-service registry · NAF ' || coalesce(c.naf_code, 'None') || ' · ' || c.company_size || ' · ' || coalesce(c.decision_maker_title, '')) AS signal_details,
   CASE WHEN k.id IS NULL THEN 'created' ELSE 'updated' END AS changed FROM cut c LEFT JOIN known k ON k.siren = c.siren WHERE c.siren NOT IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren')
 """)
 def d16(t):
-    known = t.s_prospects.filter(F.col("id") % 3 != 0)
-    out = ingest.ingest_registry(t.s_registry, known, t.s_evidence, t.s_suppression, FIELD_SERVICE)
+    out = ingest.ingest_registry(t.s_registry, t.s_prospects, t.s_evidence, t.s_suppression, FIELD_SERVICE)
     return out.prospects.filter(F.col("changed").isNotNull()).select("siren", "company_name", "signal_type", "signal_details", "changed")
 
 

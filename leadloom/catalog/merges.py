@@ -71,7 +71,7 @@ def u4(t):
 
 
 _UPSERT = """
-known AS (SELECT * FROM s_prospects WHERE id % 3 <> 0),
+known AS (SELECT * FROM s_prospects),
 inc AS (SELECT *, siren IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren') AS blocked, (SELECT min(id) FROM known k WHERE k.siren = s_registry.siren) AS hit FROM s_registry),
 o AS (SELECT *, CASE WHEN blocked THEN 'skipped' WHEN hit IS NOT NULL THEN 'updated' WHEN row_number() OVER (PARTITION BY siren, blocked ORDER BY sighting) = 1 THEN 'created' ELSE 'updated' END AS outcome FROM inc)
 """
@@ -83,7 +83,7 @@ def registry_incoming(t):
 
 
 def registry_outcomes(t):
-    known = t.s_prospects.filter(F.col("id") % 3 != 0)
+    known = t.s_prospects
     return known, identity.upsert_outcomes(registry_incoming(t), known, t.s_suppression.filter(F.col("kind") == "siren"))
 
 

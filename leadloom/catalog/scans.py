@@ -268,8 +268,7 @@ def award_outcomes(t):
     holders = aggregate_by_holder(filter_relevant(t.s_awards, FIELD_SERVICE, AWARDS_AS_OF, 400))
     incoming = holders.withColumn("ord", F.col("holder_key"))
     blocked = t.s_suppression.filter(F.col("kind") == "siren")
-    known = t.s_prospects.filter(F.col("id") % 4 != 1)
-    return upsert_outcomes(incoming, known, blocked)
+    return upsert_outcomes(incoming, t.s_prospects, blocked)
 
 
 RELEVANT = f"""
@@ -287,7 +286,7 @@ WITH relevant AS ({RELEVANT.replace("{days}", "400")}),
 holders AS (SELECT CASE WHEN length(holder_digits) = 9 THEN holder_digits ELSE substring(holder_digits, 1, 14) END AS holder_key, count(*) AS n
   FROM relevant WHERE length(holder_digits) = 9 OR length(holder_digits) >= 14 GROUP BY 1),
 ranked AS (SELECT *, substring(holder_key, 1, 9) AS siren, CASE WHEN length(holder_key) = 14 THEN holder_key END AS siret FROM holders),
-known AS (SELECT * FROM s_prospects WHERE id % 4 <> 1),
+known AS (SELECT * FROM s_prospects),
 marked AS (SELECT r.*, r.siren IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren') AS blocked,
   coalesce((SELECT min(k.id) FROM known k WHERE k.siret = r.siret), (SELECT min(k.id) FROM known k WHERE k.siren = r.siren)) AS hit FROM ranked r),
 labelled AS (SELECT *, CASE WHEN blocked THEN 'skipped' WHEN hit IS NOT NULL THEN 'updated'

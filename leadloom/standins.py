@@ -63,9 +63,9 @@ SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) AS
             WHEN 'SMALL' THEN '30000000' WHEN 'MEDIUM' THEN '71330000' ELSE '90910000' END AS codeCPV,
        {pick("p.p_size", "Contrat maintenance ", "Installation Climatisation ", "Développement logiciel ", "Fourniture ",
              "Dépannage technicien ")} || p.p_name AS objetMarche,
-       CASE WHEN l.l_suppkey % 10 = 9 THEN {padded("l.l_suppkey", 9)}
-            WHEN l.l_suppkey % 10 = 8 THEN {padded("l.l_suppkey", 11)}
-            ELSE {padded("l.l_suppkey", 9)} || {padded("l.l_linenumber", 5)} END AS titulaire_siret,
+       CASE WHEN l.l_suppkey % 10 = 9 THEN {padded("l.l_suppkey * 31", 9)}
+            WHEN l.l_suppkey % 10 = 8 THEN {padded("l.l_suppkey * 31", 11)}
+            ELSE {padded("l.l_suppkey * 31", 9)} || {padded("l.l_linenumber", 5)} END AS titulaire_siret,
        'Supplier ' || CAST(l.l_suppkey AS STRING) AS titulaire_nom,
        CASE WHEN l.l_orderkey % 97 = 0 THEN NULL ELSE l.l_extendedprice END AS montant,
        CAST(o.o_custkey AS STRING) AS acheteur_nom
@@ -407,13 +407,13 @@ FROM {conversations}
 """
 
 VIEWS["s_touches"] = """
-SELECT event_id AS touch_id, user_id AS prospect_id, value > 45 AS bounced FROM {events} WHERE event_type IN ('view', 'signup')
+SELECT o_orderkey AS touch_id, o_custkey AS prospect_id, o_totalprice > 300000 AS bounced FROM {orders}
 """
 
 VIEWS["s_registry"] = f"""
-SELECT k AS sighting, {padded("k % 4000", 9)} AS siren,
-       CASE WHEN k % 3 <> 0 THEN {padded("k % 4000", 9)} || '00077' END AS siret,
-       'Registre ' || CAST(k % 4000 AS STRING) AS company_name,
+SELECT k AS sighting, {padded(part_of("k", 2), 9)} AS siren,
+       CASE WHEN k % 3 <> 0 THEN {padded(part_of("k", 2), 9)} || '00077' END AS siret,
+       'Registre ' || CAST({part_of("k", 2)} AS STRING) AS company_name,
        {pick("k", "4322B", "6201Z", "8110Z", "5610A", "7112B", None, "3312Z", "4120A")} AS naf_code,
        {pick("k", "Field Services", "IT / Digital", "Other")} AS sector,
        {pick(part_of("k", 3), "1-10", "11-50", "51-200", "unknown")} AS company_size,
