@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,21 +40,48 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder for intermediate tables, on the cluster's shared storage where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadloom-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+_LOCAL_BASE: list[str] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder so later stages survive lost executors.
+def shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is
-    used only where neither that nor a context folder is set (local tests).
+    Only a session whose tasks run inside the driver (``local[n]``) may do without: it gets a folder of its own.
+    Anywhere else a missing setting is an error, since executors would each write to their own disk.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leadloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL_BASE:
+        _LOCAL_BASE.append(tempfile.mkdtemp(prefix="leadloom-"))
+    return _LOCAL_BASE[0]
+
+
+def _on_exit(spark: SparkSession, folder: str) -> None:
+    """Let the driver delete the folder when it ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate tables on the shared storage; deleted when the driver ends."""
+    folder = f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+    _on_exit(spark, folder)
+    return folder
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that is read more than once to the shared folder, as parquet, and read it back.
+
+    Parquet prunes columns and keeps statistics, and the rows survive lost executors.
+    """
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Stage a table so later steps neither recompute it nor depend on single executors."""
+    return stage(df, "rows")
