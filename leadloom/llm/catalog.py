@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe_automaton, entropy_secrets, exact_dedup, mixing, perspectives, virtual_slots
+from leadloom.llm import bpe_automaton, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +135,11 @@ def bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_minhash_hamming")
+def near(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_hamming.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op8_entropy_secrets")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     spans, base = F.col("spans"), ("assign", "access", "hex")
