@@ -18,6 +18,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ PRE_SPLIT = (
     r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-WORDS_KEPT = 600_000
+WORDS_KEPT = 900_000
+ROWS = 256
 FOREVER = 1 << 60
 
 
@@ -96,6 +98,8 @@ class Automaton:
         found = self.words.get(word)
         if found is not None:
             return found
+        if len(self.words) >= WORDS_KEPT:
+            self.words.clear()
         data, arcs, step, token_at, length = word.encode(), self.arcs, self.step, self.token_at, self.length
         size, at, dead = len(data), 0, set()
         path: list[int] = []
@@ -132,20 +136,21 @@ class Automaton:
                 open_arcs.pop()
                 at -= length[path.pop()]
         packed = array("i", path).tobytes()
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
         if len(self.arcs) >= 10 * WORDS_KEPT:
             self.arcs.clear()
         self.words[word] = packed
         return packed
 
     def encode(self, text: str, split) -> bytes:
+        """Packed token ids of a text."""
         words = self.words
         if not any(s in text for s in self.special):
             return b"".join([words.get(w) or self.encode_word(w) for w in split(text)])
-        parts = regex.split("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")", text)
-        pack = lambda part: np.array([self.special[part]], np.int32).tobytes() if part in self.special else b"".join([self.encode_word(w) for w in split(part)])
-        return b"".join(map(pack, parts))
+        cut = "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
+        return b"".join([self._encode_part(part, split) for part in regex.split(cut, text)])
+
+    def _encode_part(self, part: str, split) -> bytes:
+        return array("i", [self.special[part]]).tobytes() if part in self.special else self.encode(part, split)
 
     def decode(self, ids: list[int]) -> str:
         labels = self.labels
@@ -163,6 +168,13 @@ def load(path: str) -> Automaton:
     return Automaton(model["vocab"], merges, special)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so a task holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PRE_SPLIT) -> DataFrame:
     """``id, tokens`` (array of int) per row; null counts as empty and gives no tokens.
 
@@ -174,7 +186,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, split = load(path), regex.compile(pattern).findall
-        for batch in batches:
+        for batch in parts(batches):
             packed = [automaton.encode(text, split) for text in batch.column("text").to_pylist()]
             offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -190,8 +202,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load(path)
-        for batch in batches:
-            decoded = pa.array([automaton.decode(ids) for ids in batch.column("tokens").to_pylist()], pa.string())
+        for batch in parts(batches):
+            tokens = batch.column("tokens")
+            values, ends = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+            decoded = pa.array([automaton.decode(values[a:b].tolist()) for a, b in pairwise(ends)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tokens"), decoded], names=["id", "tokens", "decoded"])
 
     return rows.mapInArrow(run, schema)

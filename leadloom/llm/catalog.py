@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe_automaton, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, virtual_slots
+from leadloom.llm import bpe_automaton, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, robust_quality, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,22 @@ def exact(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
+@query("op2_robust_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return robust_quality.judge(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cell", "distance"
+    )
+
+
+@query("op3_pii_patterns")
+def personal(spark: SparkSession, folder: str) -> DataFrame:
+    base, kinds = F.col("base"), pii_patterns.KINDS
+    count = lambda kind: F.size(of_kind(base, kind)).cast("long").alias(f"n_{kind}")
+    return pii_patterns.personal_data(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), *map(count, kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 MIX_SQL = r"""
     WITH sized AS (
         SELECT doc_id, source, coalesce(text, '') AS body,
