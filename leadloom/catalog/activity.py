@@ -47,7 +47,7 @@ def a1b(t):
 
 @query("a1c_holder_evidence", f"""
 WITH {HOLDERS}
-SELECT holder_key, 'PUBLIC_AWARD_RECENT' AS signal_type, signal_details || ' — ' || substring(objets_joined, 1, 300) AS evidence_text, CASE WHEN award_count >= 2 THEN 65 ELSE 50 END AS strength FROM described
+SELECT holder_key, 'PUBLIC_AWARD_RECENT' AS signal_type, signal_details || ' — ' || objets_joined AS evidence_text, CASE WHEN award_count >= 2 THEN 65 ELSE 50 END AS strength FROM described
 UNION ALL SELECT holder_key, 'PUBLIC_AWARD_MULTI', CAST(award_count AS VARCHAR) || ' awards in discovery window', 70 FROM described WHERE award_count >= 2
 UNION ALL SELECT holder_key, 'PUBLIC_SERVICE_DELIVERY', 'Supplier on public awards matching field-service play filters', 40 FROM described
 """, whole="strength")
@@ -111,7 +111,7 @@ def a5(t):
 
 
 @query("a6_common_objections", """
-SELECT substring(lower(trim(notes)), 1, 120) AS note, count(*) AS count FROM s_events e WHERE event_type IN ('Refused', 'ClosedLost') AND notes <> ''
+SELECT lower(trim(notes)) AS note, count(*) AS count FROM s_events e WHERE event_type IN ('Refused', 'ClosedLost') AND notes <> ''
   AND prospect_id IN (SELECT id FROM s_prospects WHERE NOT anonymized) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10
 """)
 def a6(t):
@@ -139,14 +139,15 @@ ranked AS (SELECT *, CASE WHEN event_type = 'Replied' THEN 0 WHEN event_type = '
 queue AS (SELECT *, CASE WHEN action_rank < 5 OR opportunity_score <> 0 THEN opportunity_score ELSE acquisition_score END AS queue_score FROM ranked
   ORDER BY action_rank, CASE WHEN action_rank = 2 THEN late ELSE 0 END DESC, queue_score DESC, id LIMIT 40)
 """
+_WHOLE_QUEUE = _QUEUE.replace(" LIMIT 40)", ")")
 
 
-def the_queue(t):
-    return activity.action_queue(t.s_prospects, t.s_events, t.s_tasks, EVENTS_AS_OF, min_score=50)
+def the_queue(t, limit=None):
+    return activity.action_queue(t.s_prospects, t.s_events, t.s_tasks, EVENTS_AS_OF, min_score=50, limit=limit)
 
 
 @query("a8_queue_counts", f"""
-WITH {_QUEUE} SELECT count(*) AS total, count(*) FILTER (manual_review_state = 'unreviewed') AS need_review, count(*) FILTER (readiness_state = 'contact_ready') AS ready,
+WITH {_WHOLE_QUEUE} SELECT count(*) AS total, count(*) FILTER (manual_review_state = 'unreviewed') AS need_review, count(*) FILTER (readiness_state = 'contact_ready') AS ready,
   count(*) FILTER (opportunity_score >= 65) AS high FROM queue
 """)
 def a8(t):
@@ -216,7 +217,7 @@ def w2(t):
 
 @query("w3_action_queue", f"WITH {_QUEUE} SELECT id, action_rank, queue_score, late AS days_overdue FROM queue", whole="action_rank queue_score")
 def w3(t):
-    return the_queue(t).select("id", "action_rank", "queue_score", "days_overdue")
+    return the_queue(t, 40).select("id", "action_rank", "queue_score", "days_overdue")
 
 
 @query("o1_list_page", """

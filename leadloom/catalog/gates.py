@@ -107,8 +107,8 @@ def fingerprint_sql(prefix: str = "") -> str:
     c = lambda name: f"coalesce({prefix}{name}, '')"
     return (
         f"substring(sha256(lower(trim({c('source_type')})) || '|' || upper(trim({c('signal_type')})) || '|' || "
-        f"substring(lower(trim({c('evidence_url')})), 1, 200) || '|' || "
-        f"substring(regexp_replace(lower(trim({c('evidence_text')})), '\\s+', ' ', 'g'), 1, 120) || '|'), 1, 32)"
+        f"lower(trim({c('evidence_url')})) || '|' || "
+        f"regexp_replace(lower(trim({c('evidence_text')})), '\\s+', ' ', 'g') || '|'), 1, 32)"
     )
 
 

@@ -50,13 +50,12 @@ def j3(t):
 @query("j4_evidence_lists", """
 WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY id) AS rn, count(*) OVER (PARTITION BY prospect_id) AS n
   FROM s_evidence WHERE is_active)
-SELECT prospect_id, max(n) AS evidence_count, string_agg(CAST(id AS VARCHAR) || ':' || coalesce(label, '-'), ',' ORDER BY rn) AS items
-FROM ranked WHERE rn <= 40 GROUP BY 1
+SELECT prospect_id, id, label, rn AS position, n AS evidence_count FROM ranked
 """)
 def j4(t):
-    item = lambda e: F.concat(e["id"].cast("string"), F.lit(":"), F.coalesce(e["label"], F.lit("-")))
-    out = evidence.evidence_lists(t.s_evidence)
-    return out.select("prospect_id", "evidence_count", F.array_join(F.transform("evidence_json", item), ",").alias("items"))
+    rows = evidence.evidence_rows(t.s_evidence)
+    counts = rows.groupBy("prospect_id").agg(F.max("position").alias("evidence_count"))
+    return rows.select("prospect_id", "id", "label", "position").join(counts, "prospect_id")
 
 
 LATEST_REVIEW = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY created_at DESC, id DESC) AS rn FROM s_reviews) r WHERE rn = 1"
@@ -158,7 +157,7 @@ WITH page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDE
     (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '') AS host FROM s_site_pages) a) b WHERE rn = 1),
 c AS (SELECT p.id, p.siren, page.host, page.html,
     list_filter(list_distinct(regexp_extract_all(lower(strip_accents(p.company_name)), '[a-z0-9]{3,}')), lambda w: w NOT IN ('sas', 'sarl', 'sa', 'eurl', 'sasu', 'societe', 'groupe', 'france')) AS words,
-    regexp_extract_all(lower(strip_accents(substring(page.html, 1, 5000))), '[a-z0-9]{3,}') AS shown,
+    regexp_extract_all(lower(strip_accents(page.html)), '[a-z0-9]{3,}') AS shown,
     regexp_extract_all(replace(replace(page.host, '.', ' '), '-', ' '), '[a-z0-9]{3,}') AS hostwords
   FROM s_prospects p JOIN page ON page.host = 'c' || CAST(p.id % 500 AS VARCHAR) || '.example.fr'),
 s AS (SELECT *, greatest(len(list_intersect(words, shown)), len(list_intersect(words, hostwords))) AS k, greatest(1, len(words)) AS n FROM c)

@@ -289,10 +289,10 @@ def d15(t):
 @query("d15b_award_ingest_evidence", f"""
 WITH {_INGEST},
 old AS (SELECT DISTINCT prospect_id, {fingerprint_sql()} AS fp FROM s_evidence WHERE is_active),
-items AS (SELECT siren, hit, 'PUBLIC_AWARD_RECENT' AS signal_type, signal_details || ' — ' || substring(objets_joined, 1, 300) AS evidence_text FROM inc
+items AS (SELECT siren, hit, 'PUBLIC_AWARD_RECENT' AS signal_type, signal_details || ' — ' || objets_joined AS evidence_text FROM inc
   UNION ALL SELECT siren, hit, 'PUBLIC_AWARD_MULTI', CAST(award_count AS VARCHAR) || ' awards in discovery window' FROM inc WHERE award_count >= 2
   UNION ALL SELECT siren, hit, 'PUBLIC_SERVICE_DELIVERY', 'Supplier on public awards matching field-service play filters' FROM inc),
-u AS (SELECT DISTINCT siren, hit, signal_type, substring(sha256('decp|' || signal_type || '||' || substring(regexp_replace(lower(trim(evidence_text)), '\\s+', ' ', 'g'), 1, 120) || '|'), 1, 32) AS fp FROM items)
+u AS (SELECT DISTINCT siren, hit, signal_type, substring(sha256('decp|' || signal_type || '||' || regexp_replace(lower(trim(evidence_text)), '\\s+', ' ', 'g') || '|'), 1, 32) AS fp FROM items)
 SELECT signal_type, fp AS fingerprint, count(*) AS n FROM u WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.prospect_id = u.hit AND old.fp = u.fp) GROUP BY 1, 2
 """)
 def d15b(t):
@@ -301,8 +301,7 @@ def d15b(t):
 
 @query("d16_registry_ingest", f"""
 WITH {_DISCOVERED},
-cut AS (SELECT * FROM found ORDER BY CASE WHEN substring(coalesce(naf_code, ''), 1, 2) IN ('33', '43', '81', '71') THEN 0 ELSE 1 END, CASE WHEN company_size IN ('11-50', '51-200') THEN 0 ELSE 1 END,
-  CASE WHEN decision_maker_name IS NOT NULL THEN 0 ELSE 1 END, siren LIMIT 80),
+cut AS (SELECT * FROM found),
 known AS (SELECT * FROM s_prospects)
 SELECT c.siren, c.company_name, CASE WHEN k.id IS NULL THEN 'REGISTRY_FIELD' ELSE k.signal_type END AS signal_type, coalesce(k.signal_details, 'Field-service registry · NAF ' || coalesce(c.naf_code, 'None') || ' · ' || c.company_size || ' · ' || coalesce(c.decision_maker_title, '')) AS signal_details,
   CASE WHEN k.id IS NULL THEN 'created' ELSE 'updated' END AS changed FROM cut c LEFT JOIN known k ON k.siren = c.siren WHERE c.siren NOT IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren')

@@ -18,23 +18,22 @@ OLD = OLD_SIDE.replace("o_orderdate", "observed_at")
 
 @query("u1_union_of_sources", f"""
 WITH {HOLDERS}, r AS (SELECT DISTINCT siren FROM s_registry)
-SELECT 'decp' AS origin, siren FROM (SELECT * FROM described ORDER BY award_count DESC, total_cents DESC, holder_key LIMIT 150) a
-UNION ALL SELECT 'registry', siren FROM (SELECT * FROM r ORDER BY siren LIMIT 75) b
+SELECT 'decp' AS origin, siren FROM described UNION ALL SELECT 'registry', siren FROM r
 """)
 def u1(t):
-    won = holders(t).orderBy(F.desc("award_count"), F.desc("total_cents"), "holder_key").select(F.lit("decp").alias("origin"), "siren")
-    registered = t.s_registry.select("siren").distinct().orderBy("siren").select(F.lit("registry").alias("origin"), "siren")
-    return identity.collect_sources(won, registered, "full", 150)
+    won = holders(t).select(F.lit("decp").alias("origin"), "siren")
+    registered = t.s_registry.select("siren").distinct().select(F.lit("registry").alias("origin"), "siren")
+    return identity.collect_sources(won, registered)
 
 
 @query("u2_award_history", """
 WITH o AS (SELECT *, prospect_id % 3 <> 0 AND CAST(id AS BIGINT) % 3 = 0 AS is_new FROM s_award_rows),
-k AS (SELECT *, substring(objet, 1, 80) AS head FROM o),
+k AS (SELECT *, objet AS head FROM o),
 fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prospect_id, id, date, head ORDER BY cpv, montant NULLS FIRST, acheteur) AS copy FROM k WHERE is_new) x WHERE copy = 1
   AND NOT EXISTS (SELECT 1 FROM k old WHERE NOT old.is_new AND old.prospect_id = x.prospect_id AND old.id = x.id AND old.date IS NOT DISTINCT FROM x.date AND old.head = x.head)),
 m AS (SELECT prospect_id, id, date, objet, montant, FALSE AS is_new FROM k WHERE NOT is_new UNION ALL SELECT prospect_id, id, date, objet, montant, TRUE FROM fresh),
 r AS (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY date DESC NULLS LAST, id, objet, montant NULLS FIRST, is_new) AS position FROM m)
-SELECT prospect_id, position, id, date, montant FROM r WHERE position <= 50
+SELECT prospect_id, position, id, date, montant FROM r
 """)
 def u2(t):
     fresh = (F.col("prospect_id") % 3 != 0) & (F.col("id").cast("long") % 3 == 0)
@@ -50,7 +49,7 @@ def old_and_new(t):
 @query("u3_evidence_upsert", f"""
 WITH f AS (SELECT *, {fingerprint_sql()} AS fingerprint FROM s_evidence),
 known AS (SELECT DISTINCT prospect_id, fingerprint FROM f WHERE {OLD} AND is_active),
-call AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY id) AS nth FROM f WHERE {NEW}) x WHERE nth <= 20),
+call AS (SELECT * FROM f WHERE {NEW}),
 u AS (SELECT *, row_number() OVER (PARTITION BY prospect_id, fingerprint ORDER BY id) AS copy FROM call)
 SELECT u.id, u.prospect_id, coalesce(signal_type, 'UNKNOWN') AS signal_type, coalesce(label, '') AS label, coalesce(nullif(confidence, 0), 50) AS confidence, coalesce(nullif(strength, 0), 50) AS strength
 FROM u LEFT JOIN known k ON k.prospect_id = u.prospect_id AND k.fingerprint = u.fingerprint WHERE copy = 1 AND k.prospect_id IS NULL
@@ -64,7 +63,7 @@ def u3(t):
 WITH f AS (SELECT *, {fingerprint_sql()} AS fingerprint, NOT ({OLD}) AS is_new FROM s_evidence WHERE is_active),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prospect_id, fingerprint ORDER BY is_new, id) AS copy FROM f) x WHERE copy = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY is_new, id) AS position FROM u)
-SELECT prospect_id, position, id FROM r WHERE position <= 40
+SELECT prospect_id, position, id FROM r
 """)
 def u4(t):
     return evidence.merge_evidence_cache(*old_and_new(t)).select("prospect_id", "position", "id")

@@ -198,6 +198,7 @@ def m13(t):
 
 @query("d1_recompute", f"""
 WITH {SCORED} SELECT id, fit AS fit_score, pain AS pain_score, trigger_score, authority AS authority_score, value AS value_score, dq AS data_quality_score, score AS opportunity_score, state AS readiness_state FROM scored
+WHERE id IN (SELECT id FROM s_prospects WHERE NOT anonymized)
 """, whole="fit_score pain_score trigger_score authority_score value_score data_quality_score opportunity_score")
 def d1(t):
     from leadloom.plans.recompute import recompute

@@ -28,11 +28,12 @@ def days_before(as_of: str | date | datetime, days: int) -> Column:
     return when_is(as_of) - F.expr(f"INTERVAL '{int(days)}' DAY")
 
 
-def top_per(df: DataFrame, keys: Sequence[str | Column], order: Order, n: int, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of every group under a total order."""
+def top_per(df: DataFrame, keys: Sequence[str | Column], order: Order, n: int | None, rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows of every group under a total order; None numbers all of them."""
     position = rank or "_rank"
     window = Window.partitionBy(*keys).orderBy(*order)
-    kept = df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= n)
+    kept = df.withColumn(position, F.row_number().over(window))
+    kept = kept if n is None else kept.filter(F.col(position) <= n)
     return kept if rank else kept.drop(position)
 
 

@@ -99,11 +99,11 @@ def action_queue(
     min_score: int | None = 55,
     readiness: str | None = None,
     review_state: str | None = None,
-    limit: int | None = 40,
+    limit: int | None = None,
 ) -> DataFrame:
     """What to do next, best first: replies, meetings, overdue follow-ups, tasks, then readiness.
 
-    All prospects are ranked; only the final cut is a top-k.
+    All prospects are ranked; ``limit`` asks for the first few.
     """
     pool = reachable(prospects)
     if readiness:
@@ -248,7 +248,7 @@ def objections(prospects: DataFrame, events: DataFrame, n: int = 10) -> DataFram
     refused = events_of_known(prospects, events).filter(
         F.col("event_type").isin(*fixed.OBJECTION_EVENTS) & is_filled(F.col("notes"))
     )
-    note = F.substring(F.lower(strip(F.col("notes"))), 1, 120).alias("note")
+    note = F.lower(strip(F.col("notes"))).alias("note")
     counts = refused.groupBy(note).agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.desc("count"), "note").limit(n)
 

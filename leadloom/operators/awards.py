@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +77,7 @@ def holder_awards(filtered: DataFrame) -> DataFrame:
         "award_date",
         F.col("id"),
         date_iso(F.col("award_date")).alias("date"),
-        F.substring(text(F.col("objetMarche")), 1, 500).alias("objet"),
+        text(F.col("objetMarche")).alias("objet"),
         F.col("codeCPV").alias("cpv"),
         "montant",
         "montant_quality",
@@ -151,7 +151,7 @@ def holder_evidence(holders: DataFrame) -> DataFrame:
 
     recent = item(
         "trigger", "PUBLIC_AWARD_RECENT", "Recent public award",
-        F.concat(F.col("signal_details"), F.lit(" — "), F.substring("objets_joined", 1, 300)),
+        F.concat(F.col("signal_details"), F.lit(" — "), F.col("objets_joined")),
         70, F.when(multiple, 65).otherwise(50),
     )
     several = item(
@@ -207,29 +207,17 @@ def award_facts(rows: DataFrame, as_of: str | date | datetime, days: int = 90) -
     )
 
 
-def merge_awards(old: DataFrame, new: DataFrame, keep: int = HISTORY_LIMIT) -> DataFrame:
-    """Old award rows plus unseen new ones, the newest ``keep`` per prospect.
+def merge_awards(old: DataFrame, new: DataFrame, keep: int | None = None) -> DataFrame:
+    """Old award rows plus unseen new ones, numbered from the newest; ``keep`` asks for the newest few only.
 
     Both inputs hold ``prospect_id`` and the award fields.  An award is known
-    by id, date and the first 80 characters of its object.
+    by id, date and its object.
     """
-    keys = ["prospect_id", "id", "date", "objet_head"]
-    head = F.substring(text(F.col("objet")), 1, 80)
-    before, incoming = old.withColumn("objet_head", head), new.withColumn("objet_head", head)
+    keys = ["prospect_id", "id", "date", "objet_key"]
+    whole = text(F.col("objet"))
+    before, incoming = old.withColumn("objet_key", whole), new.withColumn("objet_key", whole)
     incoming = first_per(incoming, keys, ["cpv", "montant", "acheteur"])
     unseen = incoming.join(before.select(*keys).distinct(), null_safe(incoming, before, keys), "left_anti")
     merged = before.withColumn("is_new", F.lit(False)).unionByName(unseen.withColumn("is_new", F.lit(True)))
     kept = top_per(merged, ["prospect_id"], newest_first("is_new"), keep, rank="position")
-    return kept.drop("objet_head")
-
-
-def latest_tender(current: Column, incoming: Column) -> Column:
-    """The later of two tender dates, ignoring NULLs."""
-    return F.greatest(current, incoming)
-
-
-
-
-def window_start(as_of: datetime, days: int) -> datetime:
-    """The start of the look-back window, for readers that push the date down."""
-    return as_of - timedelta(days=days)
+    return kept.drop("objet_key")

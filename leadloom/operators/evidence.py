@@ -10,8 +10,7 @@ from leadloom.frames import bounded_list, first_per, top_per
 from leadloom.functions.rules import any_of, compact, filled, first_match, is_filled, nonzero, text, yes
 from leadloom.functions.text import evidence_fingerprint, strip
 
-CACHE_LIMIT = 40
-PER_CALL_LIMIT = 20
+LABELS_SHOWN = 40
 CACHE_FIELDS = ("category", "signal_type", "label", "evidence_text", "source_type", "confidence", "strength",
                 "manually_confirmed")
 
@@ -66,14 +65,20 @@ def evidence_facts(signals: DataFrame) -> DataFrame:
     )
 
 
-def trigger_labels(signals: DataFrame, keep: int = CACHE_LIMIT) -> DataFrame:
-    """The first trigger labels per prospect, as many as the evidence cache holds."""
+def trigger_labels(signals: DataFrame, keep: int = LABELS_SHOWN) -> DataFrame:
+    """The first trigger labels per prospect, as many as an explanation shows."""
     triggers = signals.filter((F.col("category") == "trigger") & is_filled(F.col("label")))
     ranked = top_per(triggers, ["prospect_id"], ["id"], keep, rank="position")
     return bounded_list(ranked, ["prospect_id"], "position", F.col("label"), "trigger_labels")
 
 
-def evidence_lists(evidence: DataFrame, keep: int = CACHE_LIMIT) -> DataFrame:
+def evidence_rows(evidence: DataFrame) -> DataFrame:
+    """All active evidence with its ``position`` within the prospect; rows, so a prospect may have any number."""
+    active = evidence.filter(F.coalesce(F.col("is_active"), F.lit(True)))
+    return top_per(active, ["prospect_id"], ["id"], None, rank="position")
+
+
+def evidence_lists(evidence: DataFrame, keep: int) -> DataFrame:
     """Active evidence per prospect as one row: its count and the first ``keep`` items as a list."""
     active = evidence.filter(F.coalesce(F.col("is_active"), F.lit(True)))
     counts = active.groupBy("prospect_id").agg(F.count(F.lit(1)).alias("evidence_count"))
@@ -82,8 +87,8 @@ def evidence_lists(evidence: DataFrame, keep: int = CACHE_LIMIT) -> DataFrame:
     return counts.join(lists, "prospect_id")
 
 
-def merge_evidence_cache(old: DataFrame, new: DataFrame, keep: int = CACHE_LIMIT) -> DataFrame:
-    """Old then new evidence, first of each fingerprint, the first ``keep`` per prospect."""
+def merge_evidence_cache(old: DataFrame, new: DataFrame, keep: int | None = None) -> DataFrame:
+    """Old then new evidence, first of each fingerprint, numbered per prospect; ``keep`` asks for the first few only."""
     both = old.withColumn("is_new", F.lit(False)).unionByName(
         new.withColumn("is_new", F.lit(True)), allowMissingColumns=True
     )
@@ -92,10 +97,10 @@ def merge_evidence_cache(old: DataFrame, new: DataFrame, keep: int = CACHE_LIMIT
     return top_per(unique, ["prospect_id"], ["is_new", "id"], keep, rank="position")
 
 
-def upsert_evidence(old: DataFrame, new: DataFrame, per_call: int | None = PER_CALL_LIMIT) -> DataFrame:
+def upsert_evidence(old: DataFrame, new: DataFrame, per_call: int | None = None) -> DataFrame:
     """Rows to append: new evidence whose fingerprint is not among the prospect's active rows.
 
-    ``per_call`` is how many items one call may bring per prospect; None takes all.
+    All items are taken unless ``per_call`` says how many a call may bring per prospect.
     """
     if per_call:
         new = top_per(new, ["prospect_id"], ["id"], per_call)
@@ -108,9 +113,9 @@ def upsert_evidence(old: DataFrame, new: DataFrame, per_call: int | None = PER_C
         "id",
         "prospect_id",
         F.coalesce(filled(F.col("category")), F.lit("structural_fit")).alias("category"),
-        F.substring(F.coalesce(filled(F.col("signal_type")), F.lit("UNKNOWN")), 1, 80).alias("signal_type"),
-        F.substring(text(F.col("label")), 1, 200).alias("label"),
-        F.substring(text(F.col("evidence_text")), 1, 4000).alias("evidence_text"),
+        F.coalesce(filled(F.col("signal_type")), F.lit("UNKNOWN")).alias("signal_type"),
+        text(F.col("label")).alias("label"),
+        text(F.col("evidence_text")).alias("evidence_text"),
         "evidence_url",
         "source_type",
         F.coalesce(nonzero(F.col("confidence")), F.lit(50)).cast("int").alias("confidence"),

@@ -95,17 +95,17 @@ def name_tokens(column: Column) -> Column:
     return F.array_except(words, ignored)
 
 
-def domain_match(candidates: DataFrame, head_chars: int = 5000) -> DataFrame:
+def domain_match(candidates: DataFrame) -> DataFrame:
     """Add ``domain_match_state`` from ``company_name``, ``siren`` and a page's ``title``, ``text``, ``host``.
 
-    The words of the name are looked up in the title and the head of the page
-    text and in the host; the registry number in the digits of the whole text.
+    The words of the name are looked up in the title and the page text and in
+    the host; the registry number in the digits of the text.
     """
     out = candidates.withColumns(
         {
             "_company": name_tokens(F.col("company_name")),
             "_page": name_tokens(
-                F.concat_ws(" ", text(F.col("title")), F.substring(text(F.col("text")), 1, head_chars))
+                F.concat_ws(" ", text(F.col("title")), text(F.col("text")))
             ),
             "_host": name_tokens(F.translate(text(F.col("host")), ".-", "  ")),
         }
@@ -437,16 +437,16 @@ def first_events(created: DataFrame, source: str) -> DataFrame:
 
 
 def collect_sources(
-    awards: DataFrame | None, registry: DataFrame | None, mode: str = "full", cap: int = 200
+    awards: DataFrame | None, registry: DataFrame | None, mode: str = "full"
 ) -> DataFrame:
-    """Union of both company sources; in full mode the registry takes max(40, half the cap)."""
+    """Union of the company sources the mode names, whole; rank and cut them first where a run wants few."""
     if mode not in ("full", "decp", "registry"):
         raise ValueError(f"unknown mode {mode!r}")
     parts = []
     if mode in ("full", "decp"):
-        parts.append(awards.limit(cap) if awards is not None else None)
+        parts.append(awards)
     if mode in ("full", "registry"):
-        parts.append(registry.limit(cap if mode == "registry" else max(40, cap // 2)) if registry is not None else None)
+        parts.append(registry)
     present = [part for part in parts if part is not None]
     out = present[0]
     for part in present[1:]:

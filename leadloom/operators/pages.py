@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.fixed import GENERIC_LOCALS, NOT_A_PERSON
+from leadloom.fixed import GENERIC_LOCALS, NAME_IN_TEXT, NOT_A_PERSON, PHONE_IN_TEXT
 from leadloom.frames import first_per, top_per
 from leadloom.functions.rules import any_of, compact, filled, is_filled, once, text
 from leadloom.functions.text import (
-    NAME_IN_TEXT,
-    PHONE_IN_TEXT,
     bare_host,
     classify_form,
     collapse_space,
@@ -222,9 +220,9 @@ def evidence_facts(points: DataFrame, people: DataFrame, keys: tuple[str, ...] =
     return from_points.unionByName(from_people)
 
 
-def registry_people(prospects: DataFrame, n: int = 20) -> DataFrame:
-    """Natural persons among a company's first ``n`` officers as person facts."""
-    rows = prospects.select(F.col("id").alias("prospect_id"), F.posexplode(F.slice("dirigeants", 1, n)).alias("ord", "d"))
+def registry_people(prospects: DataFrame) -> DataFrame:
+    """Natural persons among a company's officers as person facts."""
+    rows = prospects.select(F.col("id").alias("prospect_id"), F.posexplode("dirigeants").alias("ord", "d"))
     rows = rows.filter(text(F.col("d.type_dirigeant")) != "personne morale")
     rows = rows.withColumns(
         {
@@ -297,12 +295,12 @@ def dedupe_evidence(evidence: DataFrame, owner: str, order: str) -> DataFrame:
     return first_per(keyed, [owner, "evidence_type", "source_url", "_what"], [order, "excerpt"]).drop("_what")
 
 
-def document_contacts(doc_pages: DataFrame, max_pages: int | None = 30, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+def document_contacts(doc_pages: DataFrame, max_pages: int | None = None, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(points, people) of paged documents; the last page that names a value wins, its number is kept.
 
-    Text is scanned block by block like a page of paragraphs.  Documents with
-    more than ``max_pages`` pages are left out, as whole documents; no text is
-    cut unless ``max_chars`` says so.
+    Text is scanned block by block like a page of paragraphs, documents of any
+    length are read whole; ``max_pages`` leaves longer documents out, ``max_chars``
+    cuts page texts, where a caller wants that.
     """
     pages = doc_pages
     if max_pages:

@@ -23,7 +23,7 @@ AsOf = str | date | datetime
 
 @dataclass
 class Discovery:
-    """The tables after one discovery run; every member is a lazy frame."""
+    """The tables after one discovery run; ``prospects`` holds the eligible ones, the other rows do not change."""
 
     prospects: DataFrame
     people: DataFrame
@@ -59,7 +59,7 @@ def discover_contacts(
     checked = eligibility(prospects, runs, hits, as_of, min_score)
     chosen = stage(
         checked.filter(F.col("ineligible_reason").isNull()).select(
-            "id", "company_name", "siren", extract_domain(F.col("website"), F.col("email")).alias("domain")
+            "id", "company_name", "siren", extract_domain(F.col("website")).alias("domain")
         )
     )
 
@@ -128,7 +128,10 @@ def discover_contacts(
     ids = named.select(F.col("prospect_id").alias("_p"), F.col("normalized_name").alias("_n"), "person_id")
     facts = facts.join(ids, (F.col("prospect_id") == F.col("_p")) & (F.col("_who") == F.col("_n")), "left").drop("_p", "_n", "_who")
     prepared = stage(contacts.prepare_points(facts, prospects, suppression))
-    merged_points = stage(contacts.apply_mx(contacts.merge_points(points, prepared), mx))
+    merged = contacts.merge_points(points, prepared)
+    mine_only = chosen.select(F.col("id").alias("prospect_id"))
+    touched = contacts.apply_mx(merged.join(mine_only, "prospect_id", "left_semi"), mx)
+    merged_points = stage(touched.unionByName(merged.join(mine_only, "prospect_id", "left_anti"), allowMissingColumns=True))
 
     columns = ("prospect_id", "evidence_type", "source_adapter", "source_url", "excerpt", "page_title", "confidence",
                "content_hash", "contact_value", "person_name", "ord")

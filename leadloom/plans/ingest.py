@@ -59,7 +59,7 @@ def ingest_awards(
     play: Play,
     as_of: str | datetime,
     days: int = 90,
-    max_companies: int | None = 200,
+    max_companies: int | None = None,
     stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Ingested:
     """Award notices to prospects: filter, group by holder, cut, upsert, merge histories and evidence.
@@ -123,7 +123,7 @@ def ingest_registry(
     evidence: DataFrame,
     suppression: DataFrame,
     play: Play,
-    max_companies: int | None = 80,
+    max_companies: int | None = None,
     stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Ingested:
     """Registry sightings to prospects: one per siren, ranked, cut, upserted, with structural evidence."""

@@ -29,12 +29,15 @@ def recompute(
     as_of: AsOf,
     stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Score every prospect in one plan and project the result onto its columns.
+    """Score every prospect that is not anonymised in one plan and project the result onto its columns.
+
+    Rows of anonymised prospects are no part of the result: they stay as they are.
 
     On large evidence tables pass ``cut_lineage`` as ``stage``: the deduplicated
     evidence is then shuffled once instead of twice.
     """
-    inputs = score_inputs(prospects, evidence, reviews, suppression, assets, awards, as_of, stage)
+    scored = prospects.filter(~yes(F.col("anonymized")))
+    inputs = score_inputs(scored, evidence, reviews, suppression, assets, awards, as_of, stage)
     return project_scores(score(inputs, play), play)
 
 

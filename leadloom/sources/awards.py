@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +43,9 @@ def normalise_awards(raw: DataFrame, since: str | date | datetime | None = None)
         stored = found["dateAttribution"]
         if isinstance(raw.schema[stored].dataType, (DateType, TimestampType, TimestampNTZType)):
             raw = raw.filter(F.col(stored) >= when_is(since))
-        else:
-            day = since.strftime("%Y-%m-%d") if isinstance(since, (date, datetime)) else since[:10]
-            raw = raw.filter(F.col(stored) >= day)
+        else:  # text may carry an offset of up to a day, so the stored day may lie before the day in UTC
+            day = date.fromisoformat(since[:10]) if isinstance(since, str) else since
+            raw = raw.filter(F.col(stored) >= (day - timedelta(days=1)).strftime("%Y-%m-%d"))
     columns = []
     for logical in AWARD_ALIASES:
         kind = "double" if logical == "montant" else "string"

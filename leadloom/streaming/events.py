@@ -118,7 +118,8 @@ def stop_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    return events.groupBy("prospect_id").transformWithStateInPandas(
+    stops = events.filter(F.col("event_type").isin(*STOPS)).select("id", "prospect_id", "event_type", "event_date")
+    return stops.groupBy("prospect_id").transformWithStateInPandas(
         statefulProcessor=StopState(STOPS, ttl_ms),
         outputStructType=STOP_SCHEMA,
         outputMode="Append",
