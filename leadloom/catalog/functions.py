@@ -410,7 +410,24 @@ def f28(t):
     return out.select("id", "linkedin_connection_note", "linkedin_first_message", "email_subject", "email_body")
 
 
-@query("f29_localised_drafts")
+def _sql(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _local_body(name: str) -> str:
+    quotes = f"coalesce({_sql(chr(10) * 2 + fixed.LOCAL_QUOTES[name])} || bullets, '')"
+    buyer = f"coalesce(nullif(trim(decision_maker_name), ''), {_sql(fixed.LOCAL_NOBODY[name])})"
+    return (f"replace(replace(replace(replace({_sql(fixed.LOCAL_BODIES[name])}, '{{sender}}', 'Sam'), '{{company}}', company_name), '{{quotes}}', {quotes}), "
+            f"'{{buyer}}', {buyer})")
+
+
+@query("f29_localised_drafts", f"""
+WITH shown AS (SELECT prospect_id, id, evidence_text, row_number() OVER (PARTITION BY prospect_id ORDER BY id) AS rn FROM s_evidence WHERE is_active),
+c AS (SELECT prospect_id, string_agg(chr(10) || '- ' || evidence_text, '' ORDER BY id) AS bullets FROM shown WHERE rn <= 2 AND trim(coalesce(evidence_text, '')) <> '' GROUP BY 1)
+SELECT p.id, replace(CASE WHEN p.id % 2 = 0 THEN {_sql(fixed.LOCAL_SUBJECTS["en-GB"])} ELSE {_sql(fixed.LOCAL_SUBJECTS["fr-FR"])} END, '{{company}}', company_name) AS subject,
+  CASE WHEN p.id % 2 = 0 THEN {_local_body("en-GB")} ELSE {_local_body("fr-FR")} END AS body, 'draft_pending' AS approval_status
+FROM s_prospects p LEFT JOIN c ON c.prospect_id = p.id
+""")
 def f29(t):
     items = evidence.evidence_lists(t.s_evidence, keep=2).select(
         F.col("prospect_id").alias("id"), F.transform("evidence_json", lambda e: e["evidence_text"]).alias("citations")
@@ -418,7 +435,7 @@ def f29(t):
     rows = t.s_prospects.withColumns(
         {"buyer_name": F.col("decision_maker_name"), "locale": F.when(F.col("id") % 2 == 0, "en-GB").otherwise("fr-FR")}
     ).join(items, "id", "left")
-    return drafts.localised_drafts(rows, "Sam").select("id", "subject", "body", "approval_status")
+    return drafts.localised_drafts(rows, "Sam", citations=2).select("id", "subject", "body", "approval_status")
 
 
 @query("f30_website_candidates", r"""
