@@ -86,10 +86,10 @@ _PAGE_CASES = " ".join(f"WHEN contains(h, '{term}') THEN {i}" for i, term in enu
 
 @query("w6_page_selection", f"""
 WITH p AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS clean_url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '') AS host, lower(strip_accents(url || ' ')) AS h, page_id % 4 AS depth FROM s_site_pages),
-q AS (SELECT *, CASE {_PAGE_CASES} ELSE 100 END AS priority FROM p WHERE depth <= 2),
+q AS (SELECT *, CASE {_PAGE_CASES} ELSE 100 END AS priority FROM p),
 u AS (SELECT *, row_number() OVER (PARTITION BY host, clean_url ORDER BY priority, depth, url, page_id) AS copy FROM q),
 r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY priority, depth, clean_url) AS visit FROM u WHERE copy = 1)
-SELECT page_id, host, visit, priority FROM r WHERE visit <= 12
+SELECT page_id, host, visit, priority FROM r
 """, whole="priority")
 def w6(t):
     return pages.select_pages(t.s_site_pages.withColumn("depth", F.col("page_id") % 4)).select("page_id", "host", "visit", "priority")
@@ -143,7 +143,7 @@ def w9(t):
 
 _W10 = f"""
 b AS (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY id) AS batch_rank FROM s_points WHERE kind = 'email' AND NOT is_suppressed AND deliverability_state = 'unchecked'),
-j AS (SELECT b.* REPLACE (CASE v.confidence WHEN 'deliverable' THEN 'deliverable' ELSE 'risky' END AS deliverability_state), v.confidence FROM b LEFT JOIN s_verdicts v ON v.email = b.value_normalized WHERE batch_rank <= 6),
+j AS (SELECT b.* REPLACE (CASE v.confidence WHEN 'deliverable' THEN 'deliverable' ELSE 'risky' END AS deliverability_state), v.confidence FROM b LEFT JOIN s_verdicts v ON v.email = b.value_normalized),
 k AS (SELECT *, coalesce(confidence = 'deliverable' AND ({UTILITY_SQL.replace("{supp}", "is_suppressed").replace("{conf}", "manually_confirmed").replace("{stale}", "FALSE")}) = 'usable_personal', FALSE) AS done FROM j)
 """
 
@@ -160,7 +160,7 @@ def w10(t):
 SELECT prospect_id, ord, rn AS person_rank FROM (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY buyer_role_score DESC, ord) AS rn FROM s_person_facts) x WHERE rn <= 3
 """)
 def w11(t):
-    return contacts.top_people(t.s_person_facts).select("prospect_id", "ord", "person_rank")
+    return contacts.top_people(t.s_person_facts, n=3).select("prospect_id", "ord", "person_rank")
 
 
 @query("o5_dossier_runs", """

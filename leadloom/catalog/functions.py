@@ -223,7 +223,7 @@ all_c AS (SELECT p.prospect_id, p.full_name, pat.pattern, pat.observations, pat.
   WHERE 'c' || CAST(p.prospect_id % 500 AS VARCHAR) || '.example.fr' NOT IN (SELECT domain FROM pat)),
 r AS (SELECT *, row_number() OVER (PARTITION BY prospect_id, full_name ORDER BY observations DESC, po) AS candidate_rank FROM all_c)
 SELECT prospect_id, full_name, CASE pattern WHEN 'firstname.lastname' THEN f || '.' || l WHEN 'f.lastname' THEN f[1] || '.' || l ELSE l END || '@' || domain AS email,
-  observations, candidate_rank, CASE WHEN observations >= 2 THEN 'exact_person_pattern_confirmed' ELSE 'name_only_guess' END AS person_match_state FROM r WHERE candidate_rank <= 6
+  observations, candidate_rank, CASE WHEN observations >= 2 THEN 'exact_person_pattern_confirmed' ELSE 'name_only_guess' END AS person_match_state FROM r
 """, whole="observations candidate_rank")
 def f18a(t):
     domain = F.concat(F.lit("c"), (F.col("prospect_id") % 500).cast("string"), F.lit(".example.fr"))
@@ -245,7 +245,7 @@ c AS (SELECT id, 'sales@' || d AS email, 'raw' AS pattern, 0 AS priority FROM b
   UNION ALL SELECT id, r.local || '@' || d, 'role:' || r.local, 20 + r.i FROM b, (VALUES {", ".join(f"('{role}', {i})" for i, role in enumerate(fixed.ROLE_LOCAL_PARTS))}) r(local, i)),
 f AS (SELECT *, row_number() OVER (PARTITION BY id, email ORDER BY priority) AS copy FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority) AS rn FROM f WHERE copy = 1)
-SELECT id, email, pattern, priority, rn - 1 AS position FROM r WHERE rn <= 20
+SELECT id, email, pattern, priority, rn - 1 AS position FROM r
 """, whole="priority position")
 def f18b(t):
     k = F.col("id")
@@ -256,7 +256,7 @@ def f18b(t):
         F.when(k % 2 == 0, "Martin").alias("last_name"),
         F.when(k % 3 == 0, F.array(F.concat(F.lit(" Sales@c"), (k % 500).cast("string"), F.lit(".example.fr")), F.lit("x@other.fr"))).alias("harvested"),
     )
-    return contacts.email_candidates(rows, 20).select("id", "email", "pattern", "priority", "position")
+    return contacts.email_candidates(rows).select("id", "email", "pattern", "priority", "position")
 
 
 UTILITY_SQL = """CASE WHEN {supp} THEN 'suppressed' WHEN {stale} THEN 'stale' WHEN deliverability_state = 'invalid' THEN 'invalid'

@@ -240,7 +240,7 @@ WITH b AS (SELECT id, 'c' || CAST(id % 500 AS VARCHAR) || '.example.fr' AS d, si
 c AS (SELECT id, h AS email, 0 AS pr FROM b WHERE h IS NOT NULL UNION ALL SELECT id, u.l || '@' || d, u.p FROM b, (VALUES ('jean.martin', 1), ('j.martin', 2), ('jeanmartin', 3), ('martin.jean', 4), ('jean_martin', 5), ('jmartin', 6), ('martinj', 7), ('martin', 8), ('jean', 9)) u(l, p)
   UNION ALL SELECT id, r.l || '@' || d, 20 + r.i FROM b, (VALUES {", ".join(f"('{role}', {i})" for i, role in enumerate(fixed.ROLE_LOCAL_PARTS))}) r(l, i)),
 u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pr) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY id, email ORDER BY pr) AS copy FROM c) x WHERE copy = 1),
-k AS (SELECT * FROM u WHERE rn <= 20),
+k AS (SELECT * FROM u),
 v AS (SELECT k.*, s.confidence FROM k JOIN s_verdicts s USING (email)),
 best AS (SELECT id, email, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE confidence WHEN 'deliverable' THEN 0 WHEN 'catch_all' THEN 3 WHEN 'indeterminate' THEN 4 WHEN 'risky' THEN 6 ELSE 7 END, rn) AS z FROM v WHERE confidence <> 'invalid') x WHERE z = 1),
 n AS (SELECT id, count(*) AS candidates FROM k GROUP BY 1), m AS (SELECT id, count(*) AS checked FROM v GROUP BY 1)

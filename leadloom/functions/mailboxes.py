@@ -74,7 +74,7 @@ def _token(column: Column) -> Column:
 
 
 def ordered_candidates(
-    domain: Column, first_name: Column, last_name: Column, harvested: Column, limit: int = 24
+    domain: Column, first_name: Column, last_name: Column, harvested: Column, limit: int | None = None
 ) -> Column:
     """Candidate mailboxes of one company in priority order: struct(email, pattern, priority).
 
@@ -92,12 +92,13 @@ def ordered_candidates(
     )
 
 
-def _unique_candidates(candidates: Column, limit: int) -> Column:
+def _unique_candidates(candidates: Column, limit: int | None) -> Column:
     """Keep the first spelling of each address."""
 
     def distinct(items: Column) -> Column:
         emails = F.transform(items, lambda c: c["email"])
-        return F.slice(F.filter(items, lambda c, i: F.array_position(emails, c["email"]) == i + 1), 1, limit)
+        first = F.filter(items, lambda c, i: F.array_position(emails, c["email"]) == i + 1)
+        return first if limit is None else F.slice(first, 1, limit)
 
     return once(candidates, distinct)
 

@@ -86,13 +86,13 @@ def pattern_order(pattern: Column) -> Column:
     return first_match([(pattern == name, i) for i, name in enumerate(PATTERNS)], len(PATTERNS))
 
 
-def top_people(people: DataFrame, n: int = 3) -> DataFrame:
-    """The people worth generating mailboxes for: best role first."""
+def top_people(people: DataFrame, n: int | None = None) -> DataFrame:
+    """The people worth generating mailboxes for, best role first; ``n`` asks for the first few."""
     return top_per(people, ["prospect_id"], [F.desc("buyer_role_score"), "ord"], n, rank="person_rank")
 
 
 def pattern_candidates(
-    people: DataFrame, patterns: DataFrame, n: int = 6, blind: bool = True, key: str = "domain"
+    people: DataFrame, patterns: DataFrame, n: int | None = None, blind: bool = True, key: str = "domain"
 ) -> DataFrame:
     """Candidate mailboxes per person from the patterns learned under ``key``, else two blind guesses.
 
@@ -128,7 +128,7 @@ def pattern_candidates(
     return ranked.withColumn("person_match_state", state).drop("_tokens", "pattern_order")
 
 
-def email_candidates(rows: DataFrame, n: int = 24) -> DataFrame:
+def email_candidates(rows: DataFrame, n: int | None = None) -> DataFrame:
     """Candidate mailboxes of a company as rows: harvested, spelled from the person, role mailboxes."""
     listed = ordered_candidates(F.col("domain"), F.col("first_name"), F.col("last_name"), F.col("harvested"), n)
     out = rows.withColumn("_candidates", listed)
@@ -160,8 +160,8 @@ def best_verdict(candidates: DataFrame, key: str = "prospect_id") -> DataFrame:
     return checked.groupBy(key).agg(best.alias("best")).select(key, "best.*")
 
 
-def verify_batch(points: DataFrame, outcomes: DataFrame | None = None, n: int = 6) -> DataFrame:
-    """Unchecked, unsuppressed mailboxes to verify, at most ``n`` per prospect.
+def verify_batch(points: DataFrame, outcomes: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """Unchecked, unsuppressed mailboxes to verify in order; ``n`` asks for the first few per prospect.
 
     With ``outcomes`` (email, deliverability) rows after the first deliverable
     personal mailbox are dropped, as a sequential check would have stopped there.
@@ -212,7 +212,7 @@ def apply_mx(points: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def contact_waterfall(
-    prospects: DataFrame, verdicts: DataFrame, harvested: DataFrame, suppression: DataFrame, n: int = 20
+    prospects: DataFrame, verdicts: DataFrame, harvested: DataFrame, suppression: DataFrame, n: int | None = None
 ) -> DataFrame:
     """Candidates checked and the outcome projected: one row per prospect with a domain.
 

@@ -257,8 +257,11 @@ def registry_evidence(people: DataFrame) -> DataFrame:
     )
 
 
-def select_pages(pages: DataFrame, max_pages: int = 12, max_depth: int = 2) -> DataFrame:
-    """The pages a crawl of each host would visit: best priority, then depth, then url; fragments ignored.
+def select_pages(pages: DataFrame, max_pages: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """The pages of each host in the order of a crawl: best priority, then depth, then url; fragments ignored.
+
+    ``max_pages`` and ``max_depth`` are the budget of a crawl, where there is one.  Rank narrow rows and join the page
+    back by its id: every column given here is shuffled.
 
     ``pages`` may carry ``anchor`` and ``depth`` (0 without them).
     """
@@ -271,7 +274,8 @@ def select_pages(pages: DataFrame, max_pages: int = 12, max_depth: int = 2) -> D
             "priority": page_priority(F.col("url"), anchor),
             "depth": depth,
         }
-    ).filter((F.col("depth") <= max_depth) & (F.col("host") != ""))
+    ).filter(F.col("host") != "")
+    out = out if max_depth is None else out.filter(F.col("depth") <= max_depth)
     order = ["priority", "depth", "url", "page_id"]
     unique = first_per(out, ["host", "clean_url"], order)
     return top_per(unique, ["host"], ["priority", "depth", "clean_url"], max_pages, rank="visit")

@@ -45,7 +45,8 @@ def discover_contacts(
     mx: DataFrame,
     as_of: AsOf,
     min_score: int = 40,
-    max_pages: int = 12,
+    max_pages: int | None = None,
+    max_depth: int | None = None,
     stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Discovery:
     """One run over every eligible prospect.
@@ -63,9 +64,12 @@ def discover_contacts(
         )
     )
 
-    visited = pages.select_pages(accept_pages(site_pages), max_pages).select("page_id", "url", "html", "host", "content_hash", "visit")
-    parsed = stage(parse_pages(visited))
-    first = first_page_per_host(parsed).select("host", "title", pages.page_text(F.col("parts")).alias("text"))
+    # pages are parsed where they lie; only ids and urls are ranked, so no HTML is shuffled
+    accepted = accept_pages(site_pages)
+    visits = stage(pages.select_pages(accepted.drop("html", "content_hash"), max_pages, max_depth).select("page_id", "url", "host", "visit"))
+    parsed = stage(parse_pages(accepted.select("page_id", "url", "html", "host", "content_hash")))
+    opening = first_page_per_host(visits).select("page_id")
+    first = parsed.join(opening, "page_id", "left_semi").select("host", "title", pages.page_text(F.col("parts")).alias("text"))
     matched = domain_match(
         chosen.join(first, F.col("domain") == F.col("host"), "left").withColumn("host", F.coalesce("host", "domain"))
     )
@@ -73,9 +77,9 @@ def discover_contacts(
     sites = matched.filter(F.col("_fetched") & (F.col("domain_match_state") != "ambiguous")).select("id", "domain")
     ambiguous = matched.filter(F.col("_fetched") & (F.col("domain_match_state") == "ambiguous")).select("id")
 
-    keys = ("host", "visit", "page_id")
-    page_points = pages.contact_facts(parsed, keys)
-    page_people = pages.people_facts(parsed, keys)
+    keys, order_of = ("host", "visit", "page_id"), visits.select("page_id", "visit")
+    page_points = pages.contact_facts(parsed, ("host", "page_id")).join(order_of, "page_id")
+    page_people = pages.people_facts(parsed, ("host", "page_id")).join(order_of, "page_id")
     page_points, page_people = stage(page_points), stage(page_people)
     page_evidence = pages.evidence_facts(page_points, page_people, keys)
     host_points = pages.dedupe_points(page_points, "host", "visit")
