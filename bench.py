@@ -22,7 +22,7 @@ HEADLINE = (
     "a1_awards_by_holder", "a3_headline_metrics", "w1_current_status", "w3_action_queue", "p1_relevant_awards", "p9_evidence_normalised",
     "p12_event_gate", "j2_suppression_check", "j3_identity_resolution", "j9_person_mailbox", "u2_award_history", "u3_evidence_upsert",
     "u5b_upsert_snapshot", "u6_people_merge", "u7_point_merge", "w6_page_selection", "f1_strip_accents", "f24_page_evidence",
-    "h2_contact_facts", "d1_recompute", "d11_retention", "d15_award_ingest",
+    "h2_contact_facts", "d1_recompute", "d11_retention", "d13_contact_waterfall", "d15_award_ingest", "d7_contact_discovery", "s12_dossiers",
 )
 
 

@@ -150,14 +150,19 @@ def attach_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     return joined.withColumn("confidence", confidence).drop("_email", "_confidence")
 
 
+def usable_verdict() -> Column:
+    """Checked, and neither invalid nor bounced."""
+    return (F.col("confidence") != "unchecked") & ~F.col("confidence").isin("invalid", "bounced")
+
+
+def verdict_order() -> Column:
+    return F.struct(verdict_rank(F.col("confidence")), F.col("position"))
+
+
 def best_verdict(candidates: DataFrame, key: str = "prospect_id") -> DataFrame:
     """The technically best checked mailbox per prospect; invalid and bounced ones are out."""
-    checked = candidates.filter(
-        (F.col("confidence") != "unchecked") & ~F.col("confidence").isin("invalid", "bounced")
-    )
-    order = F.struct(verdict_rank(F.col("confidence")), F.col("position"))
-    best = F.min_by(F.struct("email", "confidence", "is_reachable"), order)
-    return checked.groupBy(key).agg(best.alias("best")).select(key, "best.*")
+    best = F.min_by(F.struct("email", "confidence", "is_reachable"), verdict_order())
+    return candidates.filter(usable_verdict()).groupBy(key).agg(best.alias("best")).select(key, "best.*")
 
 
 def verify_batch(points: DataFrame, outcomes: DataFrame | None = None, n: int | None = None) -> DataFrame:
@@ -224,14 +229,12 @@ def contact_waterfall(
         base.select(F.col("id").alias("prospect_id"), "domain", "first_name", "last_name", "harvested"), n
     )
     checked = attach_verdicts(listed.drop("harvested"), verdicts)
-    best = best_verdict(checked).select(
-        F.col("prospect_id").alias("id"), F.col("email").alias("_best"), F.col("confidence").alias("_confidence")
-    )
-    counts = checked.groupBy(F.col("prospect_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("confidence") != "unchecked").alias("checked")
+    best = F.min_by(F.struct("email", "confidence"), F.when(usable_verdict(), verdict_order()))
+    found = checked.groupBy(F.col("prospect_id").alias("id")).agg(
+        best.alias("_best"), F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("confidence") != "unchecked").alias("checked")
     )
-    out = base.join(best, "id", "left").join(counts, "id", "left")
-    outcome = waterfall_outcome(F.col("_best"), F.col("_confidence"), F.col("harvested"))
+    out = base.join(found, "id", "left")
+    outcome = waterfall_outcome(F.col("_best.email"), F.col("_best.confidence"), F.col("harvested"))
     known = is_filled(F.col("domain"))
     out = out.withColumn("_outcome", outcome)
     result = out.select(
