@@ -10,6 +10,7 @@ from leadloom.functions.rules import is_filled
 from leadloom.operators import activity, awards, evidence
 from leadloom.operators.identity import rank_registry
 from leadloom.plays import FIELD_SERVICE
+from leadloom.session import cut_lineage
 from leadloom.standins import AWARDS_AS_OF, EVENTS_AS_OF, HISTORY_AS_OF
 
 AS_OF = f"TIMESTAMP '{EVENTS_AS_OF} 00:00:00'"
@@ -27,7 +28,8 @@ described AS (SELECT *, concat_ws(' · ', CAST(award_count AS VARCHAR) || ' awar
 
 
 def holders(t):
-    return awards.aggregate_by_holder(awards.filter_relevant(t.s_awards, FIELD_SERVICE, AWARDS_AS_OF, 400))
+    relevant = awards.filter_relevant(t.s_awards, FIELD_SERVICE, AWARDS_AS_OF, 400)
+    return awards.aggregate_by_holder(relevant, stage=cut_lineage)
 
 
 @query("a1_awards_by_holder", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -89,15 +90,18 @@ def newest_first(*tail: str) -> list[Column]:
     return [F.col("date").desc_nulls_last(), F.col("id"), F.col("objet"), F.col("montant"), *map(F.col, tail)]
 
 
-def aggregate_by_holder(filtered: DataFrame, history: int = HISTORY_LIMIT) -> DataFrame:
+def aggregate_by_holder(
+    filtered: DataFrame, history: int = HISTORY_LIMIT, stage: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """One row per award holder.
 
     Counts, sums and the last date combine on the map side and cover every
     award of the holder.  ``award_history`` shows the newest ``history`` awards,
     the length the history keeps when it is merged; all of them stay available
-    as rows from ``holder_awards``.
+    as rows from ``holder_awards``.  The rows are read twice; on large inputs
+    ``stage`` writes them once.
     """
-    rows = holder_awards(filtered)
+    rows = stage(holder_awards(filtered))
     totals = rows.groupBy("holder_key").agg(
         F.max_by("holder_name", F.struct("award_date", "id", "objet")).alias("newest_name"),
         F.max("date").alias("last_tender_date"),

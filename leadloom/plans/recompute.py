@@ -14,6 +14,7 @@ from leadloom.functions.rules import first_match, yes
 from leadloom.operators.compliance import gate_reviews, mark_suppressed
 from leadloom.operators.scoring import project_scores, score, score_inputs
 from leadloom.plays import Play
+from leadloom.session import cut_lineage
 
 AsOf = str | date | datetime
 
@@ -27,14 +28,13 @@ def recompute(
     awards: DataFrame,
     play: Play,
     as_of: AsOf,
-    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
+    stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Score every prospect that is not anonymised in one plan and project the result onto its columns.
 
     Rows of anonymised prospects are no part of the result: they stay as they are.
 
-    On large evidence tables pass ``cut_lineage`` as ``stage``: the deduplicated
-    evidence is then shuffled once instead of twice.
+    ``stage`` writes the deduplicated evidence once, which is read twice.
     """
     scored = prospects.filter(~yes(F.col("anonymized")))
     inputs = score_inputs(scored, evidence, reviews, suppression, assets, awards, as_of, stage)
