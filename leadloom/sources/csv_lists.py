@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom import fixed
 from leadloom.functions.rules import failures, filled, first_match, yes
 from leadloom.functions.text import strip
+from leadloom.session import stage
 
 CSV_COLUMNS = ("company_name", "sector", "company_size", "signal_type", "signal_details", "decision_maker_name",
                "decision_maker_title", "linkedin_url", "email", "phone", "website", "data_source", "source", "notes")
@@ -18,11 +19,13 @@ CHOICES = {"sector": fixed.SECTORS, "company_size": fixed.COMPANY_SIZES, "signal
            "source": fixed.SOURCES}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quoted fields may span lines."""
-    return (
-        spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
-    )
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text.
+
+    With ``multi_line`` quoted fields may span lines; each file is then one task, else large files are split.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+    return reader.option("escape", '"').csv(path)
 
 
 def with_line_numbers(df: DataFrame, first: int = 2) -> DataFrame:
@@ -30,7 +33,8 @@ def with_line_numbers(df: DataFrame, first: int = 2) -> DataFrame:
 
     Rows are counted per file block first; a block's start is the running sum of
     the counts before it.  Only one small row per block is ever ordered, so any
-    number of rows is numbered without collecting them.
+    number of rows is numbered without collecting them.  The tagged rows are
+    staged, so both uses see the same blocks.
     """
     tagged = df.select(
         "*",
@@ -38,6 +42,7 @@ def with_line_numbers(df: DataFrame, first: int = 2) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_order"),
     )
+    tagged = stage(tagged, "csv-rows")
     blocks = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -69,9 +74,9 @@ def validate_rows(raw: DataFrame) -> DataFrame:
     return raw.select(*kept, *columns).withColumn("errors", field_errors())
 
 
-def import_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def import_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected rows with line number and errors)."""
-    rows = validate_rows(with_line_numbers(read_csv(spark, path)))
+    rows = validate_rows(with_line_numbers(read_csv(spark, path, multi_line)))
     good = rows.filter(F.size("errors") == 0).drop("errors")
     return good, rows.filter(F.size("errors") > 0).select("row", "errors")
 

@@ -100,13 +100,26 @@ def test_line_numbers_and_csv_errors(spark, tmp_path):
     good = "Froid Pro,Field Services,11-50,OTHER,List,Manual,\"two\nlines\"\n"
     (tmp_path / "a.csv").write_text(header + good + "Bad Co,Nope,11-50,OTHER,List,Manual,\n" + good)
     (tmp_path / "b.csv").write_text(header + ",Field Services,11-50,OTHER,List,Manual,\n")
-    valid, rejected = csv_lists.import_csv(spark, str(tmp_path))
+    valid, rejected = csv_lists.import_csv(spark, str(tmp_path), multi_line=True)
     assert valid.count() == 2
     errors = sorted((r["row"], r["errors"]) for r in rejected.collect())
     assert errors[0] == (2, ["company_name: Field required"])
     assert errors[1][0] == 3 and errors[1][1][0].startswith("sector: Value error")
 
 
+def test_line_numbers_across_blocks(spark, tmp_path):
+    for name, n in (("a", 900), ("b", 400)):
+        (tmp_path / f"{name}.csv").write_text("company,n\n" + "".join(f"{name}{i},{i + 2}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = csv_lists.with_line_numbers(csv_lists.read_csv(spark, str(tmp_path)))
+        assert csv_lists.read_csv(spark, str(tmp_path)).rdd.getNumPartitions() > 3
+        assert rows.count() == 1300 and rows.filter("row <> cast(n AS long)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 PAGES = [
     (1, "https://acme.fr/equipe", '<html><head><title>Équipe</title></head><body><h2>Alice Martin</h2><p>Directrice des opérations</p>'
         '<a href="mailto:alice.martin@acme.fr">Email</a><p>autre@other.fr</p><script type="application/ld+json">{"@type":"Person","name":"Alice Martin",'
