@@ -26,15 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import id_and_text
+from leadloom.llm.common import id_and_text, parts
 
 # The split before the merges, with Unicode's own white space.
 PRE_SPLIT = (
     r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-WORDS_KEPT = 900_000
-ROWS = 256
+WORDS_KEPT = 600_000
 FOREVER = 1 << 60
 
 
@@ -168,13 +167,6 @@ def load(path: str) -> Automaton:
     return Automaton(model["vocab"], merges, special)
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so a task holds the Python objects of few texts at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PRE_SPLIT) -> DataFrame:
     """``id, tokens`` (array of int) per row; null counts as empty and gives no tokens.
 

@@ -5,6 +5,9 @@ Operators read an id and a text column by name and rename both at once, so extra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,10 @@ def row_key(*parts: Column) -> Column:
     """One plain key for several values, nulls kept apart: joins on it need no null-safe comparison."""
     shown = [F.when(p.isNull(), "-").otherwise(F.concat(F.lit("+"), p.cast("string"))) for p in parts]
     return F.sha2(F.to_json(F.array(*shown)), 256)
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so a task holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import id_and_text
+from leadloom.llm.common import id_and_text, parts
 
 # Fixed values of the base patterns.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -138,7 +138,7 @@ def scan(
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             spans = [
                 [{"kind": k, "start": a, "end": b, "value": text[a:b]} for k, a, b in secret_spans(text, classes, allow)]
                 for text in batch.column("text").to_pylist()

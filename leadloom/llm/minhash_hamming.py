@@ -2,8 +2,8 @@
 
 A signature is split into chunks.  Two signatures within ``chunks * (errors + 1) - 1`` differing positions agree, by the
 pigeonhole principle, on some chunk up to ``errors`` positions; every way to leave those positions out of every chunk is
-enumerated as a key, so all such pairs share a key.  With 8 chunks of 5 and one error, a pair at similarity 0.85 shares
-no key with a probability below 1e-6.
+enumerated as a key, so all such pairs share a key.  With 10 chunks of 5 and one error, a pair at similarity 0.85 shares
+no key with a probability of 1.5e-8, one at 0.8 with 1.6e-6.
 
 Pairs that share a key are not enumerated where many documents do.  Small buckets give their pairs; in larger ones each
 member is first confirmed against one hub.  What then still falls into several components is compared on the full sets
@@ -20,65 +20,32 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import WORD, id_and_text
+from leadloom.llm.common import id_and_text, parts, row_key, sha
 from leadloom.llm.components import components
+from leadloom.llm.word_hashes import SPREAD, WordHasher, mixed, runs
 from leadloom.session import stage
 
 WIDTH = 5
 PERCENT = 85
-CHUNKS, CHUNK, ERRORS = 8, 5, 1
+CHUNKS, CHUNK, ERRORS = 10, 5, 1
 POSITIONS = 128
 #: Buckets up to this size give all their pairs; larger ones go by hub and block. Results are the same either way.
 SMALL = 16
-BLOCK = 256
+BLOCK = 1024
 MARK_BUCKETS = 1 << 20
-WORDS_KEPT = 1_000_000
 
-_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values; a bijection."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Shingler:
+def shingles(hasher: WordHasher, text: str, width: int = WIDTH) -> np.ndarray:
     """Hashes of the distinct shingles of a text, sorted."""
-
-    def __init__(self, width: int = WIDTH) -> None:
-        self.width = width
-        self.words = regex.compile(WORD).findall
-        self.known: dict[str, int] = {}
-
-    def hashes(self, text: str) -> np.ndarray:
-        words = self.words(text.translate(_LOWER) if not text.isascii() else text.lower())
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for word in set(words) - known.keys():
-            known[word] = xxhash.xxh64_intdigest(word.encode())
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        n = len(words) - width + 1
-        rolled = np.full(n, np.uint64(width), np.uint64)
-        for k in range(width):
-            rolled = rolled * _MIX + h[k : k + n]
-            rolled ^= rolled >> np.uint64(29)
-        return np.unique(_mixed(rolled))
+    return np.unique(runs(hasher.of(text), width))
 
 
 def _factors(n: int) -> np.ndarray:
-    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * SPREAD) | np.uint64(1)
 
 
 def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -86,7 +53,7 @@ def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     least = np.full(len(factors), np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(hashes), 512):
         np.minimum(least, (hashes[at : at + 512, None] * factors).min(axis=0), out=least)
-    return _mixed(least)
+    return mixed(least)
 
 
 def chunk_keys(values: np.ndarray, chunks: int = CHUNKS, size: int = CHUNK, errors: int = ERRORS) -> np.ndarray:
@@ -97,24 +64,24 @@ def chunk_keys(values: np.ndarray, chunks: int = CHUNKS, size: int = CHUNK, erro
         for gone in combinations(range(size), errors):
             key = np.full(len(values), np.uint64(c << size | sum(1 << g for g in gone)))
             for p in set(range(size)).difference(gone):
-                key = _mixed(key * _MIX + part[:, p])
+                key = mixed(key * SPREAD + part[:, p])
             columns.append(key)
     return np.stack(columns, axis=1)
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n, node, sig, keys`` per row: shingle count, 128-bit set hash, one byte per position, chunk keys.
+    """``id, text_sha, n, node, sig, keys`` per row: shingle count, 128-bit set hash, one byte per position, chunk keys.
 
     Texts without a word have n = 0, a null node and no keys.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_sha", sha(F.col("text")))
     none = lambda kind: F.lit(None).cast(kind)
-    schema = rows.select("id", F.lit(0).cast("long").alias("n"), none("binary").alias("node"), none("binary").alias("sig"), none("array<long>").alias("keys")).schema
+    schema = rows.select("id", "text_sha", F.lit(0).cast("long").alias("n"), none("binary").alias("node"), none("binary").alias("sig"), none("array<long>").alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, factors = Shingler(), _factors(POSITIONS)
-        for batch in batches:
-            sets = [shingler.hashes(t) for t in batch.column("text").to_pylist()]
+        hasher, factors = WordHasher(), _factors(POSITIONS)
+        for batch in parts(batches):
+            sets = [shingles(hasher, t) for t in batch.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             values = np.array([signature(sets[i], factors) for i in full], np.uint64).reshape(-1, POSITIONS)
             keys = chunk_keys(values & np.uint64(0xFFFF)).view(np.int64)
@@ -123,12 +90,13 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("text_sha"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([sigs[at[i]].tobytes() if i in at else None for i in range(len(sets))], pa.binary()),
                     pa.array([keys[at[i]] if i in at else None for i in range(len(sets))], pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "node", "sig", "keys"],
+                names=["id", "text_sha", "n", "node", "sig", "keys"],
             )
 
     return rows.mapInArrow(run, schema)
@@ -146,9 +114,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str = "text", id_c
     schema = likely.select(F.lit(b"").cast("binary").alias("node"), F.array().cast("array<long>").alias("shingles")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            sets = [shingler.hashes(t) for t in batch.column("text").to_pylist()]
+        hasher = WordHasher()
+        for batch in parts(batches):
+            sets = [shingles(hasher, t) for t in batch.column("text").to_pylist()]
             names = [xxhash.xxh128_digest(s.tobytes()) if len(s) else b"" for s in sets]
             arrays = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), arrays], names=["node", "shingles"])
@@ -261,11 +229,19 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, id_col:
     labelled = stage(labelled, "near-labelled")
     torn = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     more = stage(block_links(labelled.join(stage(torn, "near-torn"), "key"), sets, percent), "near-more")
-    return components(links.unionByName(more))
+    if more.isEmpty():
+        return groups
+    # components of components: the links found last lead from one to another
+    name = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    merged = stage(components(between).select(F.col("node").alias("component"), F.col("component").alias("into")), "near-merged")
+    moved = groups.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    fresh = merged.join(groups.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("into").alias("component"))
+    return moved.unionByName(fresh)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, n_shingles, component_id, kept``.
+    """One row per input row: ``id, text_sha, n_shingles, component_id, kept``.
 
     Letters A to Z count as a to z.  A text's set is its distinct 5-word shingles; a shorter text is one shingle; a
     null text or one without words has an empty set, is linked with nothing and stays.  The component is the smallest id
@@ -279,9 +255,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     named = stage(named, "near-named")
     names = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "near-names")
     of_node = stage(named.join(names, "component").select("node", "component_id"), "near-of-node")
-    full = rows.filter("n > 0").select("id", "n", "node").join(of_node, "node")
-    empty = rows.filter("n = 0").select("id", "n", "node", F.col("id").alias("component_id"))
-    every = full.select("id", "n", "node", "component_id").unionByName(empty)
-    return every.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
+    full = rows.filter("n > 0").join(of_node, "node").select("id", "text_sha", "n", "component_id")
+    empty = rows.filter("n = 0").select("id", "text_sha", "n", F.col("id").alias("component_id"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return full.unionByName(empty).select("id", "text_sha", F.col("n").alias("n_shingles"), "component_id", kept)
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    decided = near_duplicates(docs, percent, id_col, text_col).filter("kept")
+    stay = decided.select(row_key(F.col("id"), F.hex("text_sha")).alias("_key")).distinct()
+    keyed = docs.withColumn("_key", row_key(F.col(f"`{id_col}`"), F.hex(sha(F.col(f"`{text_col}`")))))
+    return keyed.join(stay, "_key", "left_semi").drop("_key")
