@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe_automaton, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, robust_quality, virtual_slots
+from leadloom.llm import bpe_automaton, chain_dedup, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, robust_quality, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,7 +153,8 @@ def bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_minhash_hamming")
 def near(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash_hamming.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    decided = minhash_hamming.near_duplicates(table(spark, folder, "documents"))
+    return decided.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 @query("op8_entropy_secrets")
@@ -165,6 +166,12 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_chain_dedup")
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = chain_dedup.repeated_passages(table(spark, folder, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "ref_id": "ref_doc_id"})
+
+
 @query("op10_virtual_slots")
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = virtual_slots.shard(table(spark, folder, "documents"), 8)

@@ -18,11 +18,11 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _star(pairs: DataFrame, keep: str) -> DataFrame:
-    """Neighbours of ``u`` as ``v``; those ``keep`` asks for are linked to the least of ``u`` and all of them."""
-    pairs = stage(pairs, "star-pairs")
+    """Neighbours of ``u`` as ``v``; those ``keep`` asks for, and ``u``, are linked to the least of ``u`` and all of them."""
+    # staged, so both sides of the join arrive by an exchange of their own and a hot node can be split
     least = stage(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
     linked = pairs.join(least, "u").filter(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    return stage(linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "star")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _mark(links)) != before:
         before = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stage(_star(both, "v > u").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large-star")
-        links = stage(_star(large, "v <= u").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small-star")
+        links = _star(_star(both, "v > u"), "true")  # every link leads from the larger node to the smaller
     members = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

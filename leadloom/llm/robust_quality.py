@@ -122,39 +122,46 @@ def _wide(table: DataFrame, value: str, name: str) -> DataFrame:
     return table.groupBy("cell").agg(*picks)
 
 
+def _total(terms: list[str]) -> str:
+    return " + ".join(terms) or "0.0D"
+
+
+def _add(params: DataFrame, **columns: str) -> DataFrame:
+    """Columns written as SQL, all at once: quicker to build than long column objects."""
+    return params.selectExpr("*", *[f"{text} AS {name}" for name, text in columns.items()])
+
+
 def _with_precision(params: DataFrame) -> DataFrame:
     """Adds the inverse (``p{i}{j}``) and the log determinant of the covariance ``c{i}{j}``, by Cholesky."""
     for j in range(DIMS):
-        for i in range(j, DIMS):
-            rest = F.col(f"c{j}{i}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            params = params.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    for j in range(DIMS):  # inverse of the lower triangle
-        for i in range(j, DIMS):
-            rest = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0))
-            params = params.withColumn(f"v{i}{j}", rest / F.col(f"l{i}{i}"))
-    inverse = {f"p{i}{j}": sum((F.col(f"v{k}{i}") * F.col(f"v{k}{j}") for k in range(j, DIMS)), F.lit(0.0)) for i, j in PAIRS}
-    logdet = 2 * sum((F.log(F.col(f"l{k}{k}")) for k in range(DIMS)), F.lit(0.0))
-    return params.withColumns(inverse | {"logdet": logdet}).select(
+        rest = lambda i, j=j: f"(c{j}{i} - ({_total([f'l{i}{k} * l{j}{k}' for k in range(j)])}))"
+        params = _add(params, **{f"l{j}{j}": f"sqrt({rest(j)})"})
+        params = _add(params, **{f"l{i}{j}": f"{rest(i)} / l{j}{j}" for i in range(j + 1, DIMS)}) if j + 1 < DIMS else params
+    for i in range(DIMS):  # inverse of the lower triangle, row by row
+        row = {f"v{i}{j}": f"-({_total([f'l{i}{k} * v{k}{j}' for k in range(j, i)])}) / l{i}{i}" for j in range(i)}
+        params = _add(params, **row, **{f"v{i}{i}": f"1.0D / l{i}{i}"})
+    inverse = {f"p{i}{j}": _total([f"v{k}{i} * v{k}{j}" for k in range(j, DIMS)]) for i, j in PAIRS}
+    logdet = f"2 * ({_total([f'ln(l{k}{k})' for k in range(DIMS)])})"
+    return _add(params, **inverse, logdet=logdet).select(
         "cell", "start", "n", "logdet", *[f"m{k}" for k in range(DIMS)], *[f"p{i}{j}" for i, j in PAIRS]
     )
 
 
 def _squared_distance() -> Column:
-    off = [F.col(f"x{k}") - F.col(f"m{k}") for k in range(DIMS)]
-    return sum(((1 if i == j else 2) * F.col(f"p{i}{j}") * off[i] * off[j] for i, j in PAIRS), F.lit(0.0))
+    off = lambda k: f"(x{k} - m{k})"
+    return F.expr(_total([f"{1 if i == j else 2} * p{i}{j} * {off(i)} * {off(j)}" for i, j in PAIRS]))
 
 
-def _moments(prefix: str = "") -> list[Column]:
-    sums = [F.sum(f"x{k}").alias(f"{prefix}s{k}") for k in range(DIMS)]
-    return [F.count("*").alias(f"{prefix}n"), *sums, *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"{prefix}q{i}{j}") for i, j in PAIRS]]
+def _moments() -> list[Column]:
+    sums = [F.expr(f"sum(x{k}) AS s{k}") for k in range(DIMS)]
+    return [F.count("*").alias("n"), *sums, *[F.expr(f"sum(x{i} * x{j}) AS q{i}{j}") for i, j in PAIRS]]
 
 
 def _estimate(sums: DataFrame) -> DataFrame:
     """Mean and floored covariance from count, sums and products."""
-    means = {f"m{k}": F.col(f"s{k}") / F.col("n") for k in range(DIMS)}
-    floor = lambda i, j: FLOORS[i] ** 2 if i == j else 0.0
-    spread = {f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + floor(i, j) for i, j in PAIRS}
-    return _with_precision(sums.withColumns(means).withColumns(spread))
+    means = _add(sums, **{f"m{k}": f"s{k} / n" for k in range(DIMS)})
+    floor = lambda i, j: f"{FLOORS[i] ** 2}D" if i == j else "0.0D"
+    return _with_precision(_add(means, **{f"c{i}{j}": f"q{i}{j} / n - m{i} * m{j} + {floor(i, j)}" for i, j in PAIRS}))
 
 
 def _bin(distance: Column) -> Column:
@@ -168,8 +175,8 @@ def starts(rows: DataFrame) -> DataFrame:
     medians = stage(_medians(long), "medians")
     away = long.join(medians, ["cell", "dim"]).select("cell", "dim", F.abs(F.col("x") - F.col("median")).alias("x"))
     wide = _wide(medians, "median", "m").join(_wide(_medians(away), "median", "d"), "cell")
-    spread = {f"c{i}{j}": (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)) for i, j in PAIRS}
-    by_median = _with_precision(wide.withColumns({"start": F.lit(0), "n": F.lit(0).cast("long")} | spread))
+    spread = {f"c{i}{j}": f"pow(1.4826D * d{i}, 2) + {FLOORS[i] ** 2}D" if i == j else "0.0D" for i, j in PAIRS}
+    by_median = _with_precision(_add(wide, start="0", n="0L", **spread))
     by_mean = _estimate(rows.groupBy("cell").agg(*_moments()).withColumn("start", F.lit(1)))
     return by_median.unionByName(by_mean)
 
