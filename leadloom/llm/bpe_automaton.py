@@ -33,7 +33,7 @@ PRE_SPLIT = (
     r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 FOREVER = 1 << 60
 
 
