@@ -253,6 +253,53 @@ def test_passages(spark, odd, nothing):
     assert [(r.id, r.kind, r.ref_id) for r in odd_rows] == [(7, "copy", 6)] and chain_dedup.repeated_passages(nothing).count() == 0
 
 
+def test_passages_with_own_text_between(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for n, gap in enumerate((20, 60, 100, 150, 400)):
+        one, two = prose(rng, 60), prose(rng, 60)
+        for k in range(2):
+            rows.append((2 * n + k, " ".join([prose(rng, 30), one, prose(rng, gap), two, prose(rng, 30)])))
+        want[2 * n + 1] = {(30, 90), (90 + gap, 150 + gap)}
+    # four exact runs with a word changed between them are one passage, in a chain with another far away
+    runs, other = [prose(rng, 25) for _ in range(4)], prose(rng, 50)
+    for k in range(2):
+        rows.append((20 + k, " ".join([prose(rng, 30), *(w for r in runs for w in (r, prose(rng, 1))), prose(rng, 200), other])))
+    got = {}
+    for r in chain_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.id, set()).add((r.start_word, r.end_word))
+    for doc, spans in want.items():
+        whole = (min(spans)[0], max(spans)[1])
+        assert got[doc] in (spans, {whole}) and (whole[1] - whole[0] == 140 or got[doc] == spans)
+    assert got[21] == {(30, 133), (334, 384)}
+
+
+def test_equal_runs_and_parts():
+    rng = random.Random(6)
+    for _ in range(200):
+        a = [rng.randrange(30) for _ in range(rng.randint(0, 60))]
+        b = [x if rng.random() < 0.8 else rng.randrange(30) for x in a if rng.random() < 0.95]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert chain_dedup._common(a, b) == table[-1][-1]
+        runs = chain_dedup._extend(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in runs)
+        assert all(i + n <= p and j + n <= q for (i, j, n), (p, q, _) in zip(runs, runs[1:]))
+        gaps = [chain_dedup._common(a[i + n : p], b[j + n : q]) for (i, j, n), (p, q, _) in zip(runs, runs[1:])]
+        passing = set()
+        for f in range(len(runs)):
+            for k in range(f, len(runs)):
+                words = max(runs[k][0] + runs[k][2] - runs[f][0], runs[k][1] + runs[k][2] - runs[f][1])
+                least = min(runs[k][0] + runs[k][2] - runs[f][0], runs[k][1] + runs[k][2] - runs[f][1])
+                if least >= 10 and 100 * (sum(r[2] for r in runs[f : k + 1]) + sum(gaps[f:k])) >= 80 * words:
+                    passing |= set(range(runs[f][0], runs[k][0] + runs[k][2]))
+        told = chain_dedup.alike_parts(a, b, runs, 10, 80)
+        assert set().union(*(range(p[0], p[1]) for p in told)) == passing
+        assert all(100 * p[4] >= 80 * max(p[1] - p[0], p[3] - p[2]) and min(p[1] - p[0], p[3] - p[2]) >= 10 for p in told)
+
+
 def test_chain_is_the_best(spark):
     rng = random.Random(9)
     for _ in range(30):
