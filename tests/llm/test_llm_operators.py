@@ -274,6 +274,32 @@ def test_passages_with_own_text_between(spark):
     assert got[21] == {(30, 133), (334, 384)}
 
 
+def test_passages_whose_seeds_stand_elsewhere_too(spark):
+    rng = random.Random(8)
+    texts = []
+    for size, length in ((12, 60), (30, 60), (20, 40), (25, 47)):
+        for _ in range(5):
+            stock = [prose(rng, size) for _ in range(-(-length // size))]
+            # each sentence, and each two in a row but for a word, stand in other documents first
+            for one, two in zip(stock, [*stock[1:], ""]):
+                texts += [" ".join([prose(rng, 30), *f"{one} {two}".split()[: 39 if length > 40 else 30], prose(rng, 30)]) for _ in range(3)]
+            passage = " ".join(" ".join(stock).split()[:length])
+            texts += [" ".join([prose(rng, 40), passage, prose(rng, 40)]) for _ in range(3)]
+    rows = list(enumerate(texts))
+    spans, seen = set(), {}
+    for doc, text in rows:
+        words = text.split()
+        for at in range(len(words) - 39):
+            seen.setdefault(tuple(words[at : at + 40]), []).append((doc, at))
+    for places in seen.values():
+        if len({doc for doc, _ in places}) > 1:
+            spans |= {(doc, k) for doc, at in places for k in range(at, at + 40)}
+    told = set()
+    for r in chain_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        told |= {(r.id, k) for k in range(r.start_word, r.end_word)} | {(r.ref_id, k) for k in range(r.ref_start, r.ref_end)}
+    assert len(spans) >= 20 * 3 * 40 and spans <= told
+
+
 def test_equal_runs_and_parts():
     rng = random.Random(6)
     for _ in range(200):
