@@ -299,6 +299,11 @@ def d15b(t):
     return award_job(t).evidence.groupBy("signal_type", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("d15c_award_ingest_rows")
+def d15c(t):
+    return award_job(t).awards.select("prospect_id", "id", "date", "objet", "montant", "position", "is_new")
+
+
 @query("d16_registry_ingest", f"""
 WITH {_DISCOVERED},
 cut AS (SELECT * FROM found),

@@ -68,8 +68,8 @@ def ingest_awards(
     the notices are scanned once however many tables come out.
 
     ``history`` are the stored award rows per prospect.  The holders kept by the
-    cut are few beside the notices, so everything after it is small; a holder
-    with very many awards is only ever seen as map-side sums and its newest 50.
+    cut are few beside the notices; every relevant award of theirs is merged, as
+    rows of any number, while texts about a holder need only its newest.
     """
     relevant = stage(filter_relevant(awards, play, as_of, days))
     holders = aggregate_by_holder(relevant)
@@ -91,10 +91,8 @@ def ingest_awards(
         prospects, outcomes.drop("award_history"), "PUBLIC_AWARD", "DECP", fixed.DATA_SOURCE_AWARDS, play.code
     )
     targets = outcomes.filter(F.col("target_id").isNotNull()).select("holder_key", F.col("target_id").alias("prospect_id"))
-    fresh = targets.join(incoming.select("holder_key", F.explode("award_history").alias("a")), "holder_key")
-    merged = merge_awards(
-        history.select("prospect_id", *AWARD_FIELDS), fresh.select("prospect_id", *[F.col(f"a.{f}").alias(f) for f in AWARD_FIELDS])
-    )
+    fresh = targets.join(holder_awards(relevant), "holder_key").select("prospect_id", *AWARD_FIELDS)
+    merged = merge_awards(history.select("prospect_id", *AWARD_FIELDS), fresh)
     items = _evidence_rows(outcomes, holder_evidence(holders).drop("siren", "siret"), ["holder_key"])
     return Ingested(
         prospects=snapshot,

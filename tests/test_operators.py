@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import awards, contacts, evidence, pages
+from leadloom.plans import ingest
 from leadloom.plays import FIELD_SERVICE
 from leadloom.sources import csv_lists
 from leadloom.sources.awards import normalise_awards
@@ -52,6 +53,20 @@ def test_a_hot_holder_is_cut_before_the_shuffle(spark, t):
     assert row["award_count"] == 30_000 and row["total_cents"] == 3_000_000 and len(row["award_history"]) == 50
 
 
+def test_ingest_keeps_every_award_of_a_holder(spark, t):
+    hot = spark.range(120).select(
+        F.concat(F.lit("h"), F.col("id").cast("string")).alias("id"), F.lit("2001-10-01").alias("dateAttribution"), F.lit("50710000").alias("codeCPV"),
+        F.lit("Contrat maintenance").alias("objetMarche"), F.lit("99999999900001").alias("titulaire_siret"), F.lit("Hot").alias("titulaire_nom"),
+        F.lit(1.0).alias("montant"), F.lit("x").alias("acheteur_nom"),
+    )
+    job = ingest.ingest_awards(
+        t.s_awards.unionByName(hot), t.s_prospects, t.s_award_rows, t.s_evidence, t.s_suppression, FIELD_SERVICE, "2001-11-04", days=400
+    )
+    target = job.outcomes.filter("holder_key = '99999999900001'").first()["target_id"]
+    rows = job.awards.filter((F.col("prospect_id") == target) & F.col("is_new")).collect()
+    assert {r["id"] for r in rows} == {f"h{k}" for k in range(120)} and sorted(r["position"] for r in rows) == list(range(1, 121))
+
+
 def test_evidence_upsert_twice_adds_nothing(t):
     old = t.s_evidence.filter("id % 2 = 0").withColumn("fingerprint", F.lit(None).cast("string"))
     new = t.s_evidence.filter("id % 2 = 1")
