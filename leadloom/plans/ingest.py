@@ -91,7 +91,9 @@ def ingest_awards(
         prospects, outcomes.drop("award_history"), "PUBLIC_AWARD", "DECP", fixed.DATA_SOURCE_AWARDS, play.code
     )
     targets = outcomes.filter(F.col("target_id").isNotNull()).select("holder_key", F.col("target_id").alias("prospect_id"))
-    fresh = targets.join(holder_awards(relevant), "holder_key").select("prospect_id", *AWARD_FIELDS)
+    # stored amounts may be texts that are no numbers: new rows take the types of the history
+    as_stored = [F.col(f).cast(history.schema[f].dataType).alias(f) for f in AWARD_FIELDS]
+    fresh = targets.join(holder_awards(relevant), "holder_key").select("prospect_id", *as_stored)
     merged = merge_awards(history.select("prospect_id", *AWARD_FIELDS), fresh)
     items = _evidence_rows(outcomes, holder_evidence(holders).drop("siren", "siret"), ["holder_key"])
     return Ingested(

@@ -64,6 +64,7 @@ def test_ingest_keeps_every_award_of_a_holder(spark, t):
     )
     target = job.outcomes.filter("holder_key = '99999999900001'").first()["target_id"]
     rows = job.awards.filter((F.col("prospect_id") == target) & F.col("is_new")).collect()
+    assert job.awards.filter("montant = 'n.c.'").count() == t.s_award_rows.filter("montant = 'n.c.'").count() > 0
     assert {r["id"] for r in rows} == {f"h{k}" for k in range(120)} and sorted(r["position"] for r in rows) == list(range(1, 121))
 
 
