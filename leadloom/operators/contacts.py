@@ -588,7 +588,7 @@ def append_contact_evidence(old: DataFrame, facts: DataFrame, people: DataFrame,
     linked = link_evidence(fresh, people, points)
     return linked.withColumns(
         {
-            "excerpt": filled(F.substring(text(F.col("excerpt")), 1, 600)),
+            "excerpt": filled(text(F.col("excerpt"))),
             "confidence": F.greatest(F.lit(0), F.least(F.lit(100), F.col("confidence"))),
             "source_domain": filled(url_host(text(F.col("source_url")))),
         }

@@ -97,8 +97,8 @@ def contact_facts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> Da
         return F.concat(mails, phones, profiles)
 
     def form_point(form: Column) -> Column:
-        detail = F.concat_ws("|", classify_form(form["action"], title, F.substring(body, 1, 1000)),
-                             form["captcha"].cast("string"), F.array_join(F.slice(form["inputs"], 1, 30), ","))
+        detail = F.concat_ws("|", classify_form(form["action"], title, body),
+                             form["captcha"].cast("string"), F.array_join(form["inputs"], ","))
         return _point("contact_form", form["action"], "published_generic", "generic_company_mailbox", "company_website",
                       None, 70, detail, 3)
 
@@ -208,9 +208,7 @@ def evidence_facts(points: DataFrame, people: DataFrame, keys: tuple[str, ...] =
         F.lit("published_person").alias("evidence_type"),
         F.lit(adapter).alias("source_adapter"),
         "source_url",
-        F.substring(
-            F.concat(F.col("full_name"), F.lit(" — "), F.coalesce("job_title", F.lit("role unstated"))), 1, 600
-        ).alias("excerpt"),
+        F.concat(F.col("full_name"), F.lit(" — "), F.coalesce("job_title", F.lit("role unstated"))).alias("excerpt"),
         F.col("title").alias("page_title"),
         F.col("identity_confidence").alias("confidence"),
         "content_hash",
@@ -248,7 +246,7 @@ def registry_evidence(people: DataFrame) -> DataFrame:
         F.lit("registry_person").alias("evidence_type"),
         F.lit("public_registry").alias("source_adapter"),
         F.lit(None).cast("string").alias("source_url"),
-        F.substring(F.concat(F.col("full_name"), F.lit(" — "), F.coalesce("job_title", F.lit("legal role"))), 1, 600).alias("excerpt"),
+        F.concat(F.col("full_name"), F.lit(" — "), F.coalesce("job_title", F.lit("legal role"))).alias("excerpt"),
         F.lit(None).cast("string").alias("page_title"),
         F.lit(75).alias("confidence"),
         F.lit(None).cast("string").alias("content_hash"),

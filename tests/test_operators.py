@@ -162,6 +162,14 @@ def test_page_facts(spark):
     assert any(f["excerpt"] == "a***@acme.fr" for f in facts)
 
 
+def test_forms_of_long_pages(spark):
+    fields = "".join(f'<input name="f{k}">' for k in range(50))
+    html = f'<title>Page</title><p>{"mot " * 400}</p><p>Demande de prix</p><form action="/envoi">{fields}</form>'
+    parsed = parse_pages(accept_pages(spark.createDataFrame([(1, "https://acme.fr/page", html)], "page_id long, url string, html string")))
+    form = pages.contact_facts(parsed).filter("kind = 'contact_form'").first()
+    assert form["detail"] == "sales_quote|false|" + ",".join(f"f{k}" for k in range(50))
+
+
 def test_stop_stream_tells_once(spark, tmp_path):
     schema = "id long, prospect_id long, event_type string, event_date timestamp_ntz"
     day = lambda d: datetime(2024, 1, d)
