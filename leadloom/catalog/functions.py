@@ -36,6 +36,11 @@ def f3(t):
     return names.select("id", text.normalize_person_name(F.col("full_name")).alias("name"))
 
 
+@query("f3b_person_name_in_any_text")
+def f3b(t):
+    return t.documents.select("doc_id", F.sha2(text.normalize_person_name(F.col("text")), 256).alias("name"))
+
+
 _ROLE_CASES = " ".join(f"WHEN contains(w, '{term}') THEN '{category}:{score}'" for term, category, score in fixed.ROLE_TERMS)
 
 

@@ -130,3 +130,28 @@ def test_labels(apply):
     label = lambda version: [apply(lambda s: codes.priority_label(s, version), s, kind="int") for s in (75, 74, 70, 45, 44)]
     assert label(2) == ["High", "Medium", "Medium", "Medium", "Low"]
     assert label(3) == ["High", "High", "High", "Medium", "Low"]
+
+
+def test_person_names_of_all_documents(spark):
+    """Plain Python over every document, those with entities and null texts too."""
+    import hashlib
+    import html
+    import re
+    import unicodedata
+
+    from leadloom import catalog
+
+    def plain(value):
+        if value is None:
+            return None
+        words = " ".join(html.unescape(value).split()).lower()
+        bare = "".join(c for c in unicodedata.normalize("NFKD", words) if not unicodedata.combining(c)).replace("\u2019", "'")
+        bare = re.sub(r"^(?:m(?:me|lle)?|monsieur|madame|dr)\.?\s+", "", bare)
+        return hashlib.sha256(re.sub("[^a-z0-9' -]", "", bare).strip(" ").encode()).hexdigest()
+
+    catalog.load()
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["name"] for r in catalog.runner("f3b_person_name_in_any_text")(spark, folder).collect()}
+    assert any("&" in (d["text"] or "") for d in docs) and len(got) == len(docs)
+    assert [d["doc_id"] for d in docs if got[d["doc_id"]] != plain(d["text"])] == []
