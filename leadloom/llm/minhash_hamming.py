@@ -205,7 +205,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
 
 def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node, component`` of the nodes that have a link; ``rows`` are the staged rows of ``signed``."""
-    first = stage(rows.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("id", "n", "sig", "keys"), F.col("id")).alias("row")), "near-nodes")
+    first = stage(rows.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("id", "n", "sig", "keys"), F.struct(F.col("id").isNull(), F.col("id"))).alias("row")), "near-nodes")
     nodes = first.select("node", "row.*")
     keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("hub")).filter("size > 1")

@@ -300,6 +300,17 @@ def test_passages_whose_seeds_stand_elsewhere_too(spark):
     assert len(spans) >= 20 * 3 * 40 and spans <= told
 
 
+def test_rows_without_id_are_linked(spark):
+    rng = random.Random(12)
+    base = prose(rng, 200)
+    docs = spark.createDataFrame([(None, base + " one"), (None, base + " two"), (5, base + " three"), (6, prose(rng, 90))], "doc_id long, text string")
+    near = minhash_hamming.near_duplicates(docs).collect()
+    assert sorted((r.id or 0, r.component_id, r.kept) for r in near) == [(0, 5, False), (0, 5, False), (5, 5, True), (6, 6, True)]
+    told = chain_dedup.repeated_passages(docs).collect()
+    # both rows without id are told beside document 5 or one another
+    assert {(r.id, r.start_word, r.matches) for r in told if r.kind == "passage"} == {(None, 0, 200)} and any(r.ref_id == 5 for r in told)
+
+
 def test_equal_runs_and_parts():
     rng = random.Random(6)
     for _ in range(200):
