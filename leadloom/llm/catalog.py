@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe_automaton, chain_dedup, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, robust_quality, virtual_slots
+from leadloom.llm import bpe_automaton, chain_dedup, collocations, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, robust_quality, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +179,38 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
     )
+
+
+COLLOCATION_SQL = r"""
+    WITH pieces AS (
+        SELECT doc_id, coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    listed AS (SELECT doc_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    grams AS (
+        SELECT doc_id, lang, k AS size, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+        FROM listed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+    counts AS (SELECT lang, size, phrase, count(*) AS f, min(doc_id) AS first_doc FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM listed GROUP BY lang),
+    long AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size >= 2),
+    cuts AS (
+        SELECT c.lang, c.phrase, k, head.f AS l, tail.f AS r, CAST((2000000::HUGEINT * c.f) // (head.f + tail.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM long) c
+        JOIN counts head ON head.lang = c.lang AND head.phrase = array_to_string(c.w[1:c.k], ' ')
+        JOIN counts tail ON tail.lang = c.lang AND tail.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    covering AS (
+        SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(f) AS longer
+        FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM long)) GROUP BY ALL),
+    ranked AS (
+        SELECT p.lang, row_number() OVER (PARTITION BY p.lang ORDER BY score DESC, p.f DESC, encode(p.phrase)) AS rank,
+               p.phrase, p.f AS a, l, r, n, score, first_doc
+        FROM long p JOIN lowest USING (lang, phrase) JOIN sizes USING (lang) LEFT JOIN covering USING (lang, phrase)
+        WHERE longer IS NULL OR 100 * longer < 80 * p.f)
+    SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
