@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe_automaton, chain_dedup, collocations, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, robust_quality, virtual_slots
+from leadloom.llm import bpe_automaton, chain_dedup, collocations, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, positional_index, robust_quality, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,6 +181,38 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LEAK_SQL = r"""
+    WITH spoken AS (
+        SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents),
+    items AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(10, len(w)) AS size, unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, greatest(1, len(w) - 9) + 1)]) AS phrase
+        FROM items WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    runs AS (
+        SELECT row, size, unnest(range(1, len(w) - size + 2)) AS start, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase
+        FROM spoken, sizes WHERE len(w) >= size),
+    met AS (SELECT row, start, r.size, item_id FROM runs r JOIN windows USING (size, phrase)),
+    hit AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(start, start + size)) AS place FROM met) GROUP BY row),
+    named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY row)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM spoken LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
+
+
+@query("op11_positional_index", LEAK_SQL)
+def leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = positional_index.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 COLLOCATION_SQL = r"""
     WITH pieces AS (
         SELECT doc_id, coalesce(lang, 'und') AS lang,
