@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe_automaton, chain_dedup, collocations, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, positional_index, robust_quality, virtual_slots
+from leadloom.llm import bpe_automaton, chain_dedup, collocations, dual_tree, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, positional_index, robust_quality, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,6 +213,36 @@ def leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SEARCH_SQL = r"""
+    WITH spoken AS (
+        SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents WHERE text IS NOT NULL),
+    sized AS (SELECT doc_id, row, w, len(w) AS n FROM spoken WHERE len(w) > 0),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sized),
+    asked AS (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark WHERE text IS NOT NULL),
+    wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+    held AS (
+        SELECT row, doc_id, n, term, count(*) AS tf
+        FROM (SELECT row, doc_id, n, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM held, totals GROUP BY term),
+    scored AS (
+        SELECT item_id, row, doc_id,
+               CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words)))) AS BIGINT) AS score
+        FROM wanted JOIN held USING (term) JOIN weights USING (term), totals GROUP BY ALL),
+    ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op12_dual_tree", SEARCH_SQL)
+def lexical(spark: SparkSession, folder: str) -> DataFrame:
+    found = dual_tree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnsRenamed({"item": "item_id", "doc": "doc_id"})
+
+
 COLLOCATION_SQL = r"""
     WITH pieces AS (
         SELECT doc_id, coalesce(lang, 'und') AS lang,
