@@ -386,3 +386,31 @@ def test_rebalancing_moves_few_slots(spark):
 
 def test_catalog_names():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_near_crowd_around_the_bar(spark, monkeypatch):
+    """Large buckets whose members stay apart: the blocks find every component, with fewer links than members."""
+    monkeypatch.setattr(minhash_hamming, "BLOCK", 40)
+    made = []
+    links = minhash_hamming.block_links
+
+    def counted(*args):
+        found = links(*args).cache()
+        made.append((args[0].count(), found.count()))
+        return found
+
+    monkeypatch.setattr(minhash_hamming, "block_links", counted)
+    rng = random.Random(9)
+    rows = []
+    for crowd in range(2):
+        base = prose(rng, 120).split()
+        for _ in range(170):
+            words = list(base)
+            for at in rng.sample(range(120), rng.choice([1, 2, 3])):
+                words[at] = f"w{rng.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = plain.near_components(rows, 85)
+    got = {r.id: (r.n_shingles, r.component_id) for r in minhash_hamming.near_duplicates(df).collect()}
+    assert got == expected
+    assert len({c for _, c in expected.values()}) > 5 and made and 0 < made[0][1] < made[0][0]
