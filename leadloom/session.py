@@ -72,14 +72,24 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return folder
 
 
+#: Shuffle files of a finished query go at once instead of with the driver's next garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table that is read more than once to the shared folder, as parquet, and read it back.
 
-    Parquet prunes columns and keeps statistics, and the rows survive lost executors.
+    Parquet prunes columns and keeps statistics, and the rows survive lost executors.  The shuffle files of the write
+    are dropped when it ends: the table stands for them.
     """
-    folder = shared_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder, before = shared_folder(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
