@@ -14,7 +14,7 @@ from leadloom.sources.pages import accept_pages, parse_pages
 _PAIRS = """
 n AS (SELECT ord, prospect_id, CASE full_name WHEN 'Jean Martin' THEN 'jean' WHEN 'Mme Élodie Martin-Dupont' THEN 'elodie' WHEN 'Dr. Luc Robert' THEN 'luc' WHEN 'Marie Durand' THEN 'marie' ELSE 'paul' END AS f,
   CASE full_name WHEN 'Jean Martin' THEN 'martin' WHEN 'Mme Élodie Martin-Dupont' THEN 'martindupont' WHEN 'Dr. Luc Robert' THEN 'robert' WHEN 'Marie Durand' THEN 'durand' ELSE 'petit' END AS l FROM s_person_facts),
-m AS (SELECT 'c' || CAST(prospect_id % 500 AS VARCHAR) || '.example.fr' AS domain, CASE ord % 6 WHEN 0 THEN 'firstname.lastname' WHEN 1 THEN 'f.lastname' WHEN 2 THEN 'firstname' WHEN 3 THEN 'lastname' END AS pattern FROM n)
+m AS (SELECT 'c' || CAST(prospect_id - prospect_id % 3 AS VARCHAR) || '.example.fr' AS domain, CASE ord % 6 WHEN 0 THEN 'firstname.lastname' WHEN 1 THEN 'f.lastname' WHEN 2 THEN 'firstname' WHEN 3 THEN 'lastname' END AS pattern FROM n)
 """
 
 
@@ -29,7 +29,7 @@ def a10(t):
     local = F.when(F.col("ord") % 6 == 0, F.concat(first, F.lit("."), last)).when(
         F.col("ord") % 6 == 1, F.concat(F.substring(first, 1, 1), F.lit("."), last)
     ).when(F.col("ord") % 6 == 2, first).when(F.col("ord") % 6 == 3, last).when(F.col("ord") % 6 == 4, "contact").otherwise("zz.zz")
-    domain = F.concat(F.lit("c"), (F.col("prospect_id") % 500).cast("string"), F.lit(".example.fr"))
+    domain = F.concat(F.lit("c"), (F.col("prospect_id") - F.col("prospect_id") % 3).cast("string"), F.lit(".example.fr"))
     pairs = names.select(domain.alias("domain"), F.concat(local, F.lit("@"), domain).alias("email"), F.col("full_name").alias("person_name"))
     return contacts.learn_patterns(pairs).select("domain", "pattern", "observations", "strength")
 
@@ -189,10 +189,10 @@ def h1(t):
 
 
 @query("h2_contact_facts", """
-SELECT 1000000000 + c_custkey AS page_id, k.kind, CASE k.kind WHEN 'email' THEN 'contact@c' || CAST(c_custkey % 500 AS VARCHAR) || '.example.fr' WHEN 'phone' THEN '+331445500' || CAST(c_custkey % 90 + 10 AS VARCHAR)
-  ELSE 'https://www.c' || CAST(c_custkey % 500 AS VARCHAR) || '.example.fr/devis' END AS value, k.publication_state, k.confidence
+SELECT 1000000000 + c_custkey AS page_id, k.kind, CASE k.kind WHEN 'email' THEN 'contact@c' || CAST(c_custkey - c_custkey % 3 AS VARCHAR) || '.example.fr' WHEN 'phone' THEN '+331445500' || CAST(c_custkey % 90 + 10 AS VARCHAR)
+  ELSE 'https://www.c' || CAST(c_custkey - c_custkey % 3 AS VARCHAR) || '.example.fr/devis' END AS value, k.publication_state, k.confidence
 FROM customer, (VALUES ('email', 'published_generic', 72), ('phone', 'published_generic', 75), ('contact_form', 'published_generic', 70)) k(kind, publication_state, confidence)
-UNION ALL SELECT 2000000000 + c_custkey, 'email', 'jean.martin@c' || CAST(c_custkey % 500 AS VARCHAR) || '.example.fr', 'published_personal', 82 FROM customer
+UNION ALL SELECT 2000000000 + c_custkey, 'email', 'jean.martin@c' || CAST(c_custkey - c_custkey % 3 AS VARCHAR) || '.example.fr', 'published_personal', 82 FROM customer
 """, whole="confidence")
 def h2(t):
     return pages.contact_facts(parsed(t)).select("page_id", "kind", "value", "publication_state", "confidence")

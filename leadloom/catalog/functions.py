@@ -220,18 +220,18 @@ def f17(t):
 @query("f18a_pattern_candidates", f"""
 WITH n AS (SELECT p.ord, p.prospect_id, p.full_name, f, l FROM ({_NAMES}) x JOIN s_person_facts p USING (ord)),
 people AS (SELECT prospect_id, full_name, f, l FROM n GROUP BY ALL),
-obs AS (SELECT 'c' || CAST(prospect_id % 500 AS VARCHAR) || '.example.fr' AS domain, CASE ord % 3 WHEN 0 THEN 'firstname.lastname' WHEN 1 THEN 'f.lastname' ELSE 'lastname' END AS pattern,
+obs AS (SELECT 'c' || CAST(prospect_id - prospect_id % 3 AS VARCHAR) || '.example.fr' AS domain, CASE ord % 3 WHEN 0 THEN 'firstname.lastname' WHEN 1 THEN 'f.lastname' ELSE 'lastname' END AS pattern,
   ord % 3 AS k FROM n WHERE prospect_id % 4 <> 0 AND ord % 2 = 0),
 pat AS (SELECT domain, pattern, count(*) AS observations, CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 7 END AS po FROM obs GROUP BY domain, pattern, k),
-all_c AS (SELECT p.prospect_id, p.full_name, pat.pattern, pat.observations, pat.po, f, l, pat.domain FROM people p JOIN pat ON pat.domain = 'c' || CAST(p.prospect_id % 500 AS VARCHAR) || '.example.fr'
-  UNION ALL SELECT p.prospect_id, p.full_name, b.pattern, 0, b.po, f, l, 'c' || CAST(p.prospect_id % 500 AS VARCHAR) || '.example.fr' FROM people p, (VALUES ('firstname.lastname', 0), ('f.lastname', 1)) b(pattern, po)
-  WHERE 'c' || CAST(p.prospect_id % 500 AS VARCHAR) || '.example.fr' NOT IN (SELECT domain FROM pat)),
+all_c AS (SELECT p.prospect_id, p.full_name, pat.pattern, pat.observations, pat.po, f, l, pat.domain FROM people p JOIN pat ON pat.domain = 'c' || CAST(p.prospect_id - prospect_id % 3 AS VARCHAR) || '.example.fr'
+  UNION ALL SELECT p.prospect_id, p.full_name, b.pattern, 0, b.po, f, l, 'c' || CAST(p.prospect_id - prospect_id % 3 AS VARCHAR) || '.example.fr' FROM people p, (VALUES ('firstname.lastname', 0), ('f.lastname', 1)) b(pattern, po)
+  WHERE 'c' || CAST(p.prospect_id - prospect_id % 3 AS VARCHAR) || '.example.fr' NOT IN (SELECT domain FROM pat)),
 r AS (SELECT *, row_number() OVER (PARTITION BY prospect_id, full_name ORDER BY observations DESC, po) AS candidate_rank FROM all_c)
 SELECT prospect_id, full_name, CASE pattern WHEN 'firstname.lastname' THEN f || '.' || l WHEN 'f.lastname' THEN f[1] || '.' || l ELSE l END || '@' || domain AS email,
   observations, candidate_rank, CASE WHEN observations >= 2 THEN 'exact_person_pattern_confirmed' ELSE 'name_only_guess' END AS person_match_state FROM r
 """, whole="observations candidate_rank")
 def f18a(t):
-    domain = F.concat(F.lit("c"), (F.col("prospect_id") % 500).cast("string"), F.lit(".example.fr"))
+    domain = F.concat(F.lit("c"), (F.col("prospect_id") - F.col("prospect_id") % 3).cast("string"), F.lit(".example.fr"))
     facts = t.s_person_facts.withColumn("domain", domain)
     people = facts.select("prospect_id", "full_name", "domain").distinct()
     forms = facts.filter((F.col("prospect_id") % 4 != 0) & (F.col("ord") % 2 == 0)).withColumn("n", mailboxes.name_tokens(F.col("full_name")))
@@ -243,7 +243,7 @@ def f18a(t):
 
 
 @query("f18b_email_candidates", f"""
-WITH b AS (SELECT id, 'c' || CAST(id % 500 AS VARCHAR) || '.example.fr' AS d FROM s_prospects),
+WITH b AS (SELECT id, 'c' || CAST(id - id % 3 AS VARCHAR) || '.example.fr' AS d FROM s_prospects),
 c AS (SELECT id, 'sales@' || d AS email, 'raw' AS pattern, 0 AS priority FROM b WHERE id % 3 = 0
   UNION ALL SELECT id, u.local || '@' || d, u.pattern, u.prio FROM b, (VALUES ('jean.martin', 'prenom.nom', 1), ('j.martin', 'p.nom', 2), ('jeanmartin', 'prenomnom', 3), ('martin.jean', 'nom.prenom', 4),
     ('jean_martin', 'prenom_nom', 5), ('jmartin', 'pnom', 6), ('martinj', 'nomp', 7), ('martin', 'nom', 8), ('jean', 'prenom', 9)) u(local, pattern, prio) WHERE id % 2 = 0
@@ -256,10 +256,10 @@ def f18b(t):
     k = F.col("id")
     rows = t.s_prospects.select(
         "id",
-        F.concat(F.lit("c"), (k % 500).cast("string"), F.lit(".example.fr")).alias("domain"),
+        F.concat(F.lit("c"), (k - k % 3).cast("string"), F.lit(".example.fr")).alias("domain"),
         F.when(k % 2 == 0, "Jéan Paul").alias("first_name"),
         F.when(k % 2 == 0, "Martin").alias("last_name"),
-        F.when(k % 3 == 0, F.array(F.concat(F.lit(" Sales@c"), (k % 500).cast("string"), F.lit(".example.fr")), F.lit("x@other.fr"))).alias("harvested"),
+        F.when(k % 3 == 0, F.array(F.concat(F.lit(" Sales@c"), (k - k % 3).cast("string"), F.lit(".example.fr")), F.lit("x@other.fr"))).alias("harvested"),
     )
     return contacts.email_candidates(rows).select("id", "email", "pattern", "priority", "position")
 

@@ -276,7 +276,7 @@ def manual_entries(t):
         F.when(k % 23 == 0, "fax").otherwise(F.col("kind")).alias("kind"),
         "value",
         F.when(k % 29 == 0, "secret").otherwise(F.col("publication_state")).alias("publication_state"),
-        F.when(k % 31 == 0, "http://127.0.0.1/x").otherwise(F.concat(F.lit("https://c"), (F.col("prospect_id") % 500).cast("string"), F.lit(".example.fr/p"))).alias("source_url"),
+        F.when(k % 31 == 0, "http://127.0.0.1/x").otherwise(F.concat(F.lit("https://c"), (F.col("prospect_id") - F.col("prospect_id") % 3).cast("string"), F.lit(".example.fr/p"))).alias("source_url"),
     )
 
 

@@ -159,7 +159,7 @@ c AS (SELECT p.id, p.siren, page.host, page.html,
     list_filter(list_distinct(regexp_extract_all(lower(strip_accents(p.company_name)), '[a-z0-9]{3,}')), lambda w: w NOT IN ('sas', 'sarl', 'sa', 'eurl', 'sasu', 'societe', 'groupe', 'france')) AS words,
     regexp_extract_all(lower(strip_accents(page.html)), '[a-z0-9]{3,}') AS shown,
     regexp_extract_all(replace(replace(page.host, '.', ' '), '-', ' '), '[a-z0-9]{3,}') AS hostwords
-  FROM s_prospects p JOIN page ON page.host = 'c' || CAST(p.id % 500 AS VARCHAR) || '.example.fr'),
+  FROM s_prospects p JOIN page ON page.host = 'c' || CAST(p.id - id % 3 AS VARCHAR) || '.example.fr'),
 s AS (SELECT *, greatest(len(list_intersect(words, shown)), len(list_intersect(words, hostwords))) AS k, greatest(1, len(words)) AS n FROM c)
 SELECT id, host, CASE WHEN contains(regexp_replace(html, '[^0-9]', '', 'g'), siren) THEN 'exact_legal_match' WHEN k * 10 >= n * 8 THEN 'strong_brand_match'
   WHEN k * 10 >= n * 5 THEN 'probable' ELSE 'ambiguous' END AS domain_match_state FROM s
@@ -170,13 +170,13 @@ def j14(t):
     pages = t.s_site_pages.withColumn("host", bare_host(F.col("url")))
     first = identity.first_page_per_host(pages).select("host", F.lit("").alias("title"), F.col("html").alias("text"))
     owners = t.s_prospects.select(
-        "id", "siren", "company_name", F.concat(F.lit("c"), (F.col("id") % 500).cast("string"), F.lit(".example.fr")).alias("host")
+        "id", "siren", "company_name", F.concat(F.lit("c"), (F.col("id") - F.col("id") % 3).cast("string"), F.lit(".example.fr")).alias("host")
     )
     return identity.domain_match(owners.join(first, "host")).select("id", "host", "domain_match_state")
 
 
 @query("j15_domain_verification", """
-WITH root AS (SELECT c_custkey % 500 AS h, min(c_custkey) AS k FROM customer GROUP BY 1),
+WITH root AS (SELECT c_custkey - c_custkey % 3 AS h, min(c_custkey) AS k FROM customer GROUP BY 1),
 r AS (SELECT 'c' || CAST(h AS VARCHAR) || '.example.fr' AS host, CASE WHEN h % 9 = 0 THEN 404 ELSE 200 END AS status,
   CASE WHEN h % 4 = 0 THEN 'SIREN ' || lpad(CAST(k AS VARCHAR), 9, '0') WHEN h % 4 = 1 THEN 'Froid Pro ' || CAST(floor(k / 2) AS BIGINT) ELSE 'x' END AS body,
   CASE WHEN h % 11 = 0 THEN 'non_public_address' END AS unsafe FROM root),
@@ -189,7 +189,7 @@ SELECT id, CASE WHEN unsafe IS NOT NULL THEN 'rejected' WHEN status = 200 AND by
 """)
 def j15(t):
     h, k = F.col("h"), F.col("k")
-    roots = t.customer.groupBy((F.col("c_custkey") % 500).alias("h")).agg(F.min("c_custkey").alias("k"))
+    roots = t.customer.groupBy((F.col("c_custkey") - F.col("c_custkey") % 3).alias("h")).agg(F.min("c_custkey").alias("k"))
     body = F.when(h % 4 == 0, F.concat(F.lit("SIREN "), F.lpad(k.cast("string"), 9, "0"))).when(
         h % 4 == 1, F.concat(F.lit("Froid Pro "), F.floor(k / 2).cast("string"))
     ).otherwise("x")

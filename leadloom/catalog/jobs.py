@@ -28,13 +28,13 @@ def award_lists(t) -> DataFrame:
 
 
 @query("d3_create_prospects", """
-WITH n AS (SELECT sighting AS id, siren, 'contact@c' || CAST(sighting % 500 AS VARCHAR) || '.example.fr' AS email FROM s_registry)
+WITH n AS (SELECT sighting AS id, siren, 'contact@c' || CAST(sighting - sighting % 3 AS VARCHAR) || '.example.fr' AS email FROM s_registry)
 SELECT id, 'FIELD_SERVICE_OPERATIONS_FR' AS market_play_code, 'unreviewed' AS manual_review_state, NOT (siren IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren')
   OR email IN (SELECT value_normalized FROM s_suppression WHERE kind = 'email') OR split_part(email, '@', 2) IN (SELECT value_normalized FROM s_suppression WHERE kind = 'domain')) AS created FROM n
 """)
 def d3(t):
     new = t.s_registry.withColumns(
-        {"id": F.col("sighting"), "email": F.concat(F.lit("contact@c"), (F.col("sighting") % 500).cast("string"), F.lit(".example.fr"))}
+        {"id": F.col("sighting"), "email": F.concat(F.lit("contact@c"), (F.col("sighting") - F.col("sighting") % 3).cast("string"), F.lit(".example.fr"))}
     )
     return recompute.create_prospects(new, t.s_suppression, FIELD_SERVICE).select("id", "market_play_code", "manual_review_state", "created")
 
@@ -236,7 +236,7 @@ def d12(t):
 
 
 @query("d13_contact_waterfall", f"""
-WITH b AS (SELECT id, 'c' || CAST(id % 500 AS VARCHAR) || '.example.fr' AS d, siren, CASE WHEN id % 4 = 0 THEN 'sales@c' || CAST(id % 500 AS VARCHAR) || '.example.fr' END AS h FROM s_prospects WHERE id % 9 <> 0),
+WITH b AS (SELECT id, 'c' || CAST(id - id % 3 AS VARCHAR) || '.example.fr' AS d, siren, CASE WHEN id % 4 = 0 THEN 'sales@c' || CAST(id - id % 3 AS VARCHAR) || '.example.fr' END AS h FROM s_prospects WHERE id % 9 <> 0),
 c AS (SELECT id, h AS email, 0 AS pr FROM b WHERE h IS NOT NULL UNION ALL SELECT id, u.l || '@' || d, u.p FROM b, (VALUES ('jean.martin', 1), ('j.martin', 2), ('jeanmartin', 3), ('martin.jean', 4), ('jean_martin', 5), ('jmartin', 6), ('martinj', 7), ('martin', 8), ('jean', 9)) u(l, p)
   UNION ALL SELECT id, r.l || '@' || d, 20 + r.i FROM b, (VALUES {", ".join(f"('{role}', {i})" for i, role in enumerate(fixed.ROLE_LOCAL_PARTS))}) r(l, i)),
 u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pr) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY id, email ORDER BY pr) AS copy FROM c) x WHERE copy = 1),
@@ -251,7 +251,7 @@ FROM s_prospects p LEFT JOIN b USING (id) LEFT JOIN n USING (id) LEFT JOIN m USI
 """, whole="candidates checked")
 def d13(t):
     k = F.col("id")
-    host = F.concat(F.lit("c"), (k % 500).cast("string"), F.lit(".example.fr"))
+    host = F.concat(F.lit("c"), (k - k % 3).cast("string"), F.lit(".example.fr"))
     people = t.s_prospects.select(
         "id", "siren", F.when(k % 9 != 0, host).alias("domain"), F.lit("Jean").alias("first_name"), F.lit("Martin").alias("last_name")
     )

@@ -172,7 +172,7 @@ _CONTACT_FP = """sha256(CAST(prospect_id AS VARCHAR) || '|' || source_adapter ||
 @query("u8_contact_evidence_append", f"""
 WITH f AS (SELECT *, {_CONTACT_FP} AS fingerprint FROM s_contact_evidence),
 u AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY ord) AS copy FROM f WHERE id % 4 <> 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE id % 4 = 0))
-SELECT id, prospect_id, fingerprint, least(100, confidence) AS confidence, CASE WHEN source_url IS NOT NULL THEN 'c' || CAST(prospect_id % 500 AS VARCHAR) || '.example.fr' END AS source_domain FROM u WHERE copy = 1
+SELECT id, prospect_id, fingerprint, least(100, confidence) AS confidence, CASE WHEN source_url IS NOT NULL THEN 'c' || CAST(prospect_id - prospect_id % 3 AS VARCHAR) || '.example.fr' END AS source_domain FROM u WHERE copy = 1
 """, whole="confidence")
 def u8(t):
     from leadloom.functions.text import contact_fingerprint
@@ -212,7 +212,7 @@ def u9(t):
 
 
 @query("u10_suppression_add", """
-WITH n AS (SELECT 'email' AS kind, lower(trim(email)) AS v FROM s_prospects WHERE email IS NOT NULL UNION ALL SELECT 'domain', 'c' || CAST(id % 500 AS VARCHAR) || '.example.fr' FROM s_prospects WHERE id % 3 = 0
+WITH n AS (SELECT 'email' AS kind, lower(trim(email)) AS v FROM s_prospects WHERE email IS NOT NULL UNION ALL SELECT 'domain', 'c' || CAST(id - id % 3 AS VARCHAR) || '.example.fr' FROM s_prospects WHERE id % 3 = 0
   UNION ALL SELECT 'siren', siren FROM s_prospects WHERE id % 4 = 0)
 SELECT DISTINCT kind, v AS value_normalized FROM n WHERE NOT EXISTS (SELECT 1 FROM s_suppression s WHERE s.kind = n.kind AND s.value_normalized = n.v)
 """)
@@ -222,7 +222,7 @@ def u10(t):
         F.lit(kind).alias("kind"), value.alias("value"), F.lit("r").alias("reason"), F.lit("s").alias("source")
     )
     new = wanted("email", F.concat(F.lit(" "), F.upper("email")), F.col("email").isNotNull())
-    new = new.unionByName(wanted("domain", F.concat(F.lit("WWW.C"), (k % 500).cast("string"), F.lit(".example.fr")), k % 3 == 0))
+    new = new.unionByName(wanted("domain", F.concat(F.lit("WWW.C"), (k - k % 3).cast("string"), F.lit(".example.fr")), k % 3 == 0))
     new = new.unionByName(wanted("siren", F.concat(F.substring("siren", 1, 3), F.lit(" "), F.substring("siren", 4, 6)), k % 4 == 0))
     return compliance.add_suppression(t.s_suppression, new).select("kind", "value_normalized")
 

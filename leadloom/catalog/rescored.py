@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from leadloom.catalog import query
 from leadloom.catalog.contacts import POINT_RANKS
 from leadloom.catalog.gates import GATED, REVIEW_ERRORS
+from leadloom.catalog.merges import _DISCOVERED
+from leadloom.catalog.scans import LABELLED
 from leadloom.catalog.scores import SCORED
-from leadloom.plans import rescore
+from leadloom.plans import acquire, rescore
 from leadloom.plays import FIELD_SERVICE
-from leadloom.standins import HISTORY_AS_OF
+from leadloom.standins import AWARDS_AS_OF, HISTORY_AS_OF
 
 STAGE = """CASE s.state WHEN 'contact_ready' THEN 'contact_ready' WHEN 'human_review_required' THEN 'human_review_required' WHEN 'suppressed' THEN 'suppressed'
   WHEN 'contact_required' THEN 'enriched' ELSE 'researching' END"""
@@ -42,14 +44,14 @@ def shown(written: rescore.Written, *columns: str):
 
 
 _NEW = """
-given AS (SELECT sighting AS id, siren, siret, company_name, naf_code, company_size, decision_maker_name, decision_maker_title, 'contact@c' || CAST(sighting % 500 AS VARCHAR) || '.example.fr' AS email FROM s_registry),
+given AS (SELECT sighting AS id, siren, siret, company_name, naf_code, company_size, decision_maker_name, decision_maker_title, 'contact@c' || CAST(sighting - sighting % 3 AS VARCHAR) || '.example.fr' AS email FROM s_registry),
 marked AS (SELECT *, NOT (siren IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren') OR email IN (SELECT value_normalized FROM s_suppression WHERE kind = 'email')
   OR split_part(email, '@', 2) IN (SELECT value_normalized FROM s_suppression WHERE kind = 'domain')) AS created FROM given),
 """
 
 
 def new_rows(t):
-    host = F.concat(F.lit("contact@c"), (F.col("sighting") % 500).cast("string"), F.lit(".example.fr"))
+    host = F.concat(F.lit("contact@c"), (F.col("sighting") - F.col("sighting") % 3).cast("string"), F.lit(".example.fr"))
     columns = ("siren", "siret", "company_name", "naf_code", "company_size", "decision_maker_name", "decision_maker_title")
     return t.s_registry.select(F.col("sighting").alias("id"), *columns, host.alias("email"))
 
@@ -175,3 +177,40 @@ WITH {_FOUND} x AS (SELECT 1) SELECT id, prospect_id, label, evidence_text FROM
 """)
 def d12c(t):
     return enriched(t).evidence.select("id", "prospect_id", "label", "evidence_text")
+
+
+def acquired(t, mode: str, registry=None) -> acquire.Acquired:
+    """An acquisition run over the stored tables."""
+    return acquire.acquire(mode, t.s_prospects, facts(t), FIELD_SERVICE, AWARDS_AS_OF, t.s_awards, t.s_registry if registry is None else registry, days=400)
+
+
+_BOTH = f"""
+{LABELLED}, {_DISCOVERED},
+kept AS (SELECT *, siren IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren') AS blocked,
+  siren IN (SELECT siren FROM s_prospects) OR siren IN (SELECT siren FROM labelled WHERE outcome = 'created') AS known FROM found),
+per_source AS (
+  SELECT 'decp' AS source, sum(n) AS awards, count(*) AS companies, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'updated') AS updated,
+    count(*) FILTER (outcome = 'skipped') AS skipped FROM labelled
+  UNION ALL SELECT 'registry', 0, count(*), count(*) FILTER (NOT blocked AND NOT known), count(*) FILTER (NOT blocked AND known), count(*) FILTER (blocked) FROM kept)
+"""
+
+
+@query("s13b_acquisition_run", f"""
+WITH {_BOTH}
+SELECT 'full' AS adapter, 'completed' AS status, source, awards, companies, created, updated, skipped, 0 AS errors FROM per_source
+UNION ALL SELECT 'full', 'completed', 'total', sum(awards), sum(companies), sum(created), sum(updated), sum(skipped), 0 FROM per_source
+UNION ALL SELECT 'registry', 'failed', 'total', 0, 0, 0, 0, 0, 0
+""", whole="awards companies created updated skipped errors")
+def s13b(t):
+    broken = t.s_registry.drop("siren")
+    runs = acquired(t, "full").run.unionByName(acquired(t, "registry", broken).run)
+    return runs.select("adapter", "status", F.inline("stats"))
+
+
+@query("d15d_acquired_events", f"""
+WITH {_BOTH}
+SELECT event_type, notes, n FROM (
+  SELECT 'New' AS event_type, 'Discovered via ' || source || ' acquisition engine' AS notes, created AS n FROM per_source) x WHERE n > 0
+""", whole="n")
+def d15d(t):
+    return acquired(t, "full").events.groupBy("event_type", "notes").agg(F.count(F.lit(1)).alias("n"))

@@ -281,8 +281,8 @@ WHERE CAST(dateAttribution AS TIMESTAMP) >= TIMESTAMP '{AWARDS_AS_OF} 00:00:00'
 """
 
 
-@query("s13_run_ledger", f"""
-WITH relevant AS ({RELEVANT.replace("{days}", "400")}),
+LABELLED = f"""
+relevant AS ({RELEVANT.replace("{days}", "400")}),
 holders AS (SELECT CASE WHEN length(holder_digits) = 9 THEN holder_digits ELSE substring(holder_digits, 1, 14) END AS holder_key, count(*) AS n
   FROM relevant WHERE length(holder_digits) = 9 OR length(holder_digits) >= 14 GROUP BY 1),
 ranked AS (SELECT *, substring(holder_key, 1, 9) AS siren, CASE WHEN length(holder_key) = 14 THEN holder_key END AS siret FROM holders),
@@ -291,6 +291,11 @@ marked AS (SELECT r.*, r.siren IN (SELECT value_normalized FROM s_suppression WH
   coalesce((SELECT min(k.id) FROM known k WHERE k.siret = r.siret), (SELECT min(k.id) FROM known k WHERE k.siren = r.siren)) AS hit FROM ranked r),
 labelled AS (SELECT *, CASE WHEN blocked THEN 'skipped' WHEN hit IS NOT NULL THEN 'updated'
   WHEN row_number() OVER (PARTITION BY siren, blocked, hit IS NULL ORDER BY holder_key) = 1 THEN 'created' ELSE 'updated' END AS outcome FROM marked)
+"""
+
+
+@query("s13_run_ledger", f"""
+WITH {LABELLED}
 SELECT 'decp' AS source, sum(n) AS awards, count(*) AS companies, count(*) FILTER (outcome = 'created') AS created,
   count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'skipped') AS skipped, 0 AS errors FROM labelled
 """, whole="awards companies created updated skipped errors")

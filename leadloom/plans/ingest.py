@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leadloom import fixed
@@ -24,12 +24,12 @@ from leadloom.operators.evidence import upsert_evidence
 from leadloom.operators.identity import discover_registry, rank_registry, upsert_outcomes, upsert_prospects
 from leadloom.plays import Play
 from leadloom.session import cut_lineage
-from leadloom.sources.sinks import ledger
+from leadloom.sources.sinks import ledger, watched
 
 
 @dataclass
 class Ingested:
-    """What one acquisition job yields; every member is a lazy frame."""
+    """What one acquisition job yields; outcomes are written already, the other members are lazy frames over them."""
 
     prospects: DataFrame
     outcomes: DataFrame
@@ -61,6 +61,7 @@ def ingest_awards(
     days: int = 90,
     max_companies: int | None = None,
     stage: Callable[[DataFrame], DataFrame] = cut_lineage,
+    observation: Observation | None = None,
 ) -> Ingested:
     """Award notices to prospects: filter, group by holder, cut, upsert, merge histories and evidence.
 
@@ -70,6 +71,7 @@ def ingest_awards(
     ``history`` are the stored award rows per prospect.  The holders kept by the
     cut are few beside the notices; every relevant award of theirs is merged, as
     rows of any number, while texts about a holder need only its newest.
+    ``observation`` takes the ledger's counts while the outcomes are written.
     """
     relevant = stage(filter_relevant(awards, play, as_of, days))
     holders = aggregate_by_holder(relevant)
@@ -86,7 +88,7 @@ def ingest_awards(
         }
     )
     blocked = suppression.filter(F.col("kind") == "siren")
-    outcomes = stage(upsert_outcomes(incoming, prospects, blocked))
+    outcomes = stage(watched(upsert_outcomes(incoming, prospects, blocked), observation))
     snapshot = upsert_prospects(
         prospects, outcomes.drop("award_history"), "PUBLIC_AWARD", "DECP", fixed.DATA_SOURCE_AWARDS, play.code
     )
@@ -105,11 +107,6 @@ def ingest_awards(
     )
 
 
-def all_holder_awards(awards: DataFrame, play: Play, as_of: str | datetime, days: int = 90) -> DataFrame:
-    """Every relevant award under its holder key, for readers that need more than the newest fifty."""
-    return holder_awards(filter_relevant(awards, play, as_of, days))
-
-
 def registry_details() -> Column:
     return F.concat(
         F.lit("Field-service registry · NAF "), F.coalesce("naf_code", F.lit("None")), F.lit(" · "), F.col("company_size"),
@@ -125,6 +122,7 @@ def ingest_registry(
     play: Play,
     max_companies: int | None = None,
     stage: Callable[[DataFrame], DataFrame] = cut_lineage,
+    observation: Observation | None = None,
 ) -> Ingested:
     """Registry sightings to prospects: one per siren, ranked, cut, upserted, with structural evidence."""
     found = discover_registry(companies, play)
@@ -133,7 +131,7 @@ def ingest_registry(
     found = stage(found)
     incoming = found.withColumns({"signal_details": registry_details(), "ord": F.col("siren")})
     blocked = suppression.filter(F.col("kind") == "siren")
-    outcomes = stage(upsert_outcomes(incoming, prospects, blocked))
+    outcomes = stage(watched(upsert_outcomes(incoming, prospects, blocked), observation))
     flat = outcomes.drop("evidence", "dirigeants")
     snapshot = upsert_prospects(
         prospects, flat, "REGISTRY_FIELD", "Annuaire", fixed.DATA_SOURCE_REGISTRY, play.code

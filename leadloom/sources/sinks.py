@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.rules import compact, filled, first_match, is_filled, text, yes
@@ -161,31 +161,35 @@ def write_dossiers(lines: DataFrame, path: str) -> None:
 
 
 LEDGER_COUNTS = {"created": "created", "updated": "updated", "skipped": "skipped", "error": "errors"}
+LEDGER = ("awards", "companies", *LEDGER_COUNTS.values())
 
 
-def ledger(outcomes: DataFrame) -> DataFrame:
-    """Per source: awards, companies, and how many were created, updated, skipped or failed."""
-    awards = F.coalesce(F.sum("award_count"), F.lit(0)) if "award_count" in outcomes.columns else F.lit(0).cast("long")
-    return outcomes.groupBy("source").agg(
-        awards.cast("long").alias("awards"),
+def _measures(outcomes: DataFrame) -> list[Column]:
+    awards = F.coalesce(F.sum("award_count"), F.lit(0)) if "award_count" in outcomes.columns else F.max(F.lit(0))
+    return [
+        F.coalesce(awards, F.lit(0)).cast("long").alias("awards"),
         F.count(F.lit(1)).alias("companies"),
         *[F.count_if(F.col("outcome") == name).alias(column) for name, column in LEDGER_COUNTS.items()],
-    )
+    ]
+
 
+def ledger(outcomes: DataFrame) -> DataFrame:
+    """Per source: awards, companies, and how many were created, updated, skipped or failed."""
+    return outcomes.groupBy("source").agg(*_measures(outcomes))
 
-def ledger_totals(per_source: DataFrame) -> DataFrame:
-    """The whole run in one row."""
-    names = ("awards", "companies", "created", "updated", "skipped", "errors")
-    return per_source.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
 
+def watched(outcomes: DataFrame, observation: Observation | None) -> DataFrame:
+    """The outcomes, with the ledger's counts taken by whatever writes them: no second scan."""
+    return outcomes.observe(observation, *_measures(outcomes)) if observation else outcomes
 
-def run_record(totals: DataFrame, mode: str, play_code: str, finished_at: str, error: str | None = None) -> DataFrame:
-    """The row appended to the runs table; an error text is cut at 2000 characters."""
-    return totals.select(
-        F.lit(mode).alias("adapter"),
-        F.lit(play_code).alias("market_play_code"),
-        F.lit("failed" if error else "completed").alias("status"),
-        F.struct(*totals.columns).alias("stats"),
-        F.lit(finished_at).cast("timestamp_ntz").alias("finished_at"),
-        F.lit(error[:2000] if error else None).cast("string").alias("error_summary"),
-    )
+
+def run_record(
+    spark: SparkSession, adapter: str, play_code: str, per_source: dict[str, dict[str, int]], finished_at: str, error: str | None = None
+) -> DataFrame:
+    """The row appended to the runs table: status, counts per source and of the whole run, and the error, if it failed."""
+    total = {name: sum(counts[name] for counts in per_source.values()) for name in LEDGER}
+    stats = [(source, *(counts[name] for name in LEDGER)) for source, counts in [*per_source.items(), ("total", total)]]
+    counts = ", ".join(f"{name}: long" for name in LEDGER)
+    schema = f"adapter string, market_play_code string, status string, stats array<struct<source: string, {counts}>>, finished_at string, error_summary string"
+    row = (adapter, play_code, "failed" if error else "completed", stats, finished_at, error)
+    return spark.createDataFrame([row], schema).withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))

@@ -45,7 +45,7 @@ def padded(key: str, width: int) -> str:
     return f"lpad(CAST({key} AS STRING), {width}, '0')"
 
 
-HOST = "'c' || CAST(k % 500 AS STRING) || '.example.fr'"
+HOST = "'c' || CAST(k - k % 3 AS STRING) || '.example.fr'"
 PEOPLE = ("Jean Martin", "Mme Élodie Martin-Dupont", "Dr. Luc Robert", "Marie Durand", "Paul Petit")
 LOCALS = ("jean.martin", "elodie.martindupont", "l.robert", "mariedurand", "petit")
 TITLES = ("Gérant", "Directeur des opérations", "Responsable maintenance", "DAF", "Directeur commercial", "Fondateur",
@@ -203,7 +203,7 @@ VIEWS["s_suppression"] = f"""
 SELECT 'email' AS kind, lower(email) AS value_normalized, 'opt_out' AS reason, 'outreach' AS source
 FROM {{s_prospects}} WHERE id % 23 = 2 AND email IS NOT NULL
 UNION ALL
-SELECT 'domain', 'c' || CAST(id % 500 AS STRING) || '.example.fr', 'legal', 'manual' FROM {{s_prospects}} WHERE id % 87 = 5
+SELECT 'domain', 'c' || CAST(id - id % 3 AS STRING) || '.example.fr', 'legal', 'manual' FROM {{s_prospects}} WHERE id % 87 = 5
 UNION ALL
 SELECT 'siren', siren, 'opt_out', 'outreach' FROM {{s_prospects}} WHERE id % 31 = 7
 UNION ALL
@@ -301,13 +301,13 @@ SELECT k AS id, prospect_id,
        {pick("k", "email", "phone", "email", "contact_form", "linkedin", "email", "website")} AS kind,
        {pick(
            "k",
-           "=" + pick(part_of("k", 7), *LOCALS) + " || '@c' || CAST(prospect_id % 500 AS STRING) || '.example.fr'",
+           "=" + pick(part_of("k", 7), *LOCALS) + " || '@c' || CAST(prospect_id - prospect_id % 3 AS STRING) || '.example.fr'",
            "='+3314455' || " + padded("k % 3 + 10", 4),
-           "='contact@c' || CAST(prospect_id % 500 AS STRING) || '.example.fr'",
-           "='https://C' || CAST(prospect_id % 500 AS STRING) || '.example.fr/Devis'",
+           "='contact@c' || CAST(prospect_id - prospect_id % 3 AS STRING) || '.example.fr'",
+           "='https://C' || CAST(prospect_id - prospect_id % 3 AS STRING) || '.example.fr/Devis'",
            "='https://www.linkedin.com/in/P' || CAST(k % 4 AS STRING)",
-           "=' Info@C' || CAST(prospect_id % 500 AS STRING) || '.Example.fr. '",
-           "='https://c' || CAST(prospect_id % 500 AS STRING) || '.example.fr/'",
+           "=' Info@C' || CAST(prospect_id - prospect_id % 3 AS STRING) || '.Example.fr. '",
+           "='https://c' || CAST(prospect_id - prospect_id % 3 AS STRING) || '.example.fr/'",
        )} AS value,
        {pick(part_of("k", 7), "published_personal", "published_generic", "not_published", "published_role", "unknown")} AS publication_state,
        {pick(part_of("k", 3), "strong_person_match", "generic_company_mailbox", "name_only_guess", "exact_person_pattern_confirmed",
@@ -328,7 +328,7 @@ FROM (
   SELECT id, prospect_id, CASE WHEN id % 4 = 0 THEN id END AS person_id, kind,
          CASE WHEN kind = 'email' THEN lower(trim(replace(value, '. ', ''))) WHEN kind = 'phone' THEN value ELSE lower(value) END AS value_normalized,
          trim(value) AS value_display,
-         CASE WHEN kind <> 'phone' THEN 'c' || CAST(prospect_id % 500 AS STRING) || '.example.fr' END AS domain,
+         CASE WHEN kind <> 'phone' THEN 'c' || CAST(prospect_id - prospect_id % 3 AS STRING) || '.example.fr' END AS domain,
          source_class, publication_state, person_match_state, deliverability_state,
          deliverability_state AS verification_state,
          {pick("id", "usable_personal", "usable_role", "usable_generic", "manual_confirmation_required", "verification_required",
@@ -354,9 +354,9 @@ VIEWS["s_contact_evidence"] = f"""
 SELECT o_orderkey AS id, o_orderkey AS ord, o_custkey AS prospect_id,
        {pick("o_orderkey", "published_email", "published_person", "published_phone")} AS evidence_type,
        {pick(part_of("o_orderkey", 3), "official_website", "public_registry")} AS source_adapter,
-       CASE WHEN o_orderkey % 7 <> 0 THEN 'https://c' || CAST(o_custkey % 500 AS STRING) || '.example.fr/p' || CAST(o_orderkey % 8 AS STRING) END AS source_url,
+       CASE WHEN o_orderkey % 7 <> 0 THEN 'https://c' || CAST(o_custkey - o_custkey % 3 AS STRING) || '.example.fr/p' || CAST(o_orderkey % 8 AS STRING) END AS source_url,
        CAST(NULL AS STRING) AS page_title, 'extrait' AS excerpt, CAST(NULL AS STRING) AS content_hash,
-       CASE o_orderkey % 3 WHEN 0 THEN 'Contact@C' || CAST(o_custkey % 500 AS STRING) || '.example.fr' WHEN 2 THEN '+33144550010' END AS contact_value,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Contact@C' || CAST(o_custkey - o_custkey % 3 AS STRING) || '.example.fr' WHEN 2 THEN '+33144550010' END AS contact_value,
        CASE WHEN o_orderkey % 3 = 1 THEN {pick("o_orderkey", *PEOPLE)} END AS person_name,
        CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 40 END AS person_id,
        CASE WHEN o_orderkey % 3 <> 1 THEN o_orderkey % 60 END AS contact_point_id,
@@ -365,17 +365,17 @@ FROM {{orders}}
 """
 
 VIEWS["s_verdicts"] = f"""
-SELECT DISTINCT {pick("id", *LOCALS, "contact", "info")} || '@c' || CAST(id % 500 AS STRING) || '.example.fr' AS email,
-       {pick("id % 7 + (id % 500) * 3", "safe", "risky", "invalid", "unknown")} AS is_reachable,
-       (id % 500) % 3 = 0 AS is_deliverable,
-       {pick("id % 7 + (id % 500) * 3", "deliverable", "risky", "invalid", "catch_all", "indeterminate")} AS confidence
-FROM (SELECT c_custkey % 3500 AS id FROM {{customer}}) c
+SELECT DISTINCT {pick("id", *LOCALS, "contact", "info")} || '@c' || CAST(id - id % 3 AS STRING) || '.example.fr' AS email,
+       {pick("id % 7 + (id - id % 3) * 3", "safe", "risky", "invalid", "unknown")} AS is_reachable,
+       (id - id % 3) % 9 = 0 AS is_deliverable,
+       {pick("id % 7 + (id - id % 3) * 3", "deliverable", "risky", "invalid", "catch_all", "indeterminate")} AS confidence
+FROM (SELECT c_custkey AS id FROM {{customer}}) c
 """
 
 VIEWS["s_mx"] = f"""
-SELECT DISTINCT 'c' || CAST(c_custkey % 500 AS STRING) || '.example.fr' AS domain,
-       {pick("c_custkey % 500", "ok", "no_mx", "timeout", "ok", "null_mx")} AS state,
-       (c_custkey % 500) % 5 IN (0, 3) AS has_mx
+SELECT DISTINCT 'c' || CAST(c_custkey - c_custkey % 3 AS STRING) || '.example.fr' AS domain,
+       {pick("c_custkey - c_custkey % 3", "ok", "no_mx", "timeout", "ok", "null_mx")} AS state,
+       (c_custkey - c_custkey % 3) % 5 IN (0, 3) AS has_mx
 FROM {{customer}}
 """
 
@@ -388,21 +388,21 @@ FROM {pages}
 VIEWS["s_site_pages"] = f"""
 SELECT page_id, url, html FROM {{pages}}
 UNION ALL
-SELECT 1000000000 + c_custkey, 'https://www.c' || CAST(c_custkey % 500 AS STRING) || '.example.fr/contact?c=' || CAST(c_custkey AS STRING),
+SELECT 1000000000 + c_custkey, 'https://www.c' || CAST(c_custkey - c_custkey % 3 AS STRING) || '.example.fr/contact?c=' || CAST(c_custkey AS STRING),
        '<html><head><title>Contact Froid Pro</title></head><body><a href="tel:+331445500' || {padded("c_custkey % 90 + 10", 2)}
-       || '">appel</a><p>contact@c' || CAST(c_custkey % 500 AS STRING) || '.example.fr</p><form action="/devis"><input name="email"></form></body></html>'
+       || '">appel</a><p>contact@c' || CAST(c_custkey - c_custkey % 3 AS STRING) || '.example.fr</p><form action="/devis"><input name="email"></form></body></html>'
 FROM {{customer}}
 UNION ALL
-SELECT 2000000000 + c_custkey, 'https://c' || CAST(c_custkey % 500 AS STRING) || '.example.fr/equipe/' || CAST(c_custkey AS STRING),
+SELECT 2000000000 + c_custkey, 'https://c' || CAST(c_custkey - c_custkey % 3 AS STRING) || '.example.fr/equipe/' || CAST(c_custkey AS STRING),
        '<html><head><title>Équipe Société Clim</title></head><body><h2>Jean Martin</h2><p>Directeur technique</p><p>maintenance contracts and agences, 24/7</p>'
-       || '<a href="mailto:jean.martin@c' || CAST(c_custkey % 500 AS STRING) || '.example.fr">mail</a>'
+       || '<a href="mailto:jean.martin@c' || CAST(c_custkey - c_custkey % 3 AS STRING) || '.example.fr">mail</a>'
        || '<script type="application/ld+json">{{{{"@type":"Person","name":"Marie Durand","jobTitle":"Gérante"}}}}</script></body></html>'
 FROM {{customer}}
 """
 
 VIEWS["s_doc_pages"] = """
-SELECT conv_id AS doc_id, turn + 1 AS page_no, 'https://c' || CAST(conv_id % 500 AS STRING) || '.example.fr/doc.pdf' AS url,
-       text || CASE WHEN role = 'assistant' THEN ' contact@c' || CAST(conv_id % 500 AS STRING) || '.example.fr' ELSE '' END AS text
+SELECT conv_id AS doc_id, turn + 1 AS page_no, 'https://c' || CAST(conv_id - conv_id % 3 AS STRING) || '.example.fr/doc.pdf' AS url,
+       text || CASE WHEN role = 'assistant' THEN ' contact@c' || CAST(conv_id - conv_id % 3 AS STRING) || '.example.fr' ELSE '' END AS text
 FROM {conversations}
 """
 
