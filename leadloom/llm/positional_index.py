@@ -27,6 +27,7 @@ WINDOW = 10
 RAREST = 3
 SEGMENT = 1 << 22
 BLOCK = 20_000
+MARK_BUCKETS = 1 << 20
 #: A to Z as a to z; of the ASCII characters only letters and digits belong to words.
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,18 +41,23 @@ def terms_of(text: Column) -> Column:
     return F.transform(found, lambda word: word.cast("binary"))
 
 
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class _Segment:
     """Texts of one segment; ``rows`` are its share of the index."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.known, self.found, self.ids = number, {}, [], []
+        self.number, self.known, self.found, self.ids = number, _Numbers(), [], []
 
     def add(self, doc: object, text: bytes) -> int:
-        known = self.known
         words = text.translate(FOLDED).split()
-        for word in set(words).difference(known):
-            known[word] = len(known)
-        self.found.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        self.found.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
         self.ids.append(doc)
         return len(words)
 
@@ -109,8 +115,15 @@ def texts(index: DataFrame) -> DataFrame:
     return index.filter("term IS NULL").select("segment", "doc", "id", "n_words")
 
 
-def _postings(index: DataFrame) -> DataFrame:
-    return index.filter("term IS NOT NULL").select("segment", "term", "size", "places")
+def _postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The lists of some terms and the beginnings of texts, in place: the others go before any shuffle.
+
+    They go by hash buckets of the terms, at most ``2**20`` numbers at any input size; a few more lists than asked for stay.
+    """
+    mark = F.pmod(F.xxhash64("term"), F.lit(MARK_BUCKETS)).cast("int").alias("mark")
+    marks = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit(b"").alias("term"))).select(mark).distinct()
+    listed = index.filter("term IS NOT NULL").select("segment", "term", "size", "places", mark)
+    return listed.join(F.broadcast(marks), "mark", "left_semi").drop("mark")
 
 
 def _met(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -130,14 +143,15 @@ def _intersected(last: bool):
             for term, offset in zip(terms, offsets):
                 there = places.get(term)
                 if there is None:
-                    left = ()
+                    left = np.empty(0, PLACE)
                     break
                 left = there[there >= offset] - offset if left is None else left[_met(there, left + offset)]
                 if not len(left):
                     break
+            if not len(left):
+                continue
             if not last:
-                if len(left):
-                    out.append((segment, block, phrase, left.astype(PLACE).tobytes()))
+                out.append((segment, block, phrase, left.astype(PLACE).tobytes()))
                 continue
             doc = np.searchsorted(begins, left, "right") - 1
             whole = doc == np.searchsorted(begins, left + (length - 1), "right") - 1
@@ -162,7 +176,8 @@ def phrase_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST, b
     ``phrases`` has ``phrase`` (any id) and ``words``, an array of terms as bytes; one without words matches nothing.
     """
     spoken = phrases.select("phrase", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"), _block(phrases, block))
-    found = _postings(index)
+    spoken = stage(spoken, "phrase-terms")
+    found = _postings(index, spoken)
     frequency = found.join(spoken.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("size").alias("df"))
     # a phrase is one row of its words, rarest first; one with a term that nowhere occurs drops out
     ranked = spoken.join(frequency, "term").groupBy("phrase", "length", "block").agg(F.sort_array(F.collect_list(F.struct("df", "offset", "term"))).alias("list"))
@@ -223,9 +238,9 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int, block: in
 
     A stretch begins at an occurrence of a term and ends with the last term it needs; one per such beginning.
     """
-    found = _postings(index)
     asked = queries.filter(F.size("words") > 0).select("phrase", F.array_distinct("words").alias("terms"), _block(queries, block))
     spoken = asked.select("phrase", "block", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    found = _postings(index, spoken)
     have = found.select("segment", "term").join(spoken, "term").groupBy("segment", "block", "phrase", "length").count()
     rows = stage(have.filter(F.col("count") == F.col("length")).join(asked.drop("block"), "phrase").select("segment", "block", "phrase", "terms"), "queries-likely")
     wanted = rows.select("segment", "block", F.explode(F.concat("terms", F.array(F.lit(b"")))).alias("term")).distinct()
