@@ -7,7 +7,7 @@ from leadloom import fixed
 from leadloom.catalog import query, sql_list
 from leadloom.catalog.activity import HOLDERS
 from leadloom.catalog.contacts import POINT_RANKS
-from leadloom.catalog.gates import GATED, REVIEW_ERRORS, fingerprint_sql, manual_entries
+from leadloom.catalog.gates import GATED, HITS, REVIEW_ERRORS, fingerprint_sql, manual_entries
 from leadloom.catalog.merges import _DISCOVERED
 from leadloom.catalog.scans import LAST_EVENT
 from leadloom.frames import bounded_list
@@ -99,11 +99,18 @@ def d6b(t):
     return recompute.review_tasks(t.s_prospects, t.s_reviews, t.s_suppression, EVENTS_AS_OF).select("review_id", "task_type", "title")
 
 
-def discovery(t) -> discover.Discovery:
-    points = t.s_points
+def discovery(t, scored: bool = False) -> discover.Discovery:
+    """A run with the stored evidence and, for every second prospect, an officer of the register."""
+    from leadloom.catalog.rescored import facts
+    from leadloom.functions.text import contact_fingerprint
+
+    fields = ("prospect_id", "source_adapter", "source_url", "evidence_type", "contact_value", "person_name", "content_hash")
+    stored = t.s_contact_evidence.withColumn("fingerprint", contact_fingerprint(*map(F.col, fields)))
+    officer = F.struct(F.lit("PETIT").alias("nom"), F.lit("Anne").alias("prenoms"), F.lit("Gérante").alias("qualite"), F.lit("personne physique").alias("type_dirigeant"))
+    officers = F.when(F.col("id") % 2 == 0, F.array(officer)).otherwise(F.filter(F.array(officer), lambda o: F.lit(False)))
     return discover.discover_contacts(
-        t.s_prospects, t.s_site_pages, t.s_people, points, t.s_contact_evidence.limit(0).withColumn("fingerprint", F.lit("")), t.s_tasks,
-        t.s_runs, t.s_suppression, t.s_mx, EVENTS_AS_OF,
+        t.s_prospects.withColumn("dirigeants", officers), t.s_site_pages, t.s_people, t.s_points, stored, t.s_tasks, t.s_runs, t.s_suppression, t.s_mx, EVENTS_AS_OF,
+        facts=facts(t) if scored else None, play=FIELD_SERVICE if scored else None,
     )
 
 
@@ -119,6 +126,22 @@ def d7b(t):
     return discovery(t).prospects.select("id", "decision_maker_name", "email", "contact_source", "contact_confidence", "contact_discovery_state")
 
 
+@query("d7c_discovery_runs", f"""
+WITH fresh AS (SELECT DISTINCT prospect_id FROM s_runs WHERE status IN ('completed', 'completed_with_warnings') AND finished_at >= TIMESTAMP '{EVENTS_AS_OF} 00:00:00' - INTERVAL '30' DAY),
+ok AS (SELECT *, CASE WHEN website IS NOT NULL THEN 'c' || CAST(id - id % 3 AS VARCHAR) || '.example.fr' END AS domain FROM s_prospects WHERE id NOT IN ({HITS}) AND NOT anonymized AND NOT opted_out
+  AND coalesce(nullif(opportunity_score, 0), nullif(acquisition_score, 0), 0) >= 40 AND (website IS NOT NULL OR coalesce(email, '') LIKE '%@%') AND id NOT IN (SELECT prospect_id FROM fresh)),
+pg AS (SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '') AS host, count(*) AS n FROM s_site_pages GROUP BY 1)
+SELECT id AS prospect_id, domain, 'completed' AS status, coalesce(n, 0) AS pages_examined, 0 AS pages_rejected FROM ok LEFT JOIN pg ON pg.host = domain
+""", whole="pages_examined pages_rejected")
+def d7c(t):
+    return discovery(t).runs.select("prospect_id", "domain", "status", "pages_examined", "pages_rejected")
+
+
+@query("d7d_discovery_scored")
+def d7d(t):
+    return discovery(t, scored=True).prospects.select("id", "contact_confidence", "fit_score", "authority_score", "opportunity_score", "readiness_state")
+
+
 @query("d8_primary_projection", f"""
 WITH pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY CASE WHEN manually_confirmed THEN 0 ELSE 1 END, buyer_role_score DESC, identity_confidence DESC, id) AS rn FROM s_people WHERE is_active) x WHERE rn = 1),
 pt AS (SELECT * FROM ({POINT_RANKS}) x WHERE rn = 1)

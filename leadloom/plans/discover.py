@@ -9,14 +9,17 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.frames import when_is
 from leadloom.functions.rules import is_filled, text
 from leadloom.functions.text import extract_domain, normalize_person_name
 from leadloom.operators import contacts, pages
 from leadloom.operators.activity import eligibility
 from leadloom.operators.compliance import suppressed_ids, suppression_keys
 from leadloom.operators.identity import domain_match, first_page_per_host
+from leadloom.plans.rescore import Facts, rescore
+from leadloom.plays import Play
 from leadloom.session import cut_lineage
-from leadloom.sources.pages import accept_pages, parse_pages
+from leadloom.sources.pages import accept_pages, page_counts, parse_pages
 
 AsOf = str | date | datetime
 
@@ -31,6 +34,26 @@ class Discovery:
     evidence: DataFrame
     tasks: DataFrame
     summary: DataFrame
+    runs: DataFrame
+
+
+def run_rows(chosen: DataFrame, states: DataFrame, counts: DataFrame, people: DataFrame, points: DataFrame, evidence: DataFrame, tasks: DataFrame, as_of: AsOf) -> DataFrame:
+    """A finished run per prospect: pages examined and rejected, what was found, what of it is new, and what can be used."""
+    mine = points.filter("seen")
+    found = contacts.run_summary(mine).withColumnRenamed("contact_points", "contact_points_found")
+    count = lambda rows, name: rows.groupBy("prospect_id").agg(F.count(F.lit(1)).alias(name))
+    persons = people.groupBy("prospect_id").agg(F.count_if("seen").alias("people_found"), F.count_if("is_new").alias("people_added"))
+    parts = [
+        states.select(F.col("id").alias("prospect_id"), "domain_match_state"), found, persons, count(mine.filter("is_new"), "contact_points_added"),
+        count(evidence, "evidence_added"), count(tasks.filter("change = 'created'"), "tasks_created"),
+    ]
+    rows = chosen.select(F.col("id").alias("prospect_id"), "domain").join(counts.withColumnRenamed("host", "domain"), "domain", "left")
+    for part in parts:
+        rows = rows.join(part, "prospect_id", "left")
+    numbers = [name for name, kind in rows.dtypes if kind in ("bigint", "int") and name != "prospect_id"]
+    rows = rows.withColumns({name: F.coalesce(F.col(name), F.lit(0)).cast("long") for name in numbers}).withColumn("finished_at", when_is(as_of))
+    rows = rows.withColumns({"id": contacts.row_id("run", "prospect_id", "finished_at"), "status": F.lit("completed"), "started_at": F.col("finished_at")})
+    return rows.withColumnRenamed("pages_accepted", "pages_examined")
 
 
 def discover_contacts(
@@ -48,13 +71,16 @@ def discover_contacts(
     max_pages: int | None = None,
     max_depth: int | None = None,
     stage: Callable[[DataFrame], DataFrame] = cut_lineage,
+    facts: Facts | None = None,
+    play: Play | None = None,
 ) -> Discovery:
     """One run over every eligible prospect.
 
     Pages are parsed and reduced per host before they meet the prospects, so a
     host shared by many companies is read once.  ``stage`` cuts the plan wherever
     a result is used several times, so nothing is computed twice and no plan
-    grows with the length of the job.
+    grows with the length of the job.  With ``facts`` and ``play`` the
+    prospects are scored anew with their new contacts.
     """
     hits = suppressed_ids(prospects, suppression, suppression_keys(email=F.col("email"), siren=F.col("siren")))
     checked = eligibility(prospects, runs, hits, as_of, min_score)
@@ -127,11 +153,11 @@ def discover_contacts(
         F.when(F.col("observations") >= 2, 78).otherwise(35).alias("confidence"),
         F.format_string("z|%02d|%02d", "person_rank", "candidate_rank").alias("ord"),
     )
-    facts = point_facts.select(*generated.columns).unionByName(generated)
-    facts = facts.withColumn("_who", normalize_person_name(text(F.col("person_name"))))
+    both = point_facts.select(*generated.columns).unionByName(generated)
+    both = both.withColumn("_who", normalize_person_name(text(F.col("person_name"))))
     ids = named.select(F.col("prospect_id").alias("_p"), F.col("normalized_name").alias("_n"), "person_id")
-    facts = facts.join(ids, (F.col("prospect_id") == F.col("_p")) & (F.col("_who") == F.col("_n")), "left").drop("_p", "_n", "_who")
-    prepared = stage(contacts.prepare_points(facts, prospects, suppression))
+    both = both.join(ids, (F.col("prospect_id") == F.col("_p")) & (F.col("_who") == F.col("_n")), "left").drop("_p", "_n", "_who")
+    prepared = stage(contacts.prepare_points(both, prospects, suppression))
     merged = contacts.merge_points(points, prepared)
     mine_only = chosen.select(F.col("id").alias("prospect_id"))
     touched = contacts.apply_mx(merged.join(mine_only, "prospect_id", "left_semi"), mx)
@@ -142,16 +168,19 @@ def discover_contacts(
     found = of_prospects(host_evidence).withColumn("ord", order(F.col("evidence_type"), text(F.col("contact_value")))).select(*columns)
     if registry_evidence is not None:
         found = found.unionByName(registry_evidence.withColumn("ord", F.lit("registry")).select(*columns))
-    new_evidence = contacts.append_contact_evidence(evidence, found, merged_people, merged_points)
+    new_evidence = stage(contacts.append_contact_evidence(evidence, found, merged_people, merged_points))
 
     mine = merged_points.join(chosen.select(F.col("id").alias("prospect_id")), "prospect_id", "left_semi")
     wanted = contacts.desired_tasks(chosen, mine, ambiguous)
-    next_tasks = contacts.sync_tasks(tasks, wanted, chosen, as_of)
+    next_tasks = stage(contacts.sync_tasks(tasks, wanted, chosen, as_of))
     projected = contacts.project_primary(
         eligible,
         merged_people.join(chosen.select(F.col("id").alias("prospect_id")), "prospect_id", "left_semi"),
         mine,
     )
+    if facts is not None and play is not None:
+        projected = rescore(projected, chosen, facts, play, as_of, stage)
+    mine_people = merged_people.join(mine_only, "prospect_id", "left_semi")
     return Discovery(
         prospects=projected,
         people=merged_people,
@@ -159,4 +188,5 @@ def discover_contacts(
         evidence=new_evidence,
         tasks=next_tasks,
         summary=contacts.run_summary(mine),
+        runs=run_rows(chosen, matched, page_counts(site_pages), mine_people, mine, new_evidence, next_tasks, as_of),
     )
