@@ -214,3 +214,23 @@ SELECT event_type, notes, n FROM (
 """, whole="n")
 def d15d(t):
     return acquired(t, "full").events.groupBy("event_type", "notes").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u5c_snapshot_merges", """
+SELECT id, CASE WHEN id % 50 = 7 THEN 'Nantes' WHEN id % 40 = 3 THEN 'Brest' ELSE city END AS city, CASE WHEN id % 50 = 7 THEN 3 WHEN id % 40 = 3 THEN 2 ELSE 1 END AS written_by
+FROM s_prospects WHERE id % 60 <> 11
+""", whole="written_by")
+def u5c(t):
+    """Two merges into a stored snapshot; the second takes rows out too, and reads what the first one wrote."""
+    from leadloom.session import shared_folder
+    from leadloom.sources import snapshots
+
+    path = shared_folder(t.spark, "prospect-snapshot")
+    first = t.s_prospects.select("id", "company_name", "city").withColumn("written_by", F.lit(1))
+    snapshots.create_table(first, path, "id", buckets=32)
+    stored = snapshots.read_table(t.spark, path)
+    change = lambda rows, city, number: rows.withColumns({"city": F.lit(city), "written_by": F.lit(number)})
+    snapshots.merge_rows(path, change(stored.filter("id % 40 = 3"), "Brest", 2))
+    stored = snapshots.read_table(t.spark, path)
+    snapshots.merge_rows(path, change(stored.filter("id % 50 = 7 AND id % 60 <> 11"), "Nantes", 3), stored.filter("id % 60 = 11"))
+    return snapshots.read_table(t.spark, path).select("id", "city", "written_by")
