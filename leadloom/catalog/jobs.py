@@ -394,6 +394,31 @@ def t3(t):
     return latest.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "events")
 
 
+@query("t3b_weekly_people_stream", f"""
+WITH days AS (SELECT CAST(event_date AS DATE) AS day, prospect_id FROM s_events WHERE event_type IN ({sql_list(fixed.CONTACTED_EVENTS)}))
+SELECT strftime(day - CAST(i AS INT), '%Y-%m-%d') AS week_start, count(*) AS events, count(DISTINCT prospect_id) AS exact, TRUE AS within_error, {streams.SKETCH_ERROR} AS error FROM days, range(7) r(i) GROUP BY 1
+""".replace(f"{streams.SKETCH_ERROR} AS error", f"CAST({streams.SKETCH_ERROR} AS DOUBLE) AS error"))
+def t3b(t):
+    """Sketched counts beside the exact ones of a batch over the same events."""
+    weeks = people_weeks(t)
+    good = F.abs(F.col("contacted") - F.col("exact")) <= F.col("exact") * streams.SKETCH_ERROR
+    return weeks.select("week_start", "events", "exact", good.alias("within_error"), F.lit(streams.SKETCH_ERROR).alias("error"))
+
+
+@query("t3c_weekly_people_sketched")
+def t3c(t):
+    return people_weeks(t).select("week_start", "contacted", "exact", F.lit(streams.SKETCH_ERROR).alias("error"))
+
+
+def people_weeks(t) -> DataFrame:
+    days = run_to_table(t, streams.daily_contacted_stream(event_stream(t, "s_events", "events")), "daily", "update")
+    latest = days.groupBy("day").agg(F.max_by(F.struct("events", "people"), "batch").alias("d")).select("day", "d.*")
+    weeks = streams.weeks_of_days(latest).withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
+    seen = t.s_events.filter(F.col("event_type").isin(*fixed.CONTACTED_EVENTS)).withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    week = F.date_format(F.date_sub(F.col("event_date").cast("date"), F.col("back")), "yyyy-MM-dd").alias("week_start")
+    return weeks.join(seen.groupBy(week).agg(F.countDistinct("prospect_id").alias("exact")), "week_start")
+
+
 @query("t4_deduped_evidence_stream", f"SELECT DISTINCT prospect_id, {fingerprint_sql()} AS fingerprint FROM s_evidence WHERE is_active")
 def t4(t):
     rows = run_to_table(t, streams.dedupe_stream(event_stream(t, "s_evidence", "orders")), "dedupe")
@@ -405,12 +430,37 @@ SELECT prospect_id, arg_min(CASE event_type WHEN 'OptOut' THEN 'opt_out_requeste
 WHERE event_type IN ({sql_list(fixed.REPLY_EVENTS)}, 'OptOut') GROUP BY 1
 """)
 def t5(t):
+    return with_rocks(t, lambda: run_to_table(t, streams.stop_stream(event_stream(t, "s_events", "events")), "stops").select("prospect_id", "stop_reason"))
+
+
+def with_rocks(t, run):
+    """Run a stream with the state store that stateful operators in Python need."""
     key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = t.spark.conf.get(key)
     t.spark.conf.set(key, wanted)
     try:
-        return run_to_table(t, streams.stop_stream(event_stream(t, "s_events", "events")), "stops").select("prospect_id", "stop_reason")
+        return run()
     finally:
         t.spark.conf.set(key, before)
 
 
+def suppression_stream(t) -> DataFrame:
+    """The suppression list as a stream of changes."""
+    people = event_stream(t, "s_prospects", "customer")
+    return t.spark.sql(VIEWS["s_suppression"], s_prospects=people).withColumn("suppressed_at", F.lit("2024-01-15").cast("timestamp"))
+
+
+@query("t5b_stop_stream_with_suppression", f"""
+WITH stored AS (SELECT id FROM s_prospects WHERE id % 13 = 5),
+marks AS (SELECT prospect_id, CASE event_type WHEN 'OptOut' THEN 'opt_out_requested' ELSE 'prospect_replied' END AS stop_reason, event_date, id FROM s_events WHERE event_type IN ({sql_list(fixed.REPLY_EVENTS)}, 'OptOut')
+  UNION ALL SELECT id, 'suppression_entry_matched', TIMESTAMP '2024-01-15', 0 FROM ({HITS}) h),
+first AS (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY event_date, id) AS place FROM marks)
+SELECT prospect_id, stop_reason FROM first WHERE place = 1 AND prospect_id NOT IN (SELECT id FROM stored)
+""")
+def t5b(t):
+    stored = t.s_prospects.filter("id % 13 = 5").select(F.col("id").alias("prospect_id"), F.lit("prospect_replied").alias("stop_reason"))
+    hits = streams.suppression_hits(suppression_stream(t), t.s_prospects)
+    run = lambda: run_to_table(t, streams.stop_stream(event_stream(t, "s_events", "events"), hits, stored), "stops-both")
+    return with_rocks(t, run).select("prospect_id", "stop_reason")
+
+
