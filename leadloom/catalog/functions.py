@@ -352,6 +352,24 @@ def f24(t):
     return out.select("page_id", "code", (F.length("evidence_text") > 0).alias("found"))
 
 
+def _snippet_sql(code: str, label: str, words) -> str:
+    """The text around the first hit of the first keyword found, over rows ``page_id, x, l``."""
+    quoted = [w.replace("'", "''") for w in words]
+    ahead = " ".join(f"WHEN regexp_matches(l, '{w}') THEN length(regexp_extract(l, '(?s)^(.*?)(?:{w})', 1))" for w in quoted)
+    size = " ".join(f"WHEN regexp_matches(l, '{w}') THEN length(regexp_extract(l, '{w}'))" for w in quoted)
+    return f"SELECT page_id, '{code}' AS code, '{label}' AS label, x, CASE {ahead} END AS ahead, CASE {size} END AS size FROM seen"
+
+
+@query("f24c_all_snippets", f"""
+WITH seen AS (SELECT page_id, html AS x, lower(html) AS l FROM s_site_pages),
+hits AS ({" UNION ALL ".join(_snippet_sql(code, label, words) for code, _, label, words in fixed.EVIDENCE_TAXONOMY)})
+SELECT page_id, code, '[' || label || '] Snippet: ...' || regexp_replace(substring(x, greatest(ahead - 40, 0) + 1, ahead + size + 60 - greatest(ahead - 40, 0)), '^\\s+|\\s+$', '', 'g') || '...' AS evidence_text
+FROM hits WHERE ahead IS NOT NULL
+""")
+def f24c(t):
+    return evidence.extract_evidence(t.s_site_pages, "html").select("page_id", "code", "evidence_text")
+
+
 @query("f24b_evidence_snippets", r"""
 WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || ' Service 24/7 garanti ' || text WHEN 1 THEN 'Astreinte ' || text ELSE text END AS x FROM documents),
 h AS (SELECT doc_id, x, instr(lower(x), '24/7') AS a, instr(lower(x), 'astreinte') AS b FROM d)

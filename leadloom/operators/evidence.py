@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed
 from leadloom.frames import bounded_list, first_per, top_per
-from leadloom.functions.rules import any_of, compact, filled, first_match, is_filled, nonzero, text, yes
+from leadloom.functions.rules import compact, filled, first_match, is_filled, nonzero, text, yes
 from leadloom.functions.text import evidence_fingerprint, strip
 
 LABELS_SHOWN = 40
@@ -136,34 +136,37 @@ def source_types(signal_sources: Column, has_awards: Column, has_registry_id: Co
     return F.array_sort(F.concat(with_awards, extra))
 
 
+def one_scan(keywords: list[str]) -> str:
+    """All keywords as one pattern: a character that begins none is passed over at once, and those with one first character stand together."""
+    groups: dict[tuple[bool, str], list[str]] = {}
+    for word in dict.fromkeys(keywords):
+        edge = word.startswith(r"\b")
+        bare = word.removeprefix(r"\b")
+        groups.setdefault((edge, bare[0]), []).append(bare[1:])
+    parts = [(r"\b" if edge else "") + first + "(?:" + "|".join(rest) + ")" for (edge, first), rest in sorted(groups.items())]
+    return "(?=[" + "".join(sorted({first for _, first in groups})) + "])(?:" + "|".join(parts) + ")"
+
+
 def extract_evidence(pages: DataFrame, text_column: str = "text", before: int = 40, after: int = 60) -> DataFrame:
     """One row per page and taxonomy code found on it, with the text around the first hit.
 
-    Keywords are tried in order; the first that occurs anywhere counts.
+    Keywords are tried in order; the first that occurs anywhere counts.  A text is scanned once for all keywords; only
+    those that have one are looked at again, with patterns that are compiled once.
     """
-    lowered = F.lower(F.col(text_column))
-    out = pages.withColumn("_lower", lowered)
+    every = one_scan([word for _, _, _, keywords in fixed.EVIDENCE_TAXONOMY for word in keywords])
+    low = F.col("_lower")
     hits = []
     for code, category, label, keywords in fixed.EVIDENCE_TAXONOMY:
-        found = any_of([F.col("_lower").rlike(word) for word in keywords])
-        word = first_match([(F.col("_lower").rlike(k), F.lit(k)) for k in keywords])
-        hits.append(
-            F.when(
-                found,
-                F.struct(
-                    F.lit(code).alias("code"), F.lit(category).alias("category"), F.lit(label).alias("label"),
-                    word.alias("keyword"),
-                ),
-            )
-        )
-    out = out.select("*", F.explode(compact(hits)).alias("hit"))
-    start = F.regexp_instr("_lower", F.col("hit.keyword"))
-    size = F.length(F.regexp_substr("_lower", F.col("hit.keyword")))
-    first = F.greatest(F.col("_start") - 1 - before, F.lit(0))
-    last = F.col("_start") - 1 + F.col("_size") + after
-    snippet = strip(F.substring(F.col(text_column), first + 1, last - first))
-    out = out.withColumns({"_start": start, "_size": size})
-    return out.select(
+        spot = lambda word: F.struct(F.regexp_instr(low, F.lit(word)).alias("start"), F.length(F.regexp_substr(low, F.lit(word))).alias("size"))
+        place = first_match([(low.rlike(word), spot(word)) for word in keywords])
+        named = F.struct(F.lit(code).alias("code"), F.lit(category).alias("category"), F.lit(label).alias("label"), place.alias("at"))
+        hits.append(F.when(place.isNotNull(), named))
+    found = pages.withColumn("_lower", F.lower(F.col(text_column))).filter(low.rlike(every))
+    found = found.select(*pages.columns, F.explode(compact(hits)).alias("hit"))
+    start = F.col("hit.at.start") - 1
+    first = F.greatest(start - before, F.lit(0))
+    snippet = strip(F.substring(F.col(text_column), first + 1, start + F.col("hit.at.size") + after - first))
+    return found.select(
         *pages.columns,
         F.col("hit.code").alias("code"),
         F.col("hit.category").alias("category"),
