@@ -43,7 +43,7 @@ def _long_integers(df: DataFrame) -> DataFrame:
 
 def load() -> dict[str, Query]:
     """All registered queries."""
-    from leadloom.catalog import activity, contacts, functions, gates, identity, jobs, merges, rescored, scores, scans  # noqa: F401
+    from leadloom.catalog import activity, contacts, functions, gates, identity, jobs, merges, reports, rescored, scores, scans  # noqa: F401
 
     return REGISTERED
 

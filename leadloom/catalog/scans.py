@@ -249,18 +249,6 @@ def s11(t):
     return sinks.export_rows(mark_suppressed(t.s_prospects, t.s_suppression), t.s_events)
 
 
-@query("s12_dossiers")
-def s12(t):
-    from leadloom.operators.activity import current_status
-    from leadloom.operators.awards import merge_awards
-    from leadloom.operators.evidence import normalize_signals
-
-    won = merge_awards(t.s_award_rows, t.s_award_rows.limit(0), keep=10)
-    return sinks.dossier_lines(
-        current_status(t.s_prospects, t.s_events), won, t.s_people, t.s_points, normalize_signals(t.s_evidence), f"{EVENTS_AS_OF} 00:00:00"
-    )
-
-
 def award_outcomes(t):
     """Upsert outcomes of all award holders, with their award counts."""
     from leadloom.operators.awards import aggregate_by_holder, filter_relevant

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.functions.rules import compact, filled, first_match, is_filled, text, yes
+from leadloom.functions.rules import filled, is_filled, text, yes
 from leadloom.operators.activity import current_status
 
 EXPORT_COLUMNS = ("id", "company_name", "sector", "company_size", "signal_type", "signal_details",
@@ -30,48 +32,86 @@ def export_rows(prospects: DataFrame, events: DataFrame, limit: int | None = Non
     return rows.orderBy("id").limit(limit) if limit else rows
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+def write_csv(rows: DataFrame, path: str, per_file: int = 1_000_000) -> None:
+    """CSV files with a header, in order of the first column, each of about ``per_file`` rows."""
+    in_ranges(rows, rows.columns[0], per_file).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+
+
+def in_ranges(rows: DataFrame, key: str, per_file: int, *then: str) -> DataFrame:
+    """Rows dealt by ranges of ``key``, about ``per_file`` in each, and sorted there: no key spans two, and no sort is global."""
+    files = max(1, -(-rows.count() // per_file))
+    return rows.repartitionByRange(files, key).sortWithinPartitions(key, *then)
 
 
 def dossier_lines(
-    prospects: DataFrame, awards: DataFrame, people: DataFrame, points: DataFrame, evidence: DataFrame, as_of: str
+    prospects: DataFrame, awards: DataFrame, people: DataFrame, points: DataFrame, evidence: DataFrame, as_of: str,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Every prospect's report as ordered lines: ``prospect_id``, ``section``, ``position``, ``line``.
 
     A report is its lines in (section, position) order.  Lines rather than one
     text per prospect: a prospect with very many people or evidence items is
     then no larger a row than any other.  ``awards`` are ranked rows
-    (``position`` up to 10 is shown).
+    (``position``), all of which are shown.
+
+    Lines of people, points, awards and evidence are one union; which of them a
+    prospect has is one row of flags, and all its other lines come from one
+    explode.  ``stage`` may write the union, which is read twice.
     """
     show = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("None"))
     bold = lambda label, value: F.concat(F.lit(f"**{label}:** "), value)
-    bullet = lambda label, name: F.when(
-        is_filled(F.col(name).cast("string")), F.concat(F.lit(f"- **{label}:** "), F.col(name).cast("string"))
-    )
-    paragraph = lambda label, name: F.when(
-        is_filled(F.col(name)), F.concat(F.lit(f"**{label}:**\n"), F.col(name), F.lit("\n"))
-    )
-    head = compact(
-        [
+    bullet = lambda label, name: F.when(is_filled(F.col(name).cast("string")), F.concat(F.lit(f"- **{label}:** "), F.col(name).cast("string")))
+    paragraph = lambda label, name: F.when(is_filled(F.col(name)), F.concat(F.lit(f"**{label}:**\n"), F.col(name), F.lit("\n")))
+    descending = lambda column: F.format_string("%09d", F.lit(999_999_999) - F.coalesce(column, F.lit(0)).cast("int"))
+    number = lambda column: F.format_string("%019d", column.cast("long"))
+    words = lambda column: F.replace(column, F.lit("_"), F.lit(" "))
+    first = lambda flag: F.when(yes(F.col(flag)), "0").otherwise("1")
+
+    def child(section: int, rows: DataFrame, position: Column, line: Column) -> DataFrame:
+        return rows.select("prospect_id", F.lit(section).alias("section"), position.alias("position"), line.alias("line"))
+
+    children = child(3, awards, F.format_string("%09d", "position"), F.concat(
+        F.lit("- **"), F.coalesce("date", F.lit("—")), F.lit("**: "), F.coalesce("objet", F.lit("Award")),
+        F.lit(" (Value: "), F.coalesce(F.col("montant").cast("string"), F.lit("—")), F.lit(")"),
+    ))
+    children = children.unionByName(child(6, people, F.concat_ws("|", first("is_primary_candidate"), descending(F.col("buyer_role_score")), number(F.col("id"))), F.concat(
+        F.lit("- **"), F.col("full_name"), F.lit("** ("), F.coalesce(filled(F.col("job_title")), F.lit("Unknown role")),
+        F.lit(") - Confidence: "), show("identity_confidence"), F.lit("/100"),
+    )))
+    children = children.unionByName(child(8, points, F.concat_ws("|", first("is_primary"), descending(F.col("confidence_score")), number(F.col("id"))), F.concat(
+        F.lit("- **"), F.coalesce("value_display", "value_normalized"), F.lit("** ("), words(F.col("kind")),
+        F.lit(") - Deliverability: "), show("deliverability_state"), F.lit(" - Utility: "), words(show("utility_state")),
+    )))
+    children = children.unionByName(child(11, evidence, number(F.col("id")), F.concat(
+        F.lit("- **["), show("category"), F.lit("] "), text(F.col("label")), F.lit("**: "), text(F.col("evidence_text")),
+        F.lit(" (Strength: "), show("strength"), F.lit("/100)"),
+    )))
+    children = stage(children)
+
+    has = {3: "_awards", 6: "_people", 8: "_points", 11: "_evidence"}
+    flags = children.groupBy(F.col("prospect_id").alias("id")).agg(*[F.bool_or(F.col("section") == n).alias(name) for n, name in has.items()])
+    rows = prospects.join(flags, "id", "left")
+    has_notes = is_filled(F.col("notes")) | is_filled(F.col("signal_details"))
+    has_plan = is_filled(F.col("suspected_pain")) | is_filled(F.col("why_now")) | is_filled(F.col("recommended_offer"))
+    either = lambda flag, some, none: F.when(yes(F.col(flag)), some).otherwise(F.lit(none).cast("string"))
+    sections: dict[int, list[Column]] = {
+        1: [
             F.concat(F.lit("# Intelligence Report: "), F.col("company_name")),
             F.lit(f"\n**Generated on:** {as_of} UTC"),
-            F.concat_ws(" | ", bold("Priority", show("priority_level")), bold("Urgency", show("urgency_score")),
-                        bold("Opportunity", show("opportunity_score"))),
+            F.concat_ws(" | ", bold("Priority", show("priority_level")), bold("Urgency", show("urgency_score")), bold("Opportunity", show("opportunity_score"))),
             F.concat_ws(" | ", bold("Status", show("current_status")), bold("Signal", show("signal_type"))),
             F.lit("\n## Company Profile"),
             F.concat(F.lit("- **Sector:** "), show("sector")),
             F.concat(F.lit("- **Size:** "), show("company_size")),
-            bullet("SIREN", "siren"),
-            bullet("SIRET", "siret"),
-            bullet("NAF", "naf_code"),
-            bullet("Website", "website"),
-        ]
-    )
-    has_notes = is_filled(F.col("notes")) | is_filled(F.col("signal_details"))
-    has_plan = is_filled(F.col("suspected_pain")) | is_filled(F.col("why_now")) | is_filled(F.col("recommended_offer"))
-    tail = compact(
-        [
+            bullet("SIREN", "siren"), bullet("SIRET", "siret"), bullet("NAF", "naf_code"), bullet("Website", "website"),
+        ],
+        2: [either("_awards", "\n## Award History", None)],
+        4: [F.lit("\n## Contact Intelligence")],
+        5: [either("_people", "### Key People", "*No specific people identified.*")],
+        7: [either("_points", "\n### Contact Paths", "*No reliable contact paths discovered.*")],
+        9: [F.lit("\n## Evidence & Triggers")],
+        10: [either("_evidence", F.lit(None), "*No direct evidence logged.*")],
+        12: [
             F.when(has_notes, F.lit("\n## Notes & Signal Details")),
             paragraph("Signal Details", "signal_details"),
             paragraph("Notes", "notes"),
@@ -80,84 +120,17 @@ def dossier_lines(
             F.when(has_plan, paragraph("Suspected Pain", "suspected_pain")),
             F.when(has_plan, paragraph("Target Role", "recommended_buyer_role")),
             F.when(has_plan, paragraph("Recommended Offer", "recommended_offer")),
-        ]
-    )
-
-    def fixed_section(number: int, lines) -> DataFrame:
-        return prospects.select(
-            F.col("id").alias("prospect_id"), F.lit(number).alias("section"), F.posexplode(lines).alias("p", "line")
-        ).select("prospect_id", "section", F.format_string("%09d", "p").alias("position"), "line")
-
-    def child_section(number: int, rows: DataFrame, order, line) -> DataFrame:
-        return rows.select(
-            "prospect_id", F.lit(number).alias("section"), order.alias("position"), line.alias("line")
-        )
-
-    def heading(number: int, title: str, empty: str | None, rows: DataFrame) -> DataFrame:
-        keys = rows.select(F.col("prospect_id").alias("_k")).distinct()
-        marked = prospects.select("id").join(keys, F.col("id") == F.col("_k"), "left")
-        line = first_match([(F.col("_k").isNotNull(), title)], F.lit(empty).cast("string"))
-        return marked.select(
-            F.col("id").alias("prospect_id"), F.lit(number).alias("section"), F.lit("").alias("position"), line.alias("line")
-        ).filter(F.col("line").isNotNull())
-
-    descending = lambda column: F.format_string("%09d", F.lit(999_999_999) - F.coalesce(column, F.lit(0)).cast("int"))
-    number = lambda column: F.format_string("%019d", column)
-    words = lambda column: F.replace(column, F.lit("_"), F.lit(" "))
-    shown = awards.filter(F.col("position") <= 10)
-    award_line = F.concat(
-        F.lit("- **"), F.coalesce("date", F.lit("—")), F.lit("**: "), F.coalesce("objet", F.lit("Award")),
-        F.lit(" (Value: "), F.coalesce(F.col("montant").cast("string"), F.lit("—")), F.lit(")"),
-    )
-    person_line = F.concat(
-        F.lit("- **"), F.col("full_name"), F.lit("** ("), F.coalesce(filled(F.col("job_title")), F.lit("Unknown role")),
-        F.lit(") - Confidence: "), show("identity_confidence"), F.lit("/100"),
-    )
-    person_order = F.concat_ws(
-        "|", F.when(yes(F.col("is_primary_candidate")), "0").otherwise("1"), descending(F.col("buyer_role_score")), number(F.col("id"))
-    )
-    point_line = F.concat(
-        F.lit("- **"), F.coalesce("value_display", "value_normalized"), F.lit("** ("), words(F.col("kind")),
-        F.lit(") - Deliverability: "), show("deliverability_state"), F.lit(" - Utility: "), words(show("utility_state")),
-    )
-    point_order = F.concat_ws(
-        "|", F.when(yes(F.col("is_primary")), "0").otherwise("1"), descending(F.col("confidence_score")), number(F.col("id"))
-    )
-    evidence_line = F.concat(
-        F.lit("- **["), show("category"), F.lit("] "), text(F.col("label")), F.lit("**: "), text(F.col("evidence_text")),
-        F.lit(" (Strength: "), show("strength"), F.lit("/100)"),
-    )
-    contact_head = prospects.select(
-        F.col("id").alias("prospect_id"), F.lit(4).alias("section"), F.lit("").alias("position"),
-        F.lit("\n## Contact Intelligence").alias("line"),
-    )
-    evidence_head = prospects.select(
-        F.col("id").alias("prospect_id"), F.lit(9).alias("section"), F.lit("").alias("position"),
-        F.lit("\n## Evidence & Triggers").alias("line"),
-    )
-    parts = [
-        fixed_section(1, head),
-        heading(2, "\n## Award History", None, shown),
-        child_section(3, shown, F.format_string("%09d", "position"), award_line),
-        contact_head,
-        heading(5, "### Key People", "*No specific people identified.*", people),
-        child_section(6, people, person_order, person_line),
-        heading(7, "\n### Contact Paths", "*No reliable contact paths discovered.*", points),
-        child_section(8, points, point_order, point_line),
-        evidence_head,
-        heading(10, "", "*No direct evidence logged.*", evidence).filter(F.col("line") != ""),
-        child_section(11, evidence, number(F.col("id")), evidence_line),
-        fixed_section(12, tail),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        ],
+    }
+    place = lambda section, k, line: F.struct(F.lit(section).alias("section"), F.lit(f"{k:09d}").alias("position"), line.cast("string").alias("line"))
+    fixed_lines = F.array(*[place(section, k, line) for section, lines in sections.items() for k, line in enumerate(lines)])
+    shown = F.filter(fixed_lines, lambda entry: entry["line"].isNotNull())
+    return rows.select(F.col("id").alias("prospect_id"), F.inline(shown)).unionByName(children)
 
 
-def write_dossiers(lines: DataFrame, path: str) -> None:
-    """Text files holding the reports one after another, in order; range partitioned, so hot reports may span files."""
-    lines.sort("prospect_id", "section", "position").select("line").write.mode("overwrite").text(path)
+def write_dossiers(lines: DataFrame, path: str, per_file: int = 1_000_000) -> None:
+    """Text files of about ``per_file`` lines holding the reports one after another; a report is in one file."""
+    in_ranges(lines, "prospect_id", per_file, "section", "position").select("line").write.mode("overwrite").text(path)
 
 
 LEDGER_COUNTS = {"created": "created", "updated": "updated", "skipped": "skipped", "error": "errors"}
