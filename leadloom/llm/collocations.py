@@ -15,6 +15,7 @@ is frequent goes unmarked.  A larger corpus wants more bits (``filter_bits``); t
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ from leadloom.session import stage
 LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 CHUNK = 1 << 20
-VOCABULARY = 400_000
+VOCABULARY = 200_000
+#: Counted fingerprints keep this many bits, to shuffle less; chance matches among them only mark phrases that then fail.
+KEY_BITS = 40
 FILTER_BITS = 27
 NO_LANG = "und"
 
@@ -49,7 +52,7 @@ class Numbers(dict):
 
     def __init__(self) -> None:
         super().__init__({b"": 0, BREAK: 1})
-        self.words, self.hashes = [b"", BREAK], [0, 0]
+        self.words, self.hashes = [b"", BREAK], array("Q", [0, 0])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.words)
@@ -84,13 +87,13 @@ class Chunk:
     def __init__(self, found: list[np.ndarray], langs: list[str], ids: list, numbers: Numbers, powers: Powers) -> None:
         self.langs, self.ids, self.numbers = langs, ids, numbers
         self.ids_of = np.concatenate(found)
-        self.doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        hashes = np.array(numbers.hashes, np.uint64)[self.ids_of]
+        self.doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+        hashes = np.frombuffer(numbers.hashes.tobytes(), np.uint64)[self.ids_of]
         self.up, down = powers.reach(len(hashes))
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down, dtype=np.uint64)])
-        ends = np.flatnonzero(self.ids_of == 1)
         # words up to the next piece end, from every place; each text ends with one
-        self.room = ends[np.searchsorted(ends, np.arange(len(hashes)))] - np.arange(len(hashes))
+        ends, place = np.flatnonzero(self.ids_of == 1).astype(np.int32), np.arange(len(hashes), dtype=np.int32)
+        self.room = ends[np.searchsorted(ends, place)] - place
         self.salt = np.array([xxhash.xxh64_intdigest(lang, 1) for lang in langs], np.uint64)
 
     def starts(self, n: int) -> np.ndarray:
@@ -100,7 +103,7 @@ class Chunk:
     def keys(self, at: np.ndarray, n: int) -> np.ndarray:
         """Fingerprints of the n-grams at some places, apart by language and length."""
         polynomial = (self.prefix[at + n] - self.prefix[at]) * self.up[at]
-        return mixed((polynomial ^ self.salt[self.doc[at]]) * SPREAD + np.uint64(n))
+        return mixed((polynomial ^ self.salt[self.doc[at]]) * SPREAD + np.uint64(n)) >> np.uint64(64 - KEY_BITS)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[Chunk]:
@@ -223,7 +226,7 @@ def _bit_table(counted: DataFrame, least: int, bits: int) -> np.ndarray:
     slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
     often = counted.groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select(slot.alias("slot"))
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    words = often.groupBy(F.expr("cast(shiftright(slot, 6) as int)").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = stage(often.groupBy(F.expr("cast(shiftright(slot, 6) as int)").alias("word")).agg(F.bit_or(bit).alias("bits")), "phrase-bits").toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return table
