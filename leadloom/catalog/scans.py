@@ -218,13 +218,12 @@ def s8(t):
 
 @query("s9_source_records", """
 SELECT 'manual' AS connector_code, CAST(c_custkey AS VARCHAR) AS external_id, 'company' AS record_type,
-  sha256('{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name
+  sha256('{"c_acctbal":' || CAST(c_acctbal AS VARCHAR) || ',"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name
     || '","c_nationkey":' || CAST(c_nationkey AS VARCHAR) || '}') AS payload_hash
 FROM customer
 """)
 def s9(t):
-    rows = t.customer.drop("c_acctbal")
-    out = adapters.to_source_records(rows, "manual", "c_custkey")
+    out = adapters.to_source_records(t.customer, "manual", "c_custkey")
     return out.select("connector_code", "external_id", "record_type", "payload_hash")
 
 

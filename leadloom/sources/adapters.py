@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.rules import filled
@@ -94,3 +94,8 @@ def to_source_records(df: DataFrame, connector: str, external_id: str, record_ty
         seen.alias("observed_at"),
     )
     return out.withColumn("payload_hash", F.sha2("payload", 256))
+
+
+def payload_value(path: str, kind: str, payload: str = "payload") -> Column:
+    """A value out of a stored envelope, NULL where the path or the type does not fit."""
+    return F.try_variant_get(F.try_parse_json(F.col(payload)), path, kind)

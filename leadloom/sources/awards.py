@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, StructType, TimestampNTZType, TimestampType
 
 from leadloom.fixed import AWARD_ALIASES
 from leadloom.frames import when_is
@@ -54,5 +54,25 @@ def normalise_awards(raw: DataFrame, since: str | date | datetime | None = None)
     return raw.select(*columns)
 
 
+def deliveries(spark: SparkSession, path: str) -> list[tuple[StructType, list[str]]]:
+    """The parquet files below a path, together where their headers agree.
+
+    A file is a delivery of its own; the part files of one write stand in a folder and share a header, so only one of
+    them is opened.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()
+    units = {name.rsplit("/", 1)[0] if name.rsplit("/", 1)[1].startswith("part-") else name for name in files}
+    found: dict[str, tuple[StructType, list[str]]] = {}
+    for unit in sorted(units):
+        schema = spark.read.parquet(unit).schema
+        found.setdefault(schema.json(), (schema, []))[1].append(unit)
+    return list(found.values())
+
+
 def read_awards(spark: SparkSession, path: str, since: str | date | datetime | None = None) -> DataFrame:
-    return normalise_awards(spark.read.parquet(path), since)
+    """Award notices of all files below a path: each file's columns are found by its own header, and ``since`` reaches every scan."""
+    out = None
+    for schema, units in deliveries(spark, path):
+        rows = normalise_awards(spark.read.schema(schema).parquet(*units), since)
+        out = rows if out is None else out.unionByName(rows)
+    return out

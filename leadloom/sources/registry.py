@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leadloom.functions.codes import headcount_size, naf_sector, normalize_naf
 from leadloom.functions.rules import filled, text, yes
@@ -47,6 +50,36 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).json(path)
 
 
+def from_payload(raw: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
+    """Rows of JSON texts as columns of a register's schema, through ``VARIANT``: a field the text lacks is NULL, others are ignored.
+
+    A text that is no JSON, or a value that does not fit its field, gives NULL and not an error.
+    """
+    value = F.try_variant_get(F.try_parse_json(F.col(payload)), "$", f"struct<{_typed(schema)}>").alias("_payload")
+    return raw.select(*[name for name in raw.columns if name != payload], value).select("*", "_payload.*").drop("_payload")
+
+
+def _typed(schema: str) -> str:
+    """A column list as the fields of a struct type."""
+    return ", ".join(f"{field.name}: {field.dataType.simpleString()}" for field in StructType.fromDDL(schema))
+
+
+UNIT_FIELDS = tuple(re.findall(r"(\w+) string", _UNIT))
+
+
+def with_legal_units(establishments: DataFrame, units: DataFrame) -> DataFrame:
+    """Establishments whose ``uniteLegale`` takes what it lacks from the legal unit of their siren.
+
+    A unit's field is its own, else that of its newest period, else the one beside it.  Units are unique by siren.
+    """
+    own, period = F.col("uniteLegale"), F.get("periodesUniteLegale", F.lit(0))
+    of_unit = lambda name: _first(own[name], period[name], *([F.col(name)] if name in units.columns else []))
+    parents = units.select(F.col("siren").alias("_siren"), F.struct(*[of_unit(name).alias(name) for name in UNIT_FIELDS]).alias("_parent"))
+    joined = establishments.join(parents, F.substring("siret", 1, 9) == F.col("_siren"), "left")
+    both = F.struct(*[_first(F.col("uniteLegale")[name], F.col("_parent")[name]).alias(name) for name in UNIT_FIELDS])
+    return joined.withColumn("uniteLegale", both).select(*establishments.columns)
+
+
 def _first(*columns: Column) -> Column:
     return F.coalesce(*[filled(column) for column in columns])
 

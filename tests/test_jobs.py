@@ -103,3 +103,66 @@ def test_a_lost_merge_changes_nothing(spark, tmp_path, monkeypatch):
         with pytest.raises(snapshots.VersionTaken):
             snapshots.merge_rows(path, change([9], "z"))
     assert {r.id: r.v for r in snapshots.read_table(spark, path).collect()} == stored
+
+
+def test_the_date_reaches_every_delivery(spark, t, tmp_path):
+    from leadloom.sources import awards
+
+    t.s_awards.toDF("uid", "dateNotification", "CPV", "Objet", "idTitulaire", "nomTitulaire", "amount", "acheteurNom").write.parquet(str(tmp_path / "a"))
+    t.s_awards.select("id", F.col("dateAttribution").cast("date").alias("dateNotification"), "montant").write.parquet(str(tmp_path / "b"))
+    rows = awards.read_awards(spark, str(tmp_path), since="1996-07-01")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.split("\n") if "PushedFilters" in line]
+    assert len(pushed) == 2 and all("GreaterThanOrEqual(dateNotification" in line for line in pushed)
+    assert rows.count() > 0 and rows.filter("montant IS NOT NULL AND codeCPV IS NULL").count() > 0  # the second file has no code
+    narrow = rows.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "objetMarche" not in narrow and "Objet" not in narrow
+
+
+def test_streams_stop_once_over_restarts(spark, tmp_path):
+    from leadloom.streaming import events as streams
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    assert "RocksDB" in spark.conf.get(key)
+    events_schema, list_schema = "id long, prospect_id long, event_type string, event_date timestamp", "kind string, value_normalized string, suppressed_at timestamp"
+    people = spark.createDataFrame([(1, "a@x.fr", "111"), (2, "b@y.fr", "222"), (3, "c@y.fr", None), (4, None, "444")], "id long, email string, siren string")
+    stopped = spark.createDataFrame([(4, "prospect_replied")], "prospect_id long, stop_reason string")
+    text = lambda schema: schema.replace("timestamp", "string")
+
+    def put(name, rows, schema):
+        frame = spark.createDataFrame(rows, text(schema))
+        stamp = "event_date" if name == "events" else "suppressed_at"
+        frame.withColumn(stamp, F.col(stamp).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def run():
+        events = spark.readStream.schema(events_schema).parquet(str(tmp_path / "events"))
+        hits = streams.suppression_hits(spark.readStream.schema(list_schema).parquet(str(tmp_path / "list")), people)
+        told = []
+        query = streams.stop_stream(events, hits, stopped).writeStream.foreachBatch(lambda batch, _: told.extend(batch.collect()))
+        query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.prospect_id, r.stop_reason) for r in told)
+
+    put("events", [(10, 1, "Replied", "2024-01-02 00:00:00"), (11, 4, "Replied", "2024-01-02 00:00:00"), (12, 3, "Sent", "2024-01-02 00:00:00")], events_schema)
+    put("list", [("email", "a@x.fr", "2024-01-03 00:00:00"), ("siren", "222", "2024-01-03 00:00:00")], list_schema)
+    assert run() == [(1, "prospect_replied"), (2, "suppression_entry_matched")]
+    put("list", [("domain", "y.fr", "2024-01-05 00:00:00"), ("siren", "444", "2024-01-05 00:00:00")], list_schema)
+    assert run() == [(3, "suppression_entry_matched")]  # 2 and 4 have stopped before
+    put("events", [(13, 2, "OptOut", "2024-01-06 00:00:00")], events_schema)
+    assert run() == []
+
+
+def test_one_scan_finds_what_the_keywords_find(spark):
+    from leadloom import fixed
+    from leadloom.operators.evidence import extract_evidence, one_scan
+
+    import re
+
+    words = [w for _, _, _, keywords in fixed.EVIDENCE_TAXONOMY for w in keywords]
+    texts = ["", "nothing here", "our Agences and 24/7", "hiring a 24h/24 service coordinator", "subbranch", "the branches of bons d'intervention papier", "multisite multi-sites", "recrutement\nplanificateur"]
+    for text in texts:
+        assert bool(re.search(one_scan(words), text.lower())) == any(re.search(w, text.lower()) for w in words), text
+    rows = extract_evidence(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).collect()
+    got = {(r.k, r.code) for r in rows}
+    assert got == {(k, code) for k, text in enumerate(texts) for code, _, _, keywords in fixed.EVIDENCE_TAXONOMY if any(re.search(w, text.lower()) for w in keywords)}
+    plan = extract_evidence(spark.createDataFrame([(1, "x")], "k int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper()
