@@ -40,11 +40,11 @@ def a1(t):
 
 
 @query("a1b_holder_history", f"""
-WITH {HOLDERS} SELECT holder_key, string_agg(id || '@' || dateAttribution, ',' ORDER BY rn) AS history FROM ordered WHERE rn <= 50 GROUP BY 1
+WITH {HOLDERS} SELECT holder_key, rn AS position, id, dateAttribution AS date FROM ordered
 """)
 def a1b(t):
-    shown = F.transform("award_history", lambda a: F.concat(a["id"], F.lit("@"), a["date"]))
-    return holders(t).select("holder_key", F.array_join(shown, ",").alias("history"))
+    relevant = awards.filter_relevant(t.s_awards, FIELD_SERVICE, AWARDS_AS_OF, 400)
+    return awards.holder_history(relevant).select("holder_key", "position", "id", "date")
 
 
 @query("a1c_holder_evidence", f"""

@@ -55,6 +55,11 @@ def a13(t):
     return contacts.candidate_summary(t.s_points).select("prospect_id", F.array_join(shown, " ").alias("candidates"))
 
 
+@query("a13b_candidate_rows", f"SELECT prospect_id, rn AS position, id, value_display FROM ({POINT_RANKS}) r")
+def a13b(t):
+    return contacts.candidate_rows(t.s_points).select("prospect_id", "position", "id", "value_display")
+
+
 def _code_tests() -> str:
     tests = []
     for code, _, _, words in fixed.EVIDENCE_TAXONOMY:

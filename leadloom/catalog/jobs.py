@@ -292,7 +292,7 @@ def award_job(t) -> ingest.Ingested:
 _INGEST = f"""
 {HOLDERS},
 known AS (SELECT * FROM s_prospects),
-inc AS (SELECT *, signal_details || CASE WHEN objets_joined <> '' THEN ' — ' || substring(objets_joined, 1, 400) ELSE '' END AS details, (SELECT min(id) FROM known k WHERE k.siren = described.siren) AS hit FROM described
+inc AS (SELECT *, signal_details || CASE WHEN objets_joined <> '' THEN ' — ' || objets_joined ELSE '' END AS details, (SELECT min(id) FROM known k WHERE k.siren = described.siren) AS hit FROM described
   WHERE siren NOT IN (SELECT value_normalized FROM s_suppression WHERE kind = 'siren')),
 late AS (SELECT *, row_number() OVER (PARTITION BY siren ORDER BY award_count, total_cents, holder_key DESC) AS from_last FROM inc),
 fold AS (SELECT siren, hit, max(CASE WHEN from_last = 1 THEN details END) AS details, max(CASE WHEN from_last = 1 THEN company_name END) AS company_name, arg_min(siret, from_last) FILTER (siret IS NOT NULL) AS siret, max(last_tender_date) AS tender FROM late GROUP BY 1, 2)

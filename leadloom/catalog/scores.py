@@ -137,12 +137,12 @@ def m9(t):
 
 @query("m9b_badges", f"""
 WITH {SCORED}
-SELECT id, array_to_string(list_slice(list_filter([CASE fit0 WHEN 5 THEN 'IT exclusion' WHEN 85 THEN 'Target NAF' END, CASE WHEN company_size IN ('11-50', '51-200') THEN 'SME fit' WHEN company_size = '200+' THEN 'Large' END,
+SELECT id, array_to_string(list_filter([CASE fit0 WHEN 5 THEN 'IT exclusion' WHEN 85 THEN 'Target NAF' END, CASE WHEN company_size IN ('11-50', '51-200') THEN 'SME fit' WHEN company_size = '200+' THEN 'Large' END,
   CASE WHEN regexp_matches(blob, '{sql_regex(fixed.COMPLEXITY_KEYWORDS)}') THEN 'Structural complexity' END, CASE WHEN regexp_matches(blob, '{sql_regex(fixed.PAIN_KEYWORDS)}') THEN 'Manual workflow' END,
   CASE WHEN pain_conf OR pain_rev THEN 'Pain confirmed' END, CASE WHEN recent > 0 THEN CAST(recent AS VARCHAR) || ' award(s)' END, CASE WHEN awards >= 2 THEN 'Multi-award' END,
   CASE WHEN a0 > 15 THEN 'Buyer role match' END, CASE WHEN decision_maker_name IS NOT NULL AND a0 < 40 THEN 'Person named' END,
   CASE cc WHEN 'ready' THEN 'Contact OK' WHEN 'manual' THEN 'Contact manually confirmed' WHEN 'generic' THEN 'Generic mailbox only' WHEN 'guessed' THEN 'Guessed email' WHEN 'risky' THEN 'Risky/catch-all contact' END,
-  CASE WHEN euros >= 100000 THEN '≥100k€ awards' END], lambda x: x IS NOT NULL), 1, 8), '|') AS badges FROM scored
+  CASE WHEN euros >= 100000 THEN '≥100k€ awards' END], lambda x: x IS NOT NULL), '|') AS badges FROM scored
 """)
 def m9b(t):
     return scored(t).select("id", F.array_join("badges", "|").alias("badges"))

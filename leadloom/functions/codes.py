@@ -147,7 +147,7 @@ def badges(
                          (readiness == "human_review_required", "Needs human OK")]),
         ]
     )
-    return F.when(F.coalesce(F.size(stored), F.lit(0)) > 0, F.slice(stored, 1, 8)).otherwise(derived)
+    return F.when(F.coalesce(F.size(stored), F.lit(0)) > 0, stored).otherwise(derived)
 
 
 def why_this_lead(stored: Column, why_now: Column, suspected_pain: Column) -> Column:

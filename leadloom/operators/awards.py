@@ -14,7 +14,8 @@ from leadloom.functions.text import date_iso, parse_date
 from leadloom.plays import Play
 from leadloom.sources.awards import parse_award_date
 
-HISTORY_LIMIT = 50
+#: A holder's description names its newest awards.
+NAMED = 3
 AWARD_FIELDS = ("id", "date", "objet", "cpv", "montant", "montant_quality", "acheteur")
 
 
@@ -91,14 +92,13 @@ def newest_first(*tail: str) -> list[Column]:
 
 
 def aggregate_by_holder(
-    filtered: DataFrame, history: int = HISTORY_LIMIT, stage: Callable[[DataFrame], DataFrame] = lambda df: df
+    filtered: DataFrame, history: int = NAMED, stage: Callable[[DataFrame], DataFrame] = lambda df: df
 ) -> DataFrame:
     """One row per award holder.
 
     Counts, sums and the last date combine on the map side and cover every
     award of the holder.  ``award_history`` shows the newest ``history`` awards,
-    the length the history keeps when it is merged; all of them stay available
-    as rows from ``holder_awards``.  The rows are read twice; on large inputs
+    those its description names; all of them are rows of ``holder_history``.  The rows are read twice; on large inputs
     ``stage`` writes them once.
     """
     rows = stage(holder_awards(filtered))
@@ -113,6 +113,11 @@ def aggregate_by_holder(
     return _describe(totals.join(lists, "holder_key"))
 
 
+def holder_history(filtered: DataFrame) -> DataFrame:
+    """Every award of every holder, numbered from the newest: rows, so a holder may have any number."""
+    return top_per(holder_awards(filtered), ["holder_key"], newest_first(), None, rank="position")
+
+
 def _describe(holders: DataFrame) -> DataFrame:
     multiple = F.col("award_count") >= 2
     euros = F.bround(F.col("total_cents") / 100).cast("long")
@@ -122,7 +127,7 @@ def _describe(holders: DataFrame) -> DataFrame:
         F.when(F.col("total_cents") != 0, F.concat(F.lit("total≈"), euros.cast("string"), F.lit("€"))),
         F.when(multiple, F.lit("multiple wins")),
     )
-    joined = F.array_join(F.transform(F.slice("award_history", 1, 3), lambda a: a["objet"]), " | ")
+    joined = F.array_join(F.transform(F.slice("award_history", 1, NAMED), lambda a: a["objet"]), " | ")
     out = holders.withColumns(
         {
             "siren": F.substring("holder_key", 1, 9),

@@ -208,7 +208,7 @@ def apply_mx(points: DataFrame, lookup: DataFrame) -> DataFrame:
     )
     out = out.withColumns(
         {
-            "verification_state": F.when(changed, F.substring("_mx", 1, 30)).otherwise(F.col("verification_state")),
+            "verification_state": F.when(changed, F.col("_mx")).otherwise(F.col("verification_state")),
             "utility_state": F.when(changed, utility).otherwise(F.col("utility_state")),
         }
     )
@@ -275,7 +275,7 @@ def prepare_people(facts: DataFrame) -> DataFrame:
         {"normalized_name": normalize_person_name(F.col("full_name")), "_role": normalize_role(F.col("job_title"))}
     )
     given = filled(F.col("normalized_role")) if "normalized_role" in facts.columns else F.lit(None).cast("string")
-    out = out.withColumn("normalized_role", F.substring(F.coalesce(given, F.col("_role.role")), 1, 120))
+    out = out.withColumn("normalized_role", F.coalesce(given, F.col("_role.role")))
     out = out.withColumns(
         {
             "role_category": F.coalesce(filled(F.col("role_category")), F.col("_role.category")),
@@ -331,7 +331,7 @@ def merge_people(old: DataFrame, facts: DataFrame) -> DataFrame:
 
     split = split_name(F.col("_first.full_name"))
     new_values = {
-        "full_name": F.when(existed, F.col("full_name")).otherwise(F.substring("_first.full_name", 1, 200)),
+        "full_name": F.when(existed, F.col("full_name")).otherwise(F.col("_first.full_name")),
         "first_name": F.when(existed, F.col("first_name")).otherwise(split["first"]),
         "last_name": F.when(existed, F.col("last_name")).otherwise(split["rest"]),
         "job_title": choose("job_title", F.coalesce(F.col("_source.job_title"), F.col("_first.job_title"))),
@@ -501,9 +501,18 @@ SUMMARY_FIELDS = ("id", "kind", "value_display", "publication_state", "deliverab
                   "utility_state", "requires_manual_review")
 
 
-def candidate_summary(points: DataFrame, n: int = 10) -> DataFrame:
+#: How many of the best contact points a prospect's own row shows; all of them are rows of ``candidate_rows``.
+CANDIDATES_SHOWN = 10
+
+
+def candidate_rows(points: DataFrame, n: int | None = None) -> DataFrame:
+    """The contact points of every prospect from the best on, with their ``position``; ``n`` asks for the first few only."""
+    return top_per(available(points), ["prospect_id"], point_order(), n, rank="position")
+
+
+def candidate_summary(points: DataFrame, n: int = CANDIDATES_SHOWN) -> DataFrame:
     """The ``n`` best contact points per prospect as one array."""
-    ranked = top_per(available(points), ["prospect_id"], point_order(), n, rank="position")
+    ranked = candidate_rows(points, n)
     return bounded_list(ranked, ["prospect_id"], "position", F.struct(*SUMMARY_FIELDS), "contact_candidates")
 
 
@@ -793,7 +802,7 @@ def review_points(points: DataFrame, reviews: DataFrame) -> DataFrame:
         F.col("kind"), F.col("publication_state"), F.col("deliverability_state"), F.col("person_match_state"),
         confirmed=F.lit(True),
     )
-    reason = F.substring(F.coalesce(filled(F.col("_review.reason")), F.lit("operator_rejected")), 1, 300)
+    reason = F.coalesce(filled(F.col("_review.reason")), F.lit("operator_rejected"))
     out = out.withColumn(
         "_utility", first_match([(confirmed, utility), (suppressed, "suppressed")], F.col("utility_state"))
     )

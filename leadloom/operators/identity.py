@@ -398,7 +398,7 @@ def upsert_prospects(
         "anonymized": F.lit(False),
     }
     upgraded = touched & old & F.col("_awarded") if award_signal else F.lit(False)
-    details = F.substring("_signal_details", 1, 2000)
+    details = F.col("_signal_details")
     columns = []
     for name in prospects.columns:
         kept = F.col(name)
@@ -409,7 +409,7 @@ def upsert_prospects(
         if name == "id":
             kept = F.coalesce("id", "_id")
         elif name == "company_name":
-            kept = F.substring(F.coalesce(kept, F.concat(F.lit("SIREN "), F.col("_in_siren") if "siren" in carried else F.lit("?"))), 1, 200)
+            kept = F.coalesce(kept, F.concat(F.lit("SIREN "), F.col("_in_siren") if "siren" in carried else F.lit("?")))
         elif name in ("signal_type", "source", "data_source"):
             value = {"signal_type": signal_type, "source": "DECP" if award_signal else source, "data_source": data_source}
             kept = F.when(upgraded, F.lit(value[name])).otherwise(kept)

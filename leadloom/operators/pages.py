@@ -153,7 +153,7 @@ def people_facts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> Dat
         near = F.array_join(F.slice("parts", F.greatest(at - 1, F.lit(1)), F.when(at < 2, at + 3).otherwise(5)), " ")
         return F.transform(
             F.regexp_extract_all(near, F.lit(NAME_IN_TEXT), F.lit(1)),
-            lambda name: person(normalize_space(name), F.substring(block["part"], 1, 200), at, block["role"], "probable", 70,
+            lambda name: person(normalize_space(name), block["part"], at, block["role"], "probable", 70,
                                 F.lit(None)),
         )
 

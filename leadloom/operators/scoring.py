@@ -407,8 +407,8 @@ def explain(rows: DataFrame, play: Play) -> DataFrame:
     )
     return out.withColumns(
         {
-            "badges": F.slice(F.array_distinct(badge), 1, 8),
-            "reasons": F.slice(reason, 1, 8),
+            "badges": F.array_distinct(badge),
+            "reasons": reason,
             "personalization_brief": brief,
         }
     )

@@ -78,7 +78,7 @@ def ingest_awards(
     if max_companies:
         holders = top_holders(holders, max_companies)
     holders = stage(holders)
-    details = F.concat(F.col("signal_details"), F.lit(" — "), F.substring("objets_joined", 1, 400))
+    details = F.concat(F.col("signal_details"), F.lit(" — "), F.col("objets_joined"))
     # Arrival order: as the holders are ranked; the key breaks ties.
     rank = F.struct(-F.col("award_count"), -F.col("total_cents"), F.col("holder_key"))
     incoming = holders.withColumns(
