@@ -47,3 +47,17 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def in_blocks(rows: DataFrame, key: str, size: int, weight: str = "n") -> Iterator[DataFrame]:
+    """A set of queries cut into blocks by ``key``, each of at most about ``size`` in ``weight`` or a single row: a bound for what is sent to tasks."""
+    blocks = -(-(rows.agg(F.sum(weight)).first()[0] or 0) // size)
+    dealt = rows
+    while blocks:
+        dealt = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+        over = dealt.groupBy("_block").agg(F.sum(weight).alias("n"), F.count("*").alias("rows")).filter((F.col("n") > size) & (F.col("rows") > 1))
+        if over.isEmpty():
+            break
+        blocks *= 2
+    for block in range(blocks):
+        yield dealt.filter(F.col("_block") == block).drop("_block")

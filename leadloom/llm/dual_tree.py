@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import parts
+from leadloom.llm.common import in_blocks, parts
 from leadloom.session import stage
 
 TOP = 20
@@ -239,18 +239,6 @@ def _searched(tree, floors: dict[int, int], top: int, n_terms: int, exact: bool)
     return run
 
 
-def _blocks(items: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Items dealt over blocks until each holds at most ``size`` words or a single item."""
-    blocks = -(-(items.agg(F.sum("n")).first()[0] or 0) // size)
-    while blocks:
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)))
-        over = dealt.groupBy("block").agg(F.sum("n").alias("n"), F.count("*").alias("items")).filter((F.col("n") > size) & (F.col("items") > 1))
-        if over.isEmpty():
-            return dealt, blocks
-        blocks *= 2
-    return items.withColumn("block", F.lit(0)), 0
-
-
 def search(
     docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block_terms: int = BLOCK_TERMS
 ) -> DataFrame:
@@ -262,11 +250,10 @@ def search(
     found = F.regexp_extract_all(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), UPPER, LOWER), F.lit(f"({TERM})"), F.lit(1))
     listed = items.select(F.col(f"`{item_col}`").alias("item"), found.alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     listed = stage(listed.withColumn("place", F.monotonically_increasing_id()), "search-items")
-    dealt, blocks = _blocks(listed, block_terms)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     out = None
-    for block in range(blocks):
-        asked = dealt.filter(F.col("block") == block).select("place", "words").collect()  # at most block_terms words, or one item
+    for block in in_blocks(listed, "place", block_terms):
+        asked = block.select("place", "words").collect()  # at most block_terms words, or one item
         if not asked:
             continue
         ranked = _search_block(rows, [(r.place, [w.encode() for w in r.words]) for r in asked], top)

@@ -6,7 +6,8 @@ are where the texts begin.  The table is written once and serves any number of q
 
 A phrase is looked up from its rarest terms: their lists, each moved back by the term's offset in the phrase, are intersected
 first, and the lists of its other terms are fetched only for segments where something is left.  Phrases that hold a term the
-corpus lacks fetch nothing.  Phrases are handled in blocks, so a group holds one segment and at most ``BLOCK`` phrases.
+corpus lacks fetch nothing.  Phrases are sent to the tasks in blocks of at most ``BLOCK_WORDS`` words, lists are grouped by
+segment: what a task holds is bounded by these two, and no row arises for a phrase and a segment that have nothing in common.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import parts
+from leadloom.llm.common import in_blocks, parts
 from leadloom.session import stage
 
 WINDOW = 10
 RAREST = 3
 SEGMENT = 1 << 22
-BLOCK = 20_000
+BLOCK_WORDS = 1_000_000
 MARK_BUCKETS = 1 << 20
 #: A to Z as a to z; of the ASCII characters only letters and digits belong to words.
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -132,121 +133,178 @@ def _met(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return places[np.minimum(at, len(places) - 1)] == wanted
 
 
-def _intersected(last: bool):
-    """Places where the phrases of a group may begin, after the lists at hand; in the last step, within one text each."""
-
-    def run(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        places = {term: np.frombuffer(found, PLACE) for term, found in zip(lists["term"], lists["places"])}
-        begins, out = places.get(b""), []
-        for segment, block, phrase, length, terms, offsets, starts in rows.itertuples(index=False):
-            left = None if starts is None else np.frombuffer(starts, PLACE)
-            for term, offset in zip(terms, offsets):
-                there = places.get(term)
-                if there is None:
-                    left = np.empty(0, PLACE)
-                    break
-                left = there[there >= offset] - offset if left is None else left[_met(there, left + offset)]
-                if not len(left):
-                    break
-            if not len(left):
+class Asked:
+    """A block of phrases: their words as numbers of a vocabulary, rarest first, with their offsets."""
+
+    def __init__(self, phrases: list[list[bytes]], frequency: dict[bytes, int]) -> None:
+        self.number = {term: k for k, term in enumerate(frequency)}
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Phrases by their rarest term; those with a term that nowhere occurs are in no list.
+        self.of: dict[int, list[int]] = {}
+        for k, words in enumerate(phrases):
+            if not words or any(w not in frequency for w in words):
+                self.rows.append((np.empty(0, np.int32), np.empty(0, np.int32)))
                 continue
-            if not last:
-                out.append((segment, block, phrase, left.astype(PLACE).tobytes()))
+            order = sorted(range(len(words)), key=lambda i: (frequency[words[i]], i))
+            terms = np.array([self.number[words[i]] for i in order], np.int32)
+            self.rows.append((terms, np.array(order, np.int32)))
+            self.of.setdefault(int(terms[0]), []).append(k)
+
+    def lists(self, group: pd.DataFrame) -> dict[int, np.ndarray]:
+        """Places of a segment's lists by term number; the beginnings of its texts under -1."""
+        return {self.number.get(term, -1 if not term else None): np.frombuffer(found, PLACE) for term, found in zip(group["term"], group["places"])}
+
+
+def _walked(left: np.ndarray | None, terms: np.ndarray, offsets: np.ndarray, places: dict[int, np.ndarray]) -> np.ndarray:
+    """Places where a phrase may begin, after some more of its words."""
+    for term, offset in zip(terms.tolist(), offsets.tolist()):
+        there = places.get(term)
+        if there is None:
+            return np.empty(0, PLACE)
+        left = there[there >= offset] - offset if left is None else left[_met(there, left + offset)]
+        if not len(left):
+            break
+    return left
+
+
+def _begun(asked, rarest: int):
+    """Per segment: where its phrases may begin after their rarest terms."""
+
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        places, out = asked.value.lists(lists), []
+        for term in places:
+            for phrase in asked.value.of.get(term, ()):
+                terms, offsets = asked.value.rows[phrase]
+                left = _walked(None, terms[:rarest], offsets[:rarest], places)
+                if len(left):
+                    out.append((lists["segment"].iloc[0], phrase, left.astype(PLACE).tobytes()))
+        return pd.DataFrame(out, columns=["segment", "k", "starts"])
+
+    return run
+
+
+def _finished(asked, rarest: int):
+    """Per segment: the phrases found after all their words, within one text each."""
+
+    def run(likely: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        places, out = asked.value.lists(lists), []
+        for segment, phrase, starts in likely.itertuples(index=False):
+            terms, offsets = asked.value.rows[phrase]
+            left = _walked(np.frombuffer(starts, PLACE), terms[rarest:], offsets[rarest:], places)
+            if not len(left):
                 continue
-            doc = np.searchsorted(begins, left, "right") - 1
-            whole = doc == np.searchsorted(begins, left + (length - 1), "right") - 1
+            doc = np.searchsorted(places[-1], left, "right") - 1
+            whole = doc == np.searchsorted(places[-1], left + (len(terms) - 1), "right") - 1
             doc, left = doc[whole], left[whole]
             first = np.flatnonzero(np.diff(doc, prepend=-1))
-            for one, among in zip(doc[first], np.split(left - begins[doc], first[1:])):
-                out.append((segment, int(one), phrase, length, among))
-        names = ["segment", "doc", "phrase", "length", "starts"] if last else ["segment", "block", "phrase", "starts"]
-        return pd.DataFrame(out, columns=names)
+            for one, among in zip(doc[first].tolist(), np.split(left - places[-1][doc], first[1:])):
+                out.append((segment, one, phrase, len(terms), among))
+        return pd.DataFrame(out, columns=["segment", "doc", "k", "length", "starts"])
 
     return run
 
 
-def _block(phrases: DataFrame, block: int) -> Column:
-    blocks = -(-phrases.count() // block) or 1
-    return F.pmod(F.xxhash64("phrase"), F.lit(blocks)).cast("int").alias("block")
+def _blocks(index: DataFrame, phrases: DataFrame, block_words: int) -> Iterator[tuple[list, Asked, DataFrame, DataFrame]]:
+    """Blocks of phrases: their ids, themselves, their terms as rows and the lists of these terms."""
+    spark = index.sparkSession
+    counted = stage(phrases.select("phrase", "words").withColumn("n", F.size("words")).filter("n > 0"), "phrases-asked")
+    for block in in_blocks(counted, "phrase", block_words):
+        rows = block.collect()  # at most block_words words, or one phrase
+        if not rows:
+            continue
+        words = [[bytes(w) for w in r.words] for r in rows]
+        terms = spark.createDataFrame([(w,) for w in dict.fromkeys(w for one in words for w in one)], "term binary")
+        terms = stage(terms, "phrase-terms")
+        found = _postings(index, terms)
+        frequency = found.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("size").alias("df")).collect()  # a row per term of the block
+        yield [r.phrase for r in rows], Asked(words, {bytes(term): df for term, df in frequency}), terms, found
+
 
+def _named(found: DataFrame, names: list, phrases: DataFrame) -> DataFrame:
+    """Matches under the ids of their phrases."""
+    kind = dict(phrases.dtypes)["phrase"]
+    ids = found.sparkSession.createDataFrame(list(enumerate(names)), f"k long, phrase {kind}")
+    return found.join(ids, "k").drop("k")
 
-def phrase_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST, block: int = BLOCK) -> DataFrame:
-    """``segment, doc, phrase, length, starts``: the words of a text (from 0) at which a phrase begins.
 
-    ``phrases`` has ``phrase`` (any id) and ``words``, an array of terms as bytes; one without words matches nothing.
+def phrase_matches(index: DataFrame, phrases: DataFrame, rarest: int = RAREST, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``segment, doc, length, starts, phrase``: the words of a text (from 0) at which a phrase begins, staged.
+
+    ``phrases`` has ``phrase`` (any unique id) and ``words``, an array of terms as bytes; one without words matches nothing.
     """
-    spoken = phrases.select("phrase", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"), _block(phrases, block))
-    spoken = stage(spoken, "phrase-terms")
-    found = _postings(index, spoken)
-    frequency = found.join(spoken.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("size").alias("df"))
-    # a phrase is one row of its words, rarest first; one with a term that nowhere occurs drops out
-    ranked = spoken.join(frequency, "term").groupBy("phrase", "length", "block").agg(F.sort_array(F.collect_list(F.struct("df", "offset", "term"))).alias("list"))
-    ranked = stage(ranked.filter(F.size("list") == F.col("length")), "phrases-ranked")
-
-    cut = lambda start, n: F.slice("list", start, n)
-    shape = lambda part, starts: [F.col("segment"), F.col("block"), F.col("phrase"), F.col("length"), part["term"].alias("terms"), part["offset"].alias("offsets"), starts.alias("starts")]
-    first = ranked.withColumn("part", cut(1, rarest)).withColumn("term", F.col("list")[0]["term"])
-    rows = found.select("segment", "term").join(first, "term").select(*shape(F.col("part"), F.lit(None).cast("binary")))
-    wanted = first.select("block", F.explode("part.term").alias("term")).distinct()
-    lists = found.join(wanted, "term").select("segment", "block", "term", "places")
-    keys, kind = ("segment", "block"), dict(phrases.dtypes)["phrase"]
-    likely = rows.groupBy(*keys).cogroup(lists.toDF(*lists.columns).groupBy(*keys)).applyInPandas(_intersected(False), f"segment long, block int, phrase {kind}, starts binary")
-    likely = stage(likely, "phrases-likely")
-
-    rest = likely.join(ranked.drop("block"), "phrase").withColumn("part", cut(rarest + 1, F.greatest(F.size("list"), F.lit(1))))
-    rest = stage(rest.select(*shape(F.col("part"), F.col("starts"))), "phrases-rest")
-    asked = rest.select("segment", "block", F.explode(F.concat("terms", F.array(F.lit(b"")))).alias("term")).distinct()
-    lists = found.join(asked, ["segment", "term"]).select("segment", "block", "term", "places")
-    return rest.groupBy(*keys).cogroup(lists.toDF(*lists.columns).groupBy(*keys)).applyInPandas(_intersected(True), f"segment long, doc int, phrase {kind}, length int, starts array<int>")
-
-
-def _close(span: int):
-    """Per query of a group: the words at which a stretch of ``span`` words begins that holds all its terms."""
-
-    def run(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        places = {term: np.frombuffer(found, PLACE) for term, found in zip(lists["term"], lists["places"])}
-        begins, out = places.get(b""), []
-        for segment, _, query, terms in rows.itertuples(index=False):
-            of = sorted((places.get(term, begins[:0]) for term in terms), key=len)
-            if not len(of[0]):
-                continue
-            starts = np.unique(np.concatenate(of))
-            after = np.searchsorted(of[0], starts)  # the rarest term decides where to look at all
-            near = after < len(of[0])
-            near[near] = of[0][after[near]] - starts[near] < span
-            starts = starts[near]
-            ends = starts.copy()
-            for there in of:
-                at = np.searchsorted(there, starts)
-                good = at < len(there)
-                starts, ends = starts[good], np.maximum(ends[good], there[at[good]])
-                good = ends - starts < span
-                starts, ends = starts[good], ends[good]
-            doc = np.searchsorted(begins, starts, "right") - 1
-            whole = doc == np.searchsorted(begins, ends, "right") - 1
-            doc, starts, ends = doc[whole], starts[whole], ends[whole]
-            first = np.flatnonzero(np.diff(doc, prepend=-1))
-            for one, s, e in zip(doc[first], np.split(starts - begins[doc], first[1:]), np.split(ends - begins[doc], first[1:])):
-                out.append((segment, int(one), query, s, e))
-        return pd.DataFrame(out, columns=["segment", "doc", "phrase", "starts", "ends"])
+    spark, out = index.sparkSession, None
+    for names, block, terms, found in _blocks(index, phrases, block_words):
+        asked = spark.sparkContext.broadcast(block)
+        rare = {int(t) for row, _ in block.rows for t in row[:rarest]}
+        first = spark.createDataFrame([(term,) for term, k in block.number.items() if k in rare], "term binary")
+        lists = found.join(first, "term", "left_semi").select("segment", "term", "places")
+        likely = stage(lists.groupBy("segment").applyInPandas(_begun(asked, rarest), "segment long, k long, starts binary"), "phrases-likely")
+
+        spelled = list(block.number)
+        rest = [(k, [*(spelled[t] for t in row[rarest:].tolist()), b""]) for k, (row, _) in enumerate(block.rows)]
+        rest = spark.createDataFrame(rest, "k long, terms array<binary>")
+        wanted = likely.select("segment", "k").join(rest, "k").select("segment", F.explode("terms").alias("term")).distinct()
+        more = found.join(wanted, ["segment", "term"]).select("segment", "term", "places")
+        both = likely.groupBy("segment").cogroup(more.groupBy("segment")).applyInPandas(_finished(asked, rarest), "segment long, doc int, k long, length int, starts array<int>")
+        matched = stage(_named(both, names, phrases), "phrase-matches")
+        out = matched if out is None else out.unionByName(matched)
+    if out is None:
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        out = phrases.limit(0).select(none("long", "segment"), none("int", "doc"), none("int", "length"), none("array<int>", "starts"), "phrase")
+    return out
+
+
+def _close(asked, span: int):
+    """Per segment and query: the words at which a stretch of ``span`` words begins that holds all its terms."""
+
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        places, out = asked.value.lists(lists), []
+        begins, segment = places.pop(-1), lists["segment"].iloc[0]
+        for term in places:
+            for query in asked.value.of.get(term, ()):
+                of = [places.get(t) for t in asked.value.rows[query][0].tolist()]
+                if any(there is None for there in of):
+                    continue
+                starts = np.unique(np.concatenate(of))
+                after = np.searchsorted(of[0], starts)  # the rarest term decides where to look at all
+                near = after < len(of[0])
+                near[near] = of[0][after[near]] - starts[near] < span
+                starts = starts[near]
+                ends = starts.copy()
+                for there in of:
+                    at = np.searchsorted(there, starts)
+                    good = at < len(there)
+                    starts, ends = starts[good], np.maximum(ends[good], there[at[good]])
+                    good = ends - starts < span
+                    starts, ends = starts[good], ends[good]
+                doc = np.searchsorted(begins, starts, "right") - 1
+                whole = doc == np.searchsorted(begins, ends, "right") - 1
+                doc, starts, ends = doc[whole], starts[whole], ends[whole]
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                for one, s, e in zip(doc[first].tolist(), np.split(starts - begins[doc], first[1:]), np.split(ends - begins[doc], first[1:])):
+                    out.append((segment, one, query, s, e))
+        return pd.DataFrame(out, columns=["segment", "doc", "k", "starts", "ends"])
 
     return run
 
 
-def proximity_matches(index: DataFrame, queries: DataFrame, span: int, block: int = BLOCK) -> DataFrame:
-    """``segment, doc, phrase, starts, ends``: stretches of at most ``span`` words that hold every term of a query, in any order.
+def proximity_matches(index: DataFrame, queries: DataFrame, span: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``segment, doc, starts, ends, phrase``: stretches of at most ``span`` words that hold every term of a query, in any order.
 
     A stretch begins at an occurrence of a term and ends with the last term it needs; one per such beginning.
     """
-    asked = queries.filter(F.size("words") > 0).select("phrase", F.array_distinct("words").alias("terms"), _block(queries, block))
-    spoken = asked.select("phrase", "block", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    found = _postings(index, spoken)
-    have = found.select("segment", "term").join(spoken, "term").groupBy("segment", "block", "phrase", "length").count()
-    rows = stage(have.filter(F.col("count") == F.col("length")).join(asked.drop("block"), "phrase").select("segment", "block", "phrase", "terms"), "queries-likely")
-    wanted = rows.select("segment", "block", F.explode(F.concat("terms", F.array(F.lit(b"")))).alias("term")).distinct()
-    lists = found.join(wanted, ["segment", "term"]).select("segment", "block", "term", "places")
-    keys, kind = ("segment", "block"), dict(queries.dtypes)["phrase"]
-    return rows.groupBy(*keys).cogroup(lists.toDF(*lists.columns).groupBy(*keys)).applyInPandas(_close(span), f"segment long, doc int, phrase {kind}, starts array<int>, ends array<int>")
+    spark, out = index.sparkSession, None
+    for names, block, terms, found in _blocks(index, queries.withColumn("words", F.array_distinct("words")), block_words):
+        asked = spark.sparkContext.broadcast(block)
+        both = terms.unionByName(spark.createDataFrame([(b"",)], "term binary"))
+        lists = found.join(both, "term", "left_semi").select("segment", "term", "places")
+        close = lists.groupBy("segment").applyInPandas(_close(asked, span), "segment long, doc int, k long, starts array<int>, ends array<int>")
+        matched = stage(_named(close, names, queries), "close-matches")
+        out = matched if out is None else out.unionByName(matched)
+    if out is None:
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        out = queries.limit(0).select(none("long", "segment"), none("int", "doc"), none("array<int>", "starts"), none("array<int>", "ends"), "phrase")
+    return out
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +328,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", ite
     """
     index = build_index(docs, id_col, text_col) if index is None else index
     phrases, belongs = windows(items, item_col, text_col, width)
-    found = stage(phrase_matches(index, phrases), "window-matches")
+    found = phrase_matches(index, phrases)
     at = ("segment", "doc")
     covered = found.select(*at, "length", F.explode("starts").alias("start")).groupBy(*at, "start").agg(F.max("length").alias("length"))
     places = covered.select(*at, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("place")).distinct()

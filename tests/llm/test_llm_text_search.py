@@ -89,7 +89,7 @@ def test_phrases_in_blocks_and_proximity(spark):
     names = {(r.segment, r.doc): r.id for r in positional_index.texts(index).collect()}
     asked = [(k, [w.encode() for w in folded(prose(rng, rng.choice([1, 2, 3, 5])))]) for k in range(30)] + [(30, [b"nowhere", b"an"]), (31, [])]
     queries = spark.createDataFrame(asked, "phrase long, words array<binary>")
-    for rarest, block in ((1, 7), (3, 1000)):
+    for rarest, block in ((1, 30), (3, 1000)):
         found = positional_index.phrase_matches(index, queries, rarest, block).collect()
         got = {(names[r.segment, r.doc], r.phrase, s) for r in found for s in r.starts}
         expected = set()
@@ -98,7 +98,7 @@ def test_phrases_in_blocks_and_proximity(spark):
             expected |= {(i, q, s) for q, terms in asked if terms for s in range(len(words)) if words[s : s + len(terms)] == terms}
         assert got == expected and expected
     for span in (2, 6):
-        found = positional_index.proximity_matches(index, queries, span, block=9).collect()
+        found = positional_index.proximity_matches(index, queries, span, block_words=30).collect()
         got = {(names[r.segment, r.doc], r.phrase, s, e) for r in found for s, e in zip(r.starts, r.ends)}
         expected = set()
         for i, text in docs:
