@@ -36,7 +36,15 @@ def f3(t):
     return names.select("id", text.normalize_person_name(F.col("full_name")).alias("name"))
 
 
-@query("f3b_person_name_in_any_text")
+_PLAIN = "text"
+for _entity, _sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', {_sign})"
+
+
+@query("f3b_person_name_in_any_text", rf"""
+WITH d AS (SELECT doc_id, trim(regexp_replace({_PLAIN}, '[\s\x0B\x1C-\x1F\x85\xA0\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS tidy FROM documents)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(tidy)), chr(8217), ''''), '^(m(me|lle)?|monsieur|madame|dr)\.?\s+', ''), '[^a-z0-9'' -]', '', 'g'))) AS name FROM d
+""")
 def f3b(t):
     return t.documents.select("doc_id", F.sha2(text.normalize_person_name(F.col("text")), 256).alias("name"))
 
