@@ -230,6 +230,54 @@ def d10(t):
     return out.select("prospect_id", "kind", "value_normalized", "source_class", "publication_state", "confidence_score", "change", "utility_state")
 
 
+@query("d9d_review_suppression", """
+WITH s AS (SELECT CASE WHEN kind = 'email' THEN 'email' ELSE 'person' END AS kind, lower(trim(value_normalized)) AS v, CASE WHEN id % 2 = 0 THEN 'wrong' ELSE 'operator_suppressed' END AS reason FROM s_points WHERE id % 3 <> 1 AND (id + 1) % 5 = 3)
+SELECT kind, v AS value_normalized, min(reason) AS reason FROM s WHERE NOT EXISTS (SELECT 1 FROM s_suppression x WHERE x.kind = s.kind AND x.value_normalized = s.v) GROUP BY 1, 2
+""")
+def d9d(t):
+    asked = contacts.review_suppression(t.s_points, contact_decisions(t))
+    return compliance.add_suppression(t.s_suppression, asked).select("kind", "value_normalized", "reason")
+
+
+@query("d9e_tasks_of_suppressed", """
+SELECT id, CASE WHEN status = 'open' AND origin = 'contact_intelligence' AND prospect_id IN (SELECT prospect_id FROM s_points WHERE id % 3 <> 1 AND (id + 1) % 5 = 3) THEN 'cancelled' ELSE status END AS status FROM s_tasks
+""")
+def d9e(t):
+    return contacts.cancel_suppressed_tasks(t.s_tasks, contact_decisions(t), EVENTS_AS_OF).select("id", "status")
+
+
+_MANUAL = """
+m AS (SELECT ord, prospect_id, kind, value, publication_state FROM s_point_facts WHERE ord % 23 <> 0 AND ord % 29 <> 0 AND ord % 31 <> 0 AND kind IN ('email', 'phone', 'contact_form', 'linkedin')),
+v AS (SELECT *, CASE kind WHEN 'email' THEN lower(trim(trim(value), '.,;:<>[]()"''')) WHEN 'contact_form' THEN replace(value, 'https://C', 'https://c') ELSE value END AS vn FROM m)
+"""
+
+
+@query("d10b_manual_points_of_all_kinds", f"""
+WITH {_MANUAL},
+f AS (SELECT prospect_id, kind, vn, arg_max(publication_state, ord) AS pub FROM v GROUP BY ALL)
+SELECT coalesce(f.prospect_id, b.prospect_id) AS prospect_id, coalesce(f.kind, b.kind) AS kind, coalesce(f.vn, b.value_normalized) AS value_normalized, CASE WHEN f.kind IS NOT NULL THEN 'manual_operator' ELSE source_class END AS source_class,
+  CASE WHEN f.kind IS NULL THEN NULL WHEN b.id IS NULL THEN 'created' ELSE 'updated' END AS change,
+  CASE f.kind WHEN 'phone' THEN 'usable_role' WHEN 'linkedin' THEN 'usable_role' WHEN 'email' THEN 'usable_personal' WHEN 'contact_form' THEN 'usable_generic' ELSE utility_state END AS utility_state
+FROM f FULL OUTER JOIN s_points b ON b.prospect_id = f.prospect_id AND b.kind = f.kind AND b.value_normalized = f.vn
+""")
+def d10b(t):
+    gated = compliance.gate_manual_points(manual_entries(t), international=False)
+    return contacts.add_manual_points(gated, t.s_points).select("prospect_id", "kind", "value_normalized", "source_class", "change", "utility_state")
+
+
+@query("d10c_manual_evidence", f"""
+WITH {_MANUAL},
+p AS (SELECT ord, prospect_id, kind, sha256(CAST(prospect_id AS VARCHAR) || '|manual_operator|https://c' || CAST(prospect_id - prospect_id % 3 AS VARCHAR) || '.example.fr/p|' || kind || '|' || vn) AS fingerprint FROM v)
+SELECT prospect_id, fingerprint, 'manual_' || any_value(kind) AS evidence_type, 'Operator-confirmed ' || any_value(kind) AS excerpt FROM p
+WHERE fingerprint NOT IN (SELECT fingerprint FROM p WHERE ord % 2 = 0) GROUP BY 1, 2
+""")
+def d10c(t):
+    gated = compliance.gate_manual_points(manual_entries(t), international=False)
+    none = t.s_contact_evidence.limit(0).select(F.lit("").alias("fingerprint"))
+    stored = contacts.manual_point_evidence(gated.filter(F.col("ord") % 2 == 0), none)
+    return contacts.manual_point_evidence(gated, stored).select("prospect_id", "fingerprint", "evidence_type", "excerpt")
+
+
 @query("d11_retention", f"""
 WITH last AS ({LAST_EVENT}),
 a AS (SELECT p.*, greatest(coalesce(updated_at, created_at), coalesce(l.event_date, TIMESTAMP '1970-01-01')) AS act FROM s_prospects p LEFT JOIN last l ON l.prospect_id = p.id),

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from leadloom.catalog import query
 from leadloom.catalog.gates import fingerprint_sql
-from leadloom.catalog.scans import LAST_EVENT
+from leadloom.catalog.scans import LAST_EVENT, registry_payloads
 from leadloom.frames import top_per
 from leadloom.operators.activity import current_status
 from leadloom.operators.awards import newest_first
 from leadloom.operators.evidence import normalize_signals
+from leadloom.plays import FIELD_SERVICE
 from leadloom.session import cut_lineage, shared_folder
 from leadloom.sources import adapters, awards, csv_lists, pages, registry, sinks
 from leadloom.standins import EVENTS_AS_OF
@@ -101,6 +102,17 @@ def s1b(t):
     return rows.select("id", "dateAttribution", "codeCPV", "objetMarche", "titulaire_siret", "montant").filter("dateAttribution >= '1996-07-01'")
 
 
+@query("s5b_registry_files", """
+SELECT siren, coalesce(nullif(CASE WHEN sighting % 7 <> 0 THEN company_name END, ''), 'RAISON') AS company_name, count(*) AS n FROM s_registry GROUP BY 1, 2
+""", whole="n")
+def s5b(t):
+    """The register's JSON files, read with its schema."""
+    path = shared_folder(t.spark, "register")
+    registry_payloads(t).drop("sighting").write.json(path)
+    rows = registry.normalize_registry(registry.read_registry(t.spark, path), FIELD_SERVICE)
+    return rows.groupBy("siren", "company_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s3b_csv_import", """
 SELECT 'k' || CAST(id AS VARCHAR) AS linkedin_url, company_name, CASE WHEN id % 10 = 0 THEN 'rejected' ELSE 'good' END AS outcome FROM s_prospects WHERE id % 10 <> 0
 UNION ALL SELECT NULL, NULL, 'rejected' FROM s_prospects WHERE id % 10 = 0

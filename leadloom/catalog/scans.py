@@ -304,3 +304,19 @@ def s15(t):
     return points.select("doc_id", "kind", "value", "publication_state", "confidence", "page_no")
 
 
+@query("s15b_document_mailboxes", """
+SELECT doc_id, arg_max('contact@c' || CAST(doc_id - doc_id % 3 AS VARCHAR) || '.example.fr', page_no) AS value, 'published_generic' AS publication_state, 72 AS confidence, max(page_no) AS page_no
+FROM s_doc_pages WHERE contains(text, ' contact@c') GROUP BY 1
+""", whole="confidence page_no")
+def s15b(t):
+    points, _people = page_ops.document_contacts(t.s_doc_pages)
+    return points.filter("kind = 'email'").select("doc_id", "value", "publication_state", "confidence", "page_no")
+
+
+@query("s15c_document_evidence", """
+SELECT doc_id, page_no, 'published_email' AS evidence_type, 'official_pdf' AS source_adapter, 'contact@c' || CAST(doc_id - doc_id % 3 AS VARCHAR) || '.example.fr' AS contact_value, 'PDF page ' || CAST(page_no AS VARCHAR) AS page_title
+FROM s_doc_pages WHERE contains(text, ' contact@c')
+""", whole="page_no")
+def s15c(t):
+    found = page_ops.document_evidence(t.s_doc_pages).filter("evidence_type = 'published_email'")
+    return found.select("doc_id", "page_no", "evidence_type", "source_adapter", "contact_value", "page_title")

@@ -99,13 +99,6 @@ def validate_enums(rows: DataFrame) -> DataFrame:
     )
 
 
-def require_valid(rows: DataFrame) -> DataFrame:
-    """The same rows; the job fails on the first invalid one."""
-    bad = F.size("failures") > 0
-    checked = F.when(bad, F.raise_error(F.array_join("failures", ", "))).otherwise(F.col("failures"))
-    return rows.withColumn("failures", checked)
-
-
 def drafts_unlocked() -> Column:
     """Only a completed human accept of a reachable prospect unlocks drafts."""
     return (

@@ -297,8 +297,8 @@ def dedupe_evidence(evidence: DataFrame, owner: str, order: str) -> DataFrame:
     return first_per(keyed, [owner, "evidence_type", "source_url", "_what"], [order, "excerpt"]).drop("_what")
 
 
-def document_contacts(doc_pages: DataFrame, max_pages: int | None = None, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(points, people) of paged documents; the last page that names a value wins, its number is kept.
+def _read_documents(doc_pages: DataFrame, max_pages: int | None, max_chars: int | None) -> tuple[DataFrame, DataFrame]:
+    """Points and people of every page of paged documents.
 
     Text is scanned block by block like a page of paragraphs, documents of any
     length are read whole; ``max_pages`` leaves longer documents out, ``max_chars``
@@ -324,12 +324,24 @@ def document_contacts(doc_pages: DataFrame, max_pages: int | None = None, max_ch
         empty_forms.alias("forms"),
         F.array().cast(f"array<{ITEM}>").alias("items"),
     )
-    keys = ("doc_id", "page_no")
-    points = contact_facts(parsed, keys)
-    people = people_facts(parsed, keys)
+    return contact_facts(parsed, DOCUMENT_PAGE), people_facts(parsed, DOCUMENT_PAGE)
+
+
+DOCUMENT_PAGE = ("doc_id", "page_no")
+
+
+def document_contacts(doc_pages: DataFrame, max_pages: int | None = None, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points, people) of paged documents; the last page that names a value wins, its number is kept."""
+    points, people = _read_documents(doc_pages, max_pages, max_chars)
     last_points = first_per(points, ["doc_id", "kind", "value"], [F.desc("page_no")])
     named = people.withColumn("_title", text(F.col("job_title")))
     last_people = first_per(named, ["doc_id", "name_key", "_title"], [F.desc("page_no")]).drop("_title")
     return last_points, last_people
 
 
+def document_evidence(doc_pages: DataFrame, max_pages: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """An evidence row for everything every page of a document says, with the page's number."""
+    points, people = _read_documents(doc_pages, max_pages, max_chars)
+    return evidence_facts(points, people, DOCUMENT_PAGE, adapter="official_pdf")
+
+
