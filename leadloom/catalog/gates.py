@@ -228,6 +228,25 @@ def p16(t):
     return with_safe_url(t.s_site_pages.select("page_id", "url"), "url", international=False).select("page_id", "safe.*")
 
 
+_URL_FORMS = r"""
+SELECT page_id, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN ' ' WHEN 2 THEN 'ftp://' || rest WHEN 3 THEN 'https://user:pw@' || rest WHEN 4 THEN 'https://' || host || ':8080' || tail
+  WHEN 5 THEN 'http://' || upper(host) || ':443' || tail WHEN 6 THEN 'http://10.1.2.' || CAST(page_id % 256 AS STRING) || '/x' WHEN 7 THEN 'http://intranet' || tail ELSE rest END AS url
+FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://(.*)$', 1) AS rest, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS tail FROM """
+
+
+@query("p16b_url_rules", rf"""
+WITH given AS ({_URL_FORMS} s_site_pages) p),
+parts AS (SELECT page_id, page_id % 9 AS form, lower(regexp_extract(url, '^(?:[a-z]+://)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '^(?:[a-z]+://)?[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q,
+  CASE WHEN url LIKE 'http://%' THEN 'http' ELSE 'https' END AS scheme FROM given)
+SELECT page_id, CASE form WHEN 1 THEN 'empty_url' WHEN 2 THEN 'unsupported_scheme' WHEN 3 THEN 'embedded_credentials' WHEN 4 THEN 'port_not_allowed' WHEN 6 THEN 'non_public_address' WHEN 7 THEN 'blocked_hostname' END AS reason,
+  CASE WHEN form IN (0, 5, 8) THEN host END AS host,
+  CASE WHEN form IN (0, 5, 8) THEN scheme || '://' || host || CASE WHEN form = 5 THEN ':443' ELSE '' END || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url FROM parts
+""")
+def p16b(t):
+    given = t.spark.sql(_URL_FORMS.replace("'^", "r'^") + "{pages}) p", pages=t.s_site_pages)
+    return with_safe_url(given, "url", international=False).select("page_id", "safe.reason", "safe.host", "safe.url")
+
+
 @query("p17_same_host", """
 SELECT a.page_id, a.host = regexp_replace(lower(split_part(regexp_replace(p.website, '^https?://', ''), '/', 1)), '^www[.]', '') AS same
 FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '') AS host FROM s_site_pages) a
