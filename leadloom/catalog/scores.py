@@ -119,8 +119,7 @@ def m8(t):
     return scored(t).select("id", "readiness_state", F.array_join("readiness_failures", "; ").alias("failures"))
 
 
-@query("m9_explanations", f"""
-WITH {SCORED}
+EXPLAINED = f"""
 SELECT id, CASE WHEN regexp_matches(title, 'gérant|gerant|président|president|fondateur|dirigeant') THEN 'gerant_owner' WHEN a0 = 90 THEN 'operations' WHEN a0 = 80 THEN 'service_maintenance'
     WHEN a0 = 70 THEN 'admin_finance' WHEN a0 = 60 THEN 'commercial' ELSE 'gerant_owner' END AS recommended_buyer_role,
   CASE WHEN regexp_matches(blob, '{sql_regex(fixed.PAIN_KEYWORDS)}') THEN 'Explicit manual/workflow language in notes or details'
@@ -130,7 +129,10 @@ SELECT id, CASE WHEN regexp_matches(title, 'gérant|gerant|président|president|
   coalesce(nullif(concat_ws('; ', CASE WHEN recent > 0 THEN CAST(recent AS VARCHAR) || ' recent public award(s)' END, CASE WHEN awards >= 2 THEN 'Multiple awards in window' END,
     (SELECT string_agg(s.label, '; ' ORDER BY s.id) FROM sig s WHERE s.prospect_id = scored.id AND s.category = 'trigger' AND s.label <> '')), ''), 'No strong timing trigger yet — research required') AS why_now
 FROM scored
-""")
+"""
+
+
+@query("m9_explanations", f"WITH {SCORED} {EXPLAINED}")
 def m9(t):
     return scored(t).select("id", "recommended_buyer_role", "suspected_pain", "why_now")
 
@@ -148,6 +150,32 @@ def m9b(t):
     return scored(t).select("id", F.array_join("badges", "|").alias("badges"))
 
 
+@query("m9c_reasons", f"""
+WITH {SCORED}, told AS ({EXPLAINED})
+SELECT s.id, concat_ws('|', CASE fit0 WHEN 5 THEN 'Excluded NAF (software/digital) — not target buyer' WHEN 85 THEN 'NAF ' || naf || ' matches field-service play' WHEN 40 THEN 'NAF ' || naf || ' adjacent / unverified for play' END,
+  CASE WHEN company_size IN ('11-50', '51-200') THEN 'Headcount in mid-market service sweet spot' END,
+  CASE WHEN regexp_matches(blob, '{sql_regex(fixed.PAIN_KEYWORDS)}') THEN 'Pain from explicit workflow evidence (Excel/paper/WhatsApp/double entry…)' END,
+  CASE WHEN NOT (regexp_matches(blob, '{sql_regex(fixed.PAIN_KEYWORDS)}') OR pain_ev IS NOT NULL OR pain_rev) THEN 'Suspected pain is hypothesis only — does not satisfy pain gate' END,
+  CASE WHEN recent > 0 THEN 'Public award = timing/capacity signal, not proof of software need' END, CASE WHEN a0 > 15 THEN 'Title matches preferred buyer role (' || told.recommended_buyer_role || ')' END,
+  CASE cc WHEN 'generic' THEN 'Generic role email is not person-matched — LinkedIn-first or research' WHEN 'guessed' THEN 'Guessed/pattern email is not email-contact-ready' END) AS reasons
+FROM scored s JOIN told USING (id)
+""")
+def m9c(t):
+    return scored(t).select("id", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("m9d_brief", f"""
+WITH {SCORED}, told AS ({EXPLAINED})
+SELECT s.id, 'Observed: ' || coalesce(company_name, 'Company') || CASE WHEN naf <> '' THEN ' (NAF ' || naf || ')' ELSE '' END || chr(10) || 'Why now: ' || told.why_now || chr(10) || 'Pain status: ' || coalesce(nullif(told.suspected_pain, ''), 'none verified')
+  || ' (score=' || CAST(CAST(pain AS BIGINT) AS VARCHAR) || '; hypothesis≠evidence)' || chr(10) || 'Buyer role: ' || told.recommended_buyer_role || chr(10) || 'Offer: {FIELD_SERVICE.offer_name or "None"}' || chr(10)
+  || 'Safe first line: reference a real award/object or multi-site ops — do not invent internal tools.' || chr(10) || 'Do not claim: that they lack software, or that an award proves budget for custom software.' || chr(10)
+  || 'CTA: short diagnostic call on intervention/planning flow.' AS brief
+FROM scored s JOIN told USING (id)
+""")
+def m9d(t):
+    return scored(t).select("id", F.col("personalization_brief").alias("brief"))
+
+
 @query("m10_code_score", """
 WITH c AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS mb, c_custkey % 3 = 0 AS rc, c_custkey % 5 = 0 AS oc, c_custkey % 7 <> 0 AS buyer, c_custkey % 4 <> 0 AS contact, c_custkey % 11 = 0 AS dead FROM customer)
 SELECT id, CAST(CASE WHEN dead THEN 0 ELSE 40 + CASE WHEN mb THEN 15 ELSE 0 END + CASE WHEN rc THEN 15 ELSE 0 END + CASE WHEN oc THEN 10 ELSE 0 END + CASE WHEN buyer THEN 10 ELSE 0 END
