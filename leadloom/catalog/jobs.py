@@ -306,7 +306,7 @@ def d12(t):
     return out.select("id", "company_name", "siret", "email", "contact_confidence", "contact_discovery_state")
 
 
-@query("d13_contact_waterfall", f"""
+D13 = f"""
 WITH b AS (SELECT id, 'c' || CAST(id - id % 3 AS VARCHAR) || '.example.fr' AS d, siren, CASE WHEN id % 4 = 0 THEN 'sales@c' || CAST(id - id % 3 AS VARCHAR) || '.example.fr' END AS h FROM s_prospects WHERE id % 9 <> 0),
 c AS (SELECT id, h AS email, 0 AS pr FROM b WHERE h IS NOT NULL UNION ALL SELECT id, u.l || '@' || d, u.p FROM b, (VALUES ('jean.martin', 1), ('j.martin', 2), ('jeanmartin', 3), ('martin.jean', 4), ('jean_martin', 5), ('jmartin', 6), ('martinj', 7), ('martin', 8), ('jean', 9)) u(l, p)
   UNION ALL SELECT id, r.l || '@' || d, 20 + r.i FROM b, (VALUES {", ".join(f"('{role}', {i})" for i, role in enumerate(fixed.ROLE_LOCAL_PARTS))}) r(l, i)),
@@ -319,16 +319,23 @@ SELECT p.id, coalesce(n.candidates, 0) AS candidates, coalesce(m.checked, 0) AS
   CASE WHEN coalesce(best.email, b.h) IS NULL THEN 'none' WHEN best.confidence IN ('deliverable', 'catch_all') THEN 'reacher' WHEN coalesce(best.email, b.h) = b.h THEN 'theharvester' ELSE 'reacher' END AS contact_source,
   CASE WHEN coalesce(best.email, b.h) IS NULL THEN 'needs_review' WHEN best.email IS NULL THEN 'unverified' ELSE best.confidence END AS contact_confidence
 FROM s_prospects p LEFT JOIN b USING (id) LEFT JOIN n USING (id) LEFT JOIN m USING (id) LEFT JOIN best USING (id)
-""", whole="candidates checked")
-def d13(t):
+"""
+
+
+def waterfall(t):
+    """A mailbox search for every prospect."""
     k = F.col("id")
     host = F.concat(F.lit("c"), (k - k % 3).cast("string"), F.lit(".example.fr"))
     people = t.s_prospects.select(
         "id", "siren", F.when(k % 9 != 0, host).alias("domain"), F.lit("Jean").alias("first_name"), F.lit("Martin").alias("last_name")
     )
     harvested = t.s_prospects.filter((k % 4 == 0) & (k % 9 != 0)).select("id", F.array(F.concat(F.lit("sales@"), host)).alias("harvested"))
-    out = contacts.contact_waterfall(people, t.s_verdicts, harvested, t.s_suppression)
-    return out.select("id", "candidates", "checked", "best_email", "contact_source", "contact_confidence")
+    return contacts.contact_waterfall(people, t.s_verdicts, harvested, t.s_suppression)
+
+
+@query("d13_contact_waterfall", D13, whole="candidates checked")
+def d13(t):
+    return waterfall(t).select("id", "candidates", "checked", "best_email", "contact_source", "contact_confidence")
 
 
 def award_job(t) -> ingest.Ingested:

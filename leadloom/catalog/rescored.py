@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from leadloom.catalog import query
 from leadloom.catalog.contacts import POINT_RANKS
 from leadloom.catalog.gates import GATED, REVIEW_ERRORS
+from leadloom.catalog.jobs import D13, waterfall
 from leadloom.catalog.merges import _DISCOVERED
 from leadloom.catalog.scans import LABELLED
 from leadloom.catalog.scores import SCORED
@@ -234,3 +235,13 @@ def u5c(t):
     stored = snapshots.read_table(t.spark, path)
     snapshots.merge_rows(path, change(stored.filter("id % 50 = 7 AND id % 60 <> 11"), "Nantes", 3), stored.filter("id % 60 = 11"))
     return snapshots.read_table(t.spark, path).select("id", "city", "written_by")
+
+
+@query("d13b_waterfall_scored", f"""
+WITH w AS ({D13}),
+changed_rows AS (SELECT p.* REPLACE (w.contact_source AS contact_source, w.contact_confidence AS contact_confidence, 'guessed' AS contact_discovery_state, TRUE AS needs_manual_review) FROM s_prospects p JOIN w ON w.id = p.id),
+{over_changed()}
+SELECT w.id, s.email, s.contact_confidence, {RESULT} FROM s_prospects w JOIN scored s ON s.id = w.id
+""", whole=WHOLE)
+def d13b(t):
+    return shown(rescore.apply_waterfall(t.s_prospects, waterfall(t), facts(t), FIELD_SERVICE, HISTORY_AS_OF), "email", "contact_confidence")

@@ -145,3 +145,15 @@ def project_contacts(prospects: DataFrame, people: DataFrame, points: DataFrame,
     own = contacts.project_primary(mine, people.join(ids, "prospect_id", "left_semi"), points.join(ids, "prospect_id", "left_semi"))
     both = own.unionByName(prospects.join(keys, "id", "left_anti"), allowMissingColumns=True)
     return Written(rescore(both, keys, facts, play, as_of))
+
+
+def apply_waterfall(prospects: DataFrame, outcome: DataFrame, facts: Facts, play: Play, as_of: AsOf) -> Written:
+    """Prospects after a mailbox search (rows of ``contact_waterfall``): a sendable mailbox is set, its state copied, then scored.
+
+    A search that found nothing to send to leaves the stored mailbox.
+    """
+    found = outcome.select(
+        "id", F.col("email_to_set").alias("email"), "contact_source", "contact_confidence", "contact_discovery_state", "needs_manual_review",
+        F.col("email_to_set").isNotNull().alias("set_email"),
+    )
+    return Written(rescore(update_prospects(prospects, found), found, facts, play, as_of))
