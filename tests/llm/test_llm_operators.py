@@ -414,3 +414,44 @@ def test_near_crowd_around_the_bar(spark, monkeypatch):
     got = {r.id: (r.n_shingles, r.component_id) for r in minhash_hamming.near_duplicates(df).collect()}
     assert got == expected
     assert len({c for _, c in expected.values()}) > 5 and made and 0 < made[0][1] < made[0][0]
+
+
+def test_straight_chains_agree_with_the_alignment():
+    """What the place-by-place comparison tells is what aligning tells; the rest is left to be aligned."""
+    rng = random.Random(12)
+    seed, margin = chain_dedup.SEED, chain_dedup.MARGIN
+    chains = []
+    for _ in range(300):
+        length = rng.choice([8, 30, 40, 41, 60, 120])
+        core = [rng.randint(0, 10**6) for _ in range(length)]
+        other = list(core)
+        for at in rng.sample(range(length), rng.choice([0, 0, 1, 2, length // 9])):
+            other[at] = -1 - at
+        if rng.random() < 0.2:
+            cut = rng.randint(1, length - 1)
+            other = other[:cut] + [rng.randint(0, 10**6)] * rng.randint(1, 2) + other[cut:]
+        before, after = rng.randint(0, 90), rng.randint(0, 90)
+        a = [rng.randint(0, 40) for _ in range(before)] + core + [rng.randint(0, 40) for _ in range(after)]
+        b = [rng.randint(50, 90) for _ in range(rng.randint(0, 90))]
+        start = len(b)
+        b = b + other + [rng.randint(50, 90) for _ in range(rng.randint(0, 90))]
+        seeds = [(before + k, start + k) for k in range(min(length, len(other)) - seed + 1) if core[k : k + seed] == other[k : k + seed]]
+        if seeds:
+            kept = chain_dedup.thinned([p for p, _ in seeds], [q for _, q in seeds])
+            chains.append((a, b, *kept))
+    cut = lambda words, at: words[max(at[0] - margin, 0) : at[-1] + seed + margin]
+    packed = lambda lists: (np.concatenate([np.array(x, np.int32) for x in lists]), np.array([len(x) for x in lists]))
+    lists = [packed([c[2] for c in chains]), packed([c[3] for c in chains]), packed([cut(c[0], c[2]) for c in chains]), packed([cut(c[1], c[3]) for c in chains])]
+    rows, told, left = chain_dedup.straight(*lists, 40, 80)
+    told = {int(r): tuple(t) for r, t in zip(rows, told.tolist())}
+    assert len(told) > 60 and len(told) + len(left) < len(chains)
+    for k, (a, b, at, ref) in enumerate(chains):
+        if k in left:
+            continue
+        low, ref_low = max(at[0] - margin, 0), max(ref[0] - margin, 0)
+        x, y = cut(a, at), cut(b, ref)
+        parts = chain_dedup.alike_parts(x, y, chain_dedup.equal_runs(x, y, [p - low for p in at], [q - ref_low for q in ref]), 40, 80)
+        parts = [(s + low, e + low, rs + ref_low, re + ref_low, m) for s, e, rs, re, m in parts]
+        assert len(parts) == (k in told), k
+        # past a word put in or left out, fewer than three equal words are not looked for
+        assert not parts or max(abs(x - y) for x, y in zip(parts[0], told[k])) <= chain_dedup.ANCHOR + 1, k
