@@ -7,7 +7,8 @@ no key with a probability of 1.5e-8, one at 0.8 with 1.6e-6.
 
 Pairs that share a key are not enumerated where many documents do.  Small buckets give their pairs; in larger ones each
 member is first confirmed against one hub.  What then still falls into several components is compared on the full sets
-block by block inside tasks, and only links leave them.  Every step is exact, whatever the size of a bucket.
+block by block inside tasks; only links that join components leave them, so a crowd gives fewer links than it has members.
+Every step is exact, whatever the size of a bucket.
 
 Nodes of the graph are distinct shingle sets, so copies meet only in a combined count.
 """
@@ -35,7 +36,7 @@ CHUNKS, CHUNK, ERRORS = 10, 5, 1
 POSITIONS = 128
 #: Buckets up to this size give all their pairs; larger ones go by hub and block. Results are the same either way.
 SMALL = 16
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 MARK_BUCKETS = 1 << 20
 
 
@@ -130,13 +131,18 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _signature_bar(percent: int) -> int:
+    """Equal positions a pair at the threshold surely has: more than five standard deviations under the mean."""
+    p = percent / 100
+    return int(POSITIONS * p - 5.2 * (POSITIONS * p * (1 - p)) ** 0.5)
+
+
 def likely_pairs(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs whose signatures do not rule the similarity out.
 
-    The number of equal positions is binomial; the bar lies more than five standard deviations under the threshold.
+    The number of equal positions is binomial.
     """
-    p = percent / 100
-    bar = int(POSITIONS * p - 5.2 * (POSITIONS * p * (1 - p)) ** 0.5)
+    bar = _signature_bar(percent)
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
@@ -160,46 +166,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.filter(100 * shared >= percent * union).select("a", "b")
 
 
+def _bits(values: list[np.ndarray]) -> np.ndarray:
+    """A row of bits per list, one bit for each value that several lists hold; the others are in no intersection."""
+    owners = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    _, code, seen = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = seen[code] > 1
+    code, owners = np.unique(code[shared], return_inverse=True)[1], owners[shared]
+    bits = np.zeros((len(values), (int(code.max()) + 64) // 64 if len(code) else 1), np.uint64)
+    np.bitwise_or.at(bits, (owners, code // 64), np.uint64(1) << (code % 64).astype(np.uint64))
+    return bits
+
+
 def _block_links(percent: int):
-    """All links between members of two blocks (or inside one) that lie in different components."""
+    """Links that join the components of a group: of members of two blocks across these, of one block among themselves.
+
+    A pair is compared in the least key that both share, and only while its components are apart, so a group of m rows
+    gives m - 1 links at most.
+    """
+    bar = _signature_bar(percent)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(s, np.int64) for s in group["shingles"]]
-        sizes = np.array([len(s) for s in sets])
-        tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        _, code, seen = np.unique(tokens, return_inverse=True, return_counts=True)
-        shared = seen[code] > 1  # a shingle of one member alone is in no intersection
-        code, owners = np.unique(code[shared], return_inverse=True)[1], owners[shared]
-        n_words = (int(code.max()) + 64) // 64 if len(code) else 1
-        bits = np.zeros((len(sets), n_words), np.uint64)
-        np.bitwise_or.at(bits, (owners, code // 64), np.uint64(1) << (code % 64).astype(np.uint64))
+        sets, key = [np.asarray(s, np.int64) for s in group["shingles"]], group["key"].iloc[0]
+        sizes, block = np.array([len(s) for s in sets]), group["block"].to_numpy()
+        across = group["low"].iloc[0] != group["high"].iloc[0]
+        bits, earlier = _bits(sets), _bits([np.asarray(k, np.int64)[np.asarray(k, np.int64) < key] for k in group["keys"]])
+        sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, POSITIONS)
         labels, nodes = pd.factorize(group["label"])[0], group["node"].to_numpy()
         found: list[tuple[bytes, bytes]] = []
         for i in range(len(sets) - 1):
             others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+            if across:
+                others = others[block[others] != block[i]]
             others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+            others = others[(sigs[others] == sigs[i]).sum(axis=1) >= bar]
+            others = others[~(earlier[others] & earlier[i]).any(axis=1)]
             if not len(others):
                 continue
             mine = np.flatnonzero(bits[i])
             common = np.bitwise_count(bits[np.ix_(others, mine)] & bits[i, mine]).sum(axis=1).astype(np.int64)
             for j in others[100 * common >= percent * (sizes[others] + sizes[i] - common)]:
-                found.append((nodes[i], nodes[j]))
+                if labels[i] != labels[j]:
+                    found.append((nodes[i], nodes[j]))
+                    labels[labels == labels[j]] = labels[i]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links inside buckets between members of different components: ``key, node, label`` rows in blocks of ``BLOCK``.
+def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links that join components inside buckets: ``key, node, label`` rows in blocks of about ``BLOCK`` members.
 
-    A bucket of m members makes (m / BLOCK) squared / 2 block pairs, each a task of bounded size.
+    Blocks hold about ``BLOCK_SHINGLES`` shingles at most, so long texts make smaller ones.  A bucket of m members makes
+    (m / BLOCK) squared / 2 block pairs, each a task of bounded size.  Of keys with the same members one is kept.
     """
-    counted = stage(members.groupBy("key").agg(F.count("*").alias("size")), "block-sizes")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    mine = members.join(counted, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    weighed = members.join(nodes.select("node", "n", "sig"), "node")
+    alike = F.struct(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).alias("members")
+    counted = weighed.groupBy("key").agg(alike, F.count("*").alias("size"), F.sum("n").alias("words"))
+    counted = counted.groupBy("members").agg(F.min(F.struct("key", "size", "words")).alias("one")).select("one.*")
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("words") / F.lit(BLOCK_SHINGLES))).cast("int")
+    counted = stage(counted.select("key", blocks.alias("blocks")), "block-sizes")
+    mine = stage(weighed.join(counted, "key"), "block-members")
+    keys = mine.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a node has at most as many as chunk keys
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     paired = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = paired.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label")
-    filled = cells.join(sets, "node")
+    cells = paired.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sig")
+    filled = cells.join(sets, "node").join(keys, "node")
     return filled.groupBy("key", "low", "high").applyInPandas(_block_links(percent), "a binary, b binary").distinct()
 
 
@@ -228,7 +259,7 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, id_col:
     labelled = large.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     labelled = stage(labelled, "near-labelled")
     torn = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    more = stage(block_links(labelled.join(stage(torn, "near-torn"), "key"), sets, percent), "near-more")
+    more = stage(block_links(labelled.join(stage(torn, "near-torn"), "key"), sets, nodes, percent), "near-more")
     if more.isEmpty():
         return groups
     # components of components: the links found last lead from one to another

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
