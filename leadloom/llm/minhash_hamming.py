@@ -214,24 +214,30 @@ def _block_links(percent: int):
 
 
 def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links that join components inside buckets: ``key, node, label`` rows in blocks of about ``BLOCK`` members.
+    """Links that join components inside buckets: ``key, node, n, label`` rows in blocks of about ``BLOCK`` members.
 
-    Blocks hold about ``BLOCK_SHINGLES`` shingles at most, so long texts make smaller ones.  A bucket of m members makes
-    (m / BLOCK) squared / 2 block pairs, each a task of bounded size.  Of keys with the same members one is kept.
+    Blocks hold about ``BLOCK_SHINGLES`` shingles at most, so long texts make smaller ones.  The members of a bucket's largest
+    component, its base, are not compared with one another: a bucket of m members, o of them outside its base, makes about
+    (m / BLOCK) * (o / BLOCK) block pairs, each a task of bounded size.  Of keys with the same members one is kept.
     """
-    weighed = members.join(nodes.select("node", "n", "sig"), "node")
-    alike = F.struct(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).alias("members")
-    counted = weighed.groupBy("key").agg(alike, F.count("*").alias("size"), F.sum("n").alias("words"))
-    counted = counted.groupBy("members").agg(F.min(F.struct("key", "size", "words")).alias("one")).select("one.*")
-    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("words") / F.lit(BLOCK_SHINGLES))).cast("int")
-    counted = stage(counted.select("key", blocks.alias("blocks")), "block-sizes")
-    mine = stage(weighed.join(counted, "key"), "block-members")
-    keys = mine.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a node has at most as many as chunk keys
-    mine = mine.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    paired = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = paired.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sig")
-    filled = cells.join(sets, "node").join(keys, "node")
-    return filled.groupBy("key", "low", "high").applyInPandas(_block_links(percent), "a binary, b binary").distinct()
+    weights = F.count("*").alias("size"), F.sum("n").alias("words"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
+    alike = F.struct(F.sum("size").alias("size"), F.sum("sum").alias("sum")).alias("members")
+    base = F.max(F.struct("size", "words", "label")).alias("base")
+    counted = members.groupBy("key", "label").agg(*weights).groupBy("key").agg(alike, base, F.sum("size").alias("size"), F.sum("words").alias("words"))
+    counted = counted.groupBy("members").agg(F.min(F.struct("key", "base", "size", "words")).alias("one")).select("one.*")
+    blocks = lambda size, words: F.ceil(F.greatest(size / F.lit(BLOCK), words / F.lit(BLOCK_SHINGLES))).cast("int")
+    rest = blocks(F.col("size") - F.col("base.size"), F.col("words") - F.col("base.words"))
+    counted = stage(counted.select("key", F.col("base.label").alias("base"), blocks(F.col("base.size"), F.col("base.words")).alias("base_blocks"), rest.alias("blocks")), "block-sizes")
+    # a node has at most as many keys as chunk keys, and meets its signature and set once for all of them
+    of_node = members.join(counted, "key").groupBy("node").agg(F.min("label").alias("label"), F.collect_list(F.struct("key", "base", "base_blocks", "blocks")).alias("of"))
+    filled = of_node.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    spread = filled.select("node", "label", "sig", "shingles", F.col("of.key").alias("keys"), F.explode("of").alias("at")).select("*", "at.*")
+    in_base, place = F.col("label") == F.col("base"), F.xxhash64("node", "key")
+    block = F.when(in_base, F.pmod(place, "base_blocks")).otherwise(F.col("base_blocks") + F.pmod(place, "blocks")).cast("int")
+    others = F.sequence(F.when(in_base, F.col("base_blocks")).otherwise(0), F.col("base_blocks") + F.col("blocks") - 1)
+    paired = spread.withColumn("block", block).withColumn("other", F.explode(others))
+    cells = paired.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "sig", "shingles", "keys")
+    return cells.groupBy("key", "low", "high").applyInPandas(_block_links(percent), "a binary, b binary").distinct()
 
 
 def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +262,7 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, id_col:
     links = stage(confirmed(likely, sets, percent), "near-links")
     groups = stage(components(links), "near-groups")
 
-    labelled = large.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    labelled = large.select("key", "node", "n").join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     labelled = stage(labelled, "near-labelled")
     torn = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     more = stage(block_links(labelled.join(stage(torn, "near-torn"), "key"), sets, nodes, percent), "near-more")

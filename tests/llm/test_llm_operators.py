@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
@@ -416,6 +417,25 @@ def test_near_crowd_around_the_bar(spark, monkeypatch):
     assert len({c for _, c in expected.values()}) > 5 and made and 0 < made[0][1] < made[0][0]
 
 
+def test_near_blocks_leave_a_component_apart_from_itself(spark, monkeypatch):
+    """One component of 400 and three outside it: its members go to blocks of these only, once each, and not once per block."""
+    monkeypatch.setattr(minhash_hamming, "BLOCK", 20)
+
+    def counting(percent):
+        return lambda group: pd.DataFrame([(f"{group['key'].iloc[0]} {group['low'].iloc[0]} {group['high'].iloc[0]}".encode(), str(len(group)).encode())], columns=["a", "b"])
+
+    monkeypatch.setattr(minhash_hamming, "_block_links", counting)
+    name = lambda i: i.to_bytes(16, "big")
+    crowd = [(name(i), name(0) if i < 400 else name(i)) for i in range(403)]
+    members = spark.createDataFrame([(k, n, 5, label) for k in (1, 2) for n, label in crowd[k - 1 :]], "key long, node binary, n int, label binary")
+    sets = spark.createDataFrame([(n, [1]) for n, _ in crowd], "node binary, shingles array<long>")
+    nodes = spark.createDataFrame([(n, 5, bytes(128)) for n, _ in crowd], "node binary, n int, sig binary")
+    sent = [(r.a.decode().split()[0], int(r.b)) for r in minhash_hamming.block_links(members, sets, nodes).collect()]
+    for key, m in (("1", 403), ("2", 402)):
+        rows = sum(size for k, size in sent if k == key)
+        assert m <= rows <= m + 3 * 20
+
+
 def test_straight_chains_agree_with_the_alignment():
     """What the place-by-place comparison tells is what aligning tells; the rest is left to be aligned."""
     rng = random.Random(12)
