@@ -338,6 +338,24 @@ def test_equal_runs_and_parts():
         assert all(100 * p[4] >= 80 * max(p[1] - p[0], p[3] - p[2]) and min(p[1] - p[0], p[3] - p[2]) >= 10 for p in told)
 
 
+@pytest.mark.parametrize("others", [10, 30])
+def test_fuzzy_passages_whose_seeds_stand_elsewhere_too(spark, others):
+    """Two documents share a passage but for two words; each of its sentences stands first in many others."""
+    rng = random.Random(21)
+    texts, want = [], set()
+    for _ in range(8):
+        stock = [prose(rng, 25) for _ in range(3)]
+        texts += [" ".join([prose(rng, 30), sentence, prose(rng, 30)]) for sentence in stock for _ in range(others)]
+        texts += [" ".join([prose(rng, 30), stock[0], prose(rng, 1), stock[1], prose(rng, 1), stock[2], prose(rng, 30)]) for _ in range(2)]
+        want.add((len(texts) - 1, len(texts) - 2))
+    found = chain_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r.id, r.ref_id) for r in found.collect()} == want
+    sides = chain_dedup.both_sides(found).collect()
+    assert {(r.id, r.ref_id) for r in sides} == want | {(b, a) for a, b in want}
+    for r in sides:
+        assert abs(r.start_word - 30) <= 1 and abs(r.end_word - 107) <= 1 and r.matches >= 75
+
+
 def test_chain_is_the_best(spark):
     rng = random.Random(9)
     for _ in range(30):
