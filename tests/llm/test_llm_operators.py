@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -16,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import plain
 from leadloom.llm import bpe_automaton, catalog, chain_dedup, entropy_secrets, exact_dedup, minhash_hamming, mixing, perspectives, pii_patterns, robust_quality, virtual_slots
+from leadloom.llm.word_hashes import WordHasher, by_text, hashes_of_all
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
@@ -493,3 +495,36 @@ def test_straight_chains_agree_with_the_alignment():
         assert len(parts) == (k in told), k
         # past a word put in or left out, fewer than three equal words are not looked for
         assert not parts or max(abs(x - y) for x, y in zip(parts[0], told[k])) <= chain_dedup.ANCHOR + 1, k
+
+
+def test_ends_without_two_equal_words_in_a_row_are_not_aligned():
+    """Past a run of equal words, edits cannot pay where no two equal words in a row are left: few comparisons tell so."""
+    compared = 0
+
+    class Word(int):
+        __hash__ = int.__hash__
+
+        def __eq__(self, other):
+            nonlocal compared
+            compared += 1
+            return int(self) == int(other)
+
+    a, b = [Word(k) for k in range(70)], [Word(k if k < 6 or k % 4 == 0 else -k) for k in range(70)]
+    assert chain_dedup._extend(a, b) == [(0, 0, 6)] and compared < 40
+    assert chain_dedup._extend(a, b[:6] + [Word(-1)] + b[6:12]) == [(0, 0, 6)]
+    assert chain_dedup._extend(a, a[:6] + [Word(-1)] + a[6:]) == [(0, 0, 6), (6, 7, 64)]
+    assert chain_dedup._extend(a, a[:9]) == [(0, 0, 9)] and chain_dedup._extend([], a) == chain_dedup._extend(a[1:], b[30:]) == []
+
+
+def test_words_and_seeds_of_many_texts_at_once():
+    rng = random.Random(17)
+    texts = ["", " \t\n ", "One", " É\x85z\x0bA\u2003b\x1c c ", *(" ".join(rng.choice("abcd") for _ in range(n)) for n in range(50)), *(prose(rng, n) for n in (7, 8, 23, 24, 300, 2000))]
+    for some in (texts, texts[:2], texts[4:14], [*texts[::-1], ""], [" ".join(texts) + " "]):
+        each = [WordHasher().of(t) for t in some]
+        flat, sizes = hashes_of_all(pa.array(some))
+        assert sizes.tolist() == [len(h) for h in each] and flat.tolist() == np.concatenate(each).tolist()
+        assert [h.tolist() for h in by_text(flat, sizes)] == [h.tolist() for h in each]
+        seeds, places, counts = chain_dedup.seeds_of_all(flat, sizes)
+        want = [chain_dedup.sampled_seeds(h) for h in each]
+        assert counts.tolist() == [len(w[0]) for w in want]
+        assert seeds.tolist() == [x for w in want for x in w[0].tolist()] and places.tolist() == [x for w in want for x in w[1].tolist()]
