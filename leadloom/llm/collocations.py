@@ -15,11 +15,11 @@ is frequent goes unmarked.  A larger corpus wants more bits (``filter_bits``); t
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,7 +32,6 @@ from leadloom.session import stage
 LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 CHUNK = 1 << 20
-VOCABULARY = 200_000
 #: Counted fingerprints keep this many bits, to shuffle less; chance matches among them only mark phrases that then fail.
 KEY_BITS = 40
 FILTER_BITS = 27
@@ -47,27 +46,6 @@ CLEANED = bytes(
 )
 
 
-class Numbers(dict):
-    """Words numbered as they come; 0 is the empty word, 1 the end of a piece."""
-
-    def __init__(self) -> None:
-        super().__init__({b"": 0, BREAK: 1})
-        self.words, self.hashes = [b"", BREAK], array("Q", [0, 0])
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.words)
-        self.words.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return number
-
-    def of(self, text: bytes) -> np.ndarray:
-        """Numbers of the words and piece ends of a text; an end stands behind its last word."""
-        words = text.translate(CLEANED).replace(BREAK, b" \n ").split(b" ")
-        words.append(BREAK)
-        found = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return found[found > 0]
-
-
 class Powers:
     """Powers of the base and its inverse modulo 2**64, as many as were needed so far."""
 
@@ -84,16 +62,25 @@ class Powers:
 class Chunk:
     """Words of some documents in a row, with the fingerprints of their n-grams."""
 
-    def __init__(self, found: list[np.ndarray], langs: list[str], ids: list, numbers: Numbers, powers: Powers) -> None:
-        self.langs, self.ids, self.numbers = langs, ids, numbers
-        self.ids_of = np.concatenate(found)
-        self.doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
-        hashes = np.frombuffer(numbers.hashes.tobytes(), np.uint64)[self.ids_of]
+    def __init__(self, texts: list[bytes], langs: list[str], ids: list, powers: Powers) -> None:
+        self.langs, self.ids = langs, ids
+        # cleaned texts end with a space, so a text has as many places as spaces; two spaces in a row make an empty word
+        encoded = pc.split_pattern(pa.array([b"".join(texts)[:-1]], pa.large_binary()), " ").flatten().dictionary_encode()
+        self.words = encoded.dictionary.to_pylist()
+        places, end = encoded.indices.to_numpy(), self.words.index(BREAK)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [t.count(b" ") for t in texts])
+        if b"" in self.words:
+            real = places != self.words.index(b"")
+            places, doc = places[real], doc[real]
+        self.ids_of, self.doc, self.is_end = places, doc, places == end
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, self.words)), ">u8").astype(np.uint64)[places]
         self.up, down = powers.reach(len(hashes))
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down, dtype=np.uint64)])
+        hashes *= down
+        self.prefix = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes, out=self.prefix[1:])
         # words up to the next piece end, from every place; each text ends with one
-        ends, place = np.flatnonzero(self.ids_of == 1).astype(np.int32), np.arange(len(hashes), dtype=np.int32)
-        self.room = ends[np.searchsorted(ends, place)] - place
+        ends = np.flatnonzero(self.is_end).astype(np.int32)
+        self.room = np.repeat(ends, np.diff(ends, prepend=np.int32(-1))) - np.arange(len(places), dtype=np.int32)
         self.salt = np.array([xxhash.xxh64_intdigest(lang, 1) for lang in langs], np.uint64)
 
     def starts(self, n: int) -> np.ndarray:
@@ -106,26 +93,31 @@ class Chunk:
         return mixed((polynomial ^ self.salt[self.doc[at]]) * SPREAD + np.uint64(n)) >> np.uint64(64 - KEY_BITS)
 
 
+def cleaned(text: bytes) -> bytes:
+    """Words and piece ends of a text, a space behind each; an end stands behind its last word."""
+    return text.translate(CLEANED).replace(BREAK, b" \n ") + b" \n "
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[Chunk]:
     """Chunks of about ``size`` words; a longer text is a chunk of its own."""
-    numbers, powers = Numbers(), Powers()
-    found: list[np.ndarray] = []
+    powers = Powers()
+    texts: list[bytes] = []
     langs: list[str] = []
     ids: list = []
     held = 0
     for batch in parts(batches, 64):
         for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("id", "lang", "text"))):
-            found.append(numbers.of(text))
+            texts.append(cleaned(text))
             langs.append(lang)
             ids.append(doc)
-            held += len(found[-1])
+            held += texts[-1].count(b" ") - texts[-1].count(b"  ")
             if held >= size:
-                yield Chunk(found, langs, ids, numbers, powers)
-                found, langs, ids, held = [], [], [], 0
-                if len(numbers) > VOCABULARY:
-                    numbers = Numbers()
-    if found:
-        yield Chunk(found, langs, ids, numbers, powers)
+                chunk = Chunk(texts, langs, ids, powers)
+                texts, langs, ids, held = [], [], [], 0
+                yield chunk
+                del chunk  # gone before the next one is built, as in the loops over chunks
+    if texts:
+        yield Chunk(texts, langs, ids, powers)
 
 
 def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -142,7 +134,10 @@ def _counts(keys: list[np.ndarray]) -> pa.RecordBatch:
 def _short_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, size):
-            yield _counts([chunk.keys(chunk.starts(n), n) for n in (1, 2)])
+            counts = _counts([chunk.keys(chunk.starts(n), n) for n in (1, 2)])
+            del chunk
+            yield counts
+            del counts
 
     return run
 
@@ -159,7 +154,10 @@ def _long_counts(table, longest: int, size: int):
                 for k in range(n - 1):
                     at = at[pair[at + k]]
                 keys.append(chunk.keys(at, n))
-            yield _counts(keys)
+            counts = _counts(keys)
+            del chunk, at, pair, keys
+            yield counts
+            del counts
 
     return run
 
@@ -195,7 +193,7 @@ def _verified(tables, longest: int, size: int):
             pointer = at[first]
         place = np.minimum.reduceat(chunk.place[chunk.doc[at]], first)
         counts = np.diff(np.append(first, len(at)))
-        words, ids_of = chunk.numbers.words, chunk.ids_of
+        words, ids_of = chunk.words, chunk.ids_of
         spans = [ids_of[pointer + k].tolist() for k in range(n)]
         texts = [b" ".join([words[i] for i in span]) for span in zip(*spans)]
         docs = chunk.doc[pointer].tolist()
@@ -207,16 +205,18 @@ def _verified(tables, longest: int, size: int):
             chunk.sorted_ids = [chunk.ids[d] for d in by_id]
             chunk.place = np.empty(len(by_id), np.int64)
             chunk.place[by_id] = np.arange(len(by_id))
-            words = np.bincount(chunk.doc[chunk.ids_of > 1], minlength=len(chunk.ids))
+            words = np.bincount(chunk.doc[~chunk.is_end], minlength=len(chunk.ids))
             rows = [(lang, 0, b"", int(n), None) for lang, n in zip(chunk.langs, words)]
             for n in range(1, longest + 1):
                 rows.extend(phrases(chunk, n))
+            del chunk
             for at in range(0, len(rows), 50_000):
                 lang, n, phrase, count, doc = zip(*rows[at : at + 50_000])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.binary()), pa.array(count, pa.int64()), pa.array(doc, pa.int64())],
                     names=["lang", "n", "phrase", "count", "doc"],
                 )
+            del rows, lang, n, phrase, count, doc, by_id, words
 
     return run
 

@@ -235,6 +235,21 @@ def test_colliding_fingerprints_are_told_apart(monkeypatch):
     assert got == {("x", "a b"): (3, 1), ("x", "b c"): (2, 1), ("x", "c a"): (1, 3), ("y", "a b"): (1, None)}
 
 
+def test_chunk_words_are_numbered_by_columns():
+    """A chunk's words come from one dictionary of the whole chunk, not word by word; odd texts keep their places."""
+    import pyarrow as pa
+
+    texts = [b"", b"  \t ", b".\n,", b"A  b. c", None, b"B\x00 b"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x"] * 6), pa.array([t or b"" for t in texts])], names=["id", "lang", "text"])
+    (chunk,) = collocations.chunks(iter([rows]))
+    assert len(chunk.words) == len(set(chunk.words)) and not hasattr(chunk, "numbers")
+    spelled = [[chunk.words[i] for i in chunk.ids_of[chunk.doc == d]] for d in range(6)]
+    end = b"\n"
+    assert spelled == [[end], [end], [end] * 4, [b"a", b"b", end, b"c", end], [end], [b"b\x00", b"b", end]]
+    assert chunk.room[chunk.doc == 3].tolist() == [2, 1, 0, 1, 0]
+    assert sum((c.ids for c in collocations.chunks(iter([rows]), 1)), []) == list(range(6))
+
+
 def test_registered_with_sql():
     for name in ("op11_positional_index", "op12_dual_tree", "op13_collocations"):
         assert name in catalog.QUERIES and name in catalog.ORACLES
