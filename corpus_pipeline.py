@@ -38,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the hash of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe_automaton.decode(bpe_automaton.encode(docs, path), path)
+    both = bpe_automaton.round_trip(docs, path)
     return both.select(F.col("id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -33,7 +33,8 @@ PRE_SPLIT = (
     r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-WORDS_KEPT = 400_000
+#: Bounds of what a process remembers; results never depend on them.
+WORDS_KEPT, ARCS_KEPT = 200_000, 400_000
 FOREVER = 1 << 60
 
 
@@ -135,7 +136,7 @@ class Automaton:
                 open_arcs.pop()
                 at -= length[path.pop()]
         packed = array("i", path).tobytes()
-        if len(self.arcs) >= 10 * WORDS_KEPT:
+        if len(self.arcs) >= ARCS_KEPT:
             self.arcs.clear()
         self.words[word] = packed
         return packed
@@ -167,15 +168,7 @@ def load(path: str) -> Automaton:
     return Automaton(model["vocab"], merges, special)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PRE_SPLIT) -> DataFrame:
-    """``id, tokens`` (array of int) per row; null counts as empty and gives no tokens.
-
-    ``path`` names a byte-level BPE file on every machine.  Strings of special tokens inside a text become those
-    tokens.  A text is one row however long it is; its words are encoded one by one.  Repeated rows are repeated.
-    """
-    rows = id_and_text(docs, id_col, text_col)
-    schema = rows.select("id", F.array().cast("array<int>").alias("tokens")).schema
-
+def _encoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, split = load(path), regex.compile(pattern).findall
         for batch in parts(batches):
@@ -184,14 +177,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), tokens], names=["id", "tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``id, tokens, decoded``: the labels of each row's tokens as UTF-8; null tokens decode to an empty text."""
-    rows = encoded.select("id", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
-    schema = rows.select("*", F.lit("").alias("decoded")).schema
-
+def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load(path)
         for batch in parts(batches):
@@ -200,4 +189,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             decoded = pa.array([automaton.decode(values[a:b].tolist()) for a, b in pairwise(ends)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tokens"), decoded], names=["id", "tokens", "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PRE_SPLIT) -> DataFrame:
+    """``id, tokens`` (array of int) per row; null counts as empty and gives no tokens.
+
+    ``path`` names a byte-level BPE file on every machine.  Strings of special tokens inside a text become those
+    tokens.  A text is one row however long it is; its words are encoded one by one.  Repeated rows are repeated.
+    """
+    rows = id_and_text(docs, id_col, text_col)
+    schema = rows.select("id", F.array().cast("array<int>").alias("tokens")).schema
+    return rows.mapInArrow(_encoded(path, pattern), schema)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``id, tokens, decoded``: the labels of each row's tokens as UTF-8; null tokens decode to an empty text."""
+    rows = encoded.select("id", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
+    schema = rows.select("*", F.lit("").alias("decoded")).schema
+    return rows.mapInArrow(_decoded(path), schema)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PRE_SPLIT) -> DataFrame:
+    """``decode(encode(docs))`` in one step: a task has one Python process, and one automaton in memory, for both."""
+    rows = id_and_text(docs, id_col, text_col)
+    schema = rows.select("id", F.array().cast("array<int>").alias("tokens"), F.lit("").alias("decoded")).schema
+    encoding, decoding = _encoded(path, pattern), _decoded(path)
+    return rows.mapInArrow(lambda batches: decoding(encoding(batches)), schema)

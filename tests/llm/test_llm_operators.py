@@ -167,6 +167,22 @@ def test_perspectives(spark):
         assert r.train == bool(trained) and (not trained or trained.endswith("<|im_end|>\n") and "im_start" not in trained)
 
 
+def test_bpe_round_trip_is_one_python_step(spark, odd, nothing, monkeypatch):
+    """Encoding and decoding share a task's process, and caches of few entries give the same tokens."""
+    both = bpe_automaton.round_trip(odd, BPE)
+    assert str(both._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    apart = bpe_automaton.decode(bpe_automaton.encode(odd, BPE), BPE)
+    assert both.dtypes == apart.dtypes and sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+    assert bpe_automaton.round_trip(nothing, BPE).count() == 0
+    automaton, split = bpe_automaton.load(BPE), regex.compile(r" ?\w+|\W+").findall
+    texts = [" ".join(f"word{i * k % 97} abc{i}xyz" for i in range(60)) for k in range(1, 6)]
+    expected = [automaton.encode(t, split) for t in texts]
+    monkeypatch.setattr(bpe_automaton, "WORDS_KEPT", 7)
+    monkeypatch.setattr(bpe_automaton, "ARCS_KEPT", 5)
+    automaton.words.clear(), automaton.arcs.clear()
+    assert [automaton.encode(t, split) for t in texts] == expected and len(automaton.words) <= 7
+
+
 def test_bpe_equals_library(spark, odd, nothing):
     rng = random.Random(5)
     letters = "abcdeinotrs '\n\t.,!?0159éüñ中文\U0001F642​\x00\u0085 "
