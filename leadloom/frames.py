@@ -42,6 +42,14 @@ def first_per(df: DataFrame, keys: Sequence[str | Column], order: Order) -> Data
     return top_per(df, keys, order, 1)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over the tasks by the hash of ``keys``, for steps that cost far more a row than a shuffle of it.
+
+    A scan gives a task per row group at most, so a file that is small on disk is else worked on by a few tasks.
+    """
+    return df.repartition(*keys)
+
+
 def bounded_list(df: DataFrame, keys: Sequence[str], rank: str, value: Column, into: str) -> DataFrame:
     """Lists of values in rank order; callers rank with ``top_per`` first, which bounds them."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), value.alias("v"))))

@@ -279,6 +279,13 @@ def select_pages(pages: DataFrame, max_pages: int | None = None, max_depth: int
     return top_per(unique, ["host"], ["priority", "depth", "clean_url"], max_pages, rank="visit")
 
 
+def of_hosts(pages: DataFrame, visits: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The rows of ``pages`` whose page is visited on one of the ``hosts`` (one column): joined by page, so a large host is many tasks."""
+    name = hosts.columns[0]
+    ids = visits.join(hosts.select(F.col(name).alias("host")).distinct(), "host", "left_semi").select("page_id")
+    return pages.join(ids, "page_id", "left_semi")
+
+
 def dedupe_people(people: DataFrame, owner: str, order: str) -> DataFrame:
     """First sighting of each (name, title) over the pages of an owner."""
     keyed = people.withColumns({"_n": F.lower("full_name"), "_t": F.lower(text(F.col("job_title")))})

@@ -9,7 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.frames import when_is
+from leadloom.frames import spread, when_is
 from leadloom.functions.rules import is_filled, text
 from leadloom.functions.text import extract_domain, normalize_person_name
 from leadloom.operators import contacts, pages
@@ -82,6 +82,7 @@ def discover_contacts(
     grows with the length of the job.  With ``facts`` and ``play`` the
     prospects are scored anew with their new contacts.
     """
+    prospects = spread(prospects, "id")
     hits = suppressed_ids(prospects, suppression, suppression_keys(email=F.col("email"), siren=F.col("siren")))
     checked = eligibility(prospects, runs, hits, as_of, min_score)
     chosen = stage(
@@ -90,10 +91,11 @@ def discover_contacts(
         )
     )
 
-    # pages are parsed where they lie; only ids and urls are ranked, so no HTML is shuffled
+    # only ids and urls are ranked; the HTML of the pages a run visits is dealt over the tasks once, by page
     accepted = accept_pages(site_pages)
     visits = stage(pages.select_pages(accepted.drop("html", "content_hash"), max_pages, max_depth).select("page_id", "url", "host", "visit"))
-    parsed = stage(parse_pages(accepted.select("page_id", "url", "html", "host", "content_hash")))
+    fetched = spread(accepted.select("page_id", "url", "html", "host", "content_hash"), "page_id")
+    parsed = stage(parse_pages(pages.of_hosts(fetched, visits, chosen.select("domain"))))
     opening = first_page_per_host(visits).select("page_id")
     first = parsed.join(opening, "page_id", "left_semi").select("host", "title", pages.page_text(F.col("parts")).alias("text"))
     matched = domain_match(
@@ -104,8 +106,10 @@ def discover_contacts(
     ambiguous = matched.filter(F.col("_fetched") & (F.col("domain_match_state") == "ambiguous")).select("id")
 
     keys, order_of = ("host", "visit", "page_id"), visits.select("page_id", "visit")
-    page_points = pages.contact_facts(parsed, ("host", "page_id")).join(order_of, "page_id")
-    page_people = pages.people_facts(parsed, ("host", "page_id")).join(order_of, "page_id")
+    # an ambiguous site says nothing about a prospect, so only the pages of the others are searched for facts
+    searched = pages.of_hosts(parsed, visits, sites.select("domain"))
+    page_points = pages.contact_facts(searched, ("host", "page_id")).join(order_of, "page_id")
+    page_people = pages.people_facts(searched, ("host", "page_id")).join(order_of, "page_id")
     page_points, page_people = stage(page_points), stage(page_people)
     page_evidence = pages.evidence_facts(page_points, page_people, keys)
     host_points = pages.dedupe_points(page_points, "host", "visit")

@@ -1,5 +1,6 @@
 """Jobs that write: scores of changed rows, acquisition runs, snapshot tables."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from leadloom.catalog import rescored
-from leadloom.plans import acquire, recompute, rescore
+from leadloom.plans import acquire, discover, recompute, rescore
 from leadloom.plays import FIELD_SERVICE
+from leadloom.session import cut_lineage
 from leadloom.sources import snapshots
-from leadloom.standins import AWARDS_AS_OF, HISTORY_AS_OF, Tables
+from leadloom.standins import AWARDS_AS_OF, EVENTS_AS_OF, HISTORY_AS_OF, Tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -166,3 +168,29 @@ def test_one_scan_finds_what_the_keywords_find(spark):
     assert got == {(k, code) for k, text in enumerate(texts) for code, _, _, keywords in fixed.EVIDENCE_TAXONOMY if any(re.search(w, text.lower()) for w in keywords)}
     plan = extract_evidence(spark.createDataFrame([(1, "x")], "k int, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan.upper()
+
+
+def test_pages_of_a_run_are_dealt_over_the_tasks(spark, t):
+    rng = random.Random(4)
+    page = lambda name: f"<html><head><title>Froid Pro</title></head><body><p>contact@{name}</p><p>{rng.randbytes(1500).hex()}</p></body></html>"
+    hosts = [f"c{k}.example.fr" for k in range(0, 150, 3)] + [f"other{k}.example.com" for k in range(30)]
+    rows = [(40 * h + k, f"https://{name}/p{k}", page(name)) for h, name in enumerate(hosts) for k in range(40)]
+    one_task = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    parsed = []
+
+    def stage(df):
+        if "links" not in df.columns:
+            return cut_lineage(df)
+        staged = cut_lineage(df.withColumn("task", F.spark_partition_id()))
+        parsed.extend(staged.select("host", "task", "page_id").collect())
+        return staged.drop("task")
+
+    nothing = t.s_contact_evidence.limit(0).withColumn("fingerprint", F.lit(""))
+    done = discover.discover_contacts(
+        t.s_prospects, one_task, t.s_people, t.s_points, nothing, t.s_tasks, t.s_runs, t.s_suppression, t.s_mx, EVENTS_AS_OF, stage=stage
+    )
+    runs = done.runs.filter("domain IS NOT NULL").select("domain", "pages_examined").collect()
+    assert runs and all(r.pages_examined == 40 for r in runs)
+    # whole sites, of the prospects of the run only, and not in the one task of the scan
+    assert sorted(r.page_id for r in parsed) == sorted(row[0] for row in rows if row[1].split("/")[2] in {r.domain for r in runs})
+    assert len({r.task for r in parsed}) > 1
