@@ -593,7 +593,7 @@ def append_contact_evidence(old: DataFrame, facts: DataFrame, people: DataFrame,
         ),
     )
     fresh = first_per(marked, ["fingerprint"], ["ord"])
-    fresh = fresh.join(old.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    fresh = fresh.join(old.select("fingerprint"), "fingerprint", "left_anti")
     linked = link_evidence(fresh, people, points)
     return linked.withColumns(
         {

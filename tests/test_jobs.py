@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from leadloom.catalog import rescored
+from leadloom.functions.text import contact_fingerprint
+from leadloom.operators import contacts
 from leadloom.plans import acquire, discover, recompute, rescore
 from leadloom.plays import FIELD_SERVICE
 from leadloom.session import cut_lineage
@@ -194,3 +196,19 @@ def test_pages_of_a_run_are_dealt_over_the_tasks(spark, t):
     # whole sites, of the prospects of the run only, and not in the one task of the scan
     assert sorted(r.page_id for r in parsed) == sorted(row[0] for row in rows if row[1].split("/")[2] in {r.domain for r in runs})
     assert len({r.task for r in parsed}) > 1
+
+
+def test_fingerprints_are_computed_once(spark):
+    fields = ("prospect_id", "source_adapter", "source_url", "evidence_type", "contact_value", "person_name", "content_hash")
+    rows = [(1, "a", "https://x.fr/1", "published_person", None, "Anne Petit", None), (1, "a", "https://x.fr/1", "published_person", None, None, None), (None,) * 7]
+    stored = spark.createDataFrame(rows, "prospect_id long, " + ", ".join(f"{name} string" for name in fields[1:]))
+    stored = stored.withColumn("fingerprint", contact_fingerprint(*map(F.col, fields)))
+    assert not stored.schema["fingerprint"].nullable and len({r.fingerprint for r in stored.collect()}) == 3
+    new = [(*rows[0], "o1", "x", 70), (1, "a", "https://x.fr/2", "published_person", None, "Anne Petit", None, "o2", "x", 70)]
+    found = spark.createDataFrame(new, "prospect_id long, " + ", ".join(f"{name} string" for name in fields[1:]) + ", ord string, excerpt string, confidence int")
+    people = spark.createDataFrame([(7, 1, "anne petit")], "id long, prospect_id long, normalized_name string")
+    points = spark.createDataFrame([], "id long, prospect_id long, value_normalized string")
+    added = contacts.append_contact_evidence(stored.unionByName(stored), found, people, points)
+    assert [(r.source_url, r.person_id) for r in added.collect()] == [("https://x.fr/2", 7)]
+    plan = added._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "sha2" in line]
