@@ -544,3 +544,49 @@ def test_words_and_seeds_of_many_texts_at_once():
         want = [chain_dedup.sampled_seeds(h) for h in each]
         assert counts.tolist() == [len(w[0]) for w in want]
         assert seeds.tolist() == [x for w in want for x in w[0].tolist()] and places.tolist() == [x for w in want for x in w[1].tolist()]
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_fuzzy_passages_beside_a_crowded_seed(spark, monkeypatch, block):
+    """Two documents share a sentence that stands in thirty others too, and past another word, or one put in, sixteen words more."""
+    monkeypatch.setattr(chain_dedup, "BLOCK", block)
+    rng = random.Random(33)
+    texts, want = [], set()
+    for k in range(12):
+        sentence, tail = prose(rng, 30), prose(rng, 16)
+        texts += [" ".join([prose(rng, 50), sentence, prose(rng, 50)]) for _ in range(30)]
+        for gap in (1, 0 if k % 3 == 0 else 1):
+            parts = [sentence, prose(rng, gap), tail][:: -1 if k % 2 else 1]
+            texts.append(" ".join(" ".join([prose(rng, 50), *parts, prose(rng, 50)]).split()))
+        want.add((len(texts) - 1, len(texts) - 2))
+    found = chain_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.id, r.ref_id) for r in found} == want
+    for r in found:
+        assert abs(r.ref_start - 50) <= 2 and abs(r.ref_end - 97) <= 2 and r.matches >= 46
+
+
+def test_words_around_a_seed_are_compared_with_all():
+    rng = np.random.default_rng(2)
+    reach, seed = 44, chain_dedup.SEED
+    base = rng.integers(2, 4000, (6, 2 * reach + seed)).astype(np.uint16)
+    lines = []
+    for k in range(300):
+        line = rng.integers(2, 4000, 2 * reach + seed).astype(np.uint16)
+        line[reach - k % 9 : reach + seed + k % 17] = base[0, reach - k % 9 : reach + seed + k % 17]  # what all have
+        if k % 3 == 0:  # what few have, with a word put in or not, or after nothing equal
+            at = reach + seed + k % 17 + 1
+            moved = at + k % 2
+            size = min(k % 30, 2 * reach + seed - moved)
+            line[moved : moved + size] = base[1 + k % 5, at : at + size]
+        lines.append(line)
+    words = np.array(lines)
+    open_ = rng.random(words.shape) < 0.9
+    met = [(int(x), int(y)) for rows, refs in chain_dedup.worth_a_look(words, open_, words, reach, 16, 5) for x, y in zip(rows, refs)]
+    every = np.array([(x, y) for x in range(300) for y in range(300)])
+    good = chain_dedup.go_on(words[every[:, 0]], words[every[:, 1]], open_[every[:, 0]], 32)
+    met_good = {p for p, kept in zip(met, chain_dedup.go_on(words[[p[0] for p in met]], words[[p[1] for p in met]], open_[[p[0] for p in met]], 32)) if kept}
+    assert {tuple(map(int, p)) for p in every[good]} <= met_good | {(k, k) for k in range(300)} and len(met_good) > 300
+    # the dense way gives all that the other way does, but for pairs with little beside the seed
+    dense = {(low + int(x), int(y)) for low in range(0, 300, 100) for rows, refs in chain_dedup.near_equal(words[low : low + 100], words, reach, 16, 5) for x, y in zip(rows, refs)}
+    few = lambda x, y: max((words[x, reach - 16 : reach] == words[y, reach - 16 : reach]).sum(), (words[x, reach + seed : reach + seed + 16] == words[y, reach + seed : reach + seed + 16]).sum()) < 5
+    assert all(few(*map(int, p)) or tuple(map(int, p)) in dense for p in every[good])
